@@ -27,6 +27,16 @@ def let(value: str, body) -> str:
     return f"get(transform(array({value}), {v} -> {body(v)}), 0)"
 
 
+def fenced(value: str) -> str:
+    """A text expression that filters on it cannot be pushed through.
+
+    Pushing a filter below the projection that computes its input repeats the
+    whole page parsing inside the filter; an expression the optimizer takes for
+    non-deterministic stays where it is.  The value does not change.
+    """
+    return f"CASE WHEN spark_partition_id() >= 0 THEN {value} END"
+
+
 def quoted(value) -> str:
     """SQL literal of a Python value."""
     if value is None:

@@ -23,6 +23,8 @@ def spread(df: DataFrame) -> DataFrame:
     At scale the scan already has more splits than cores and html is never
     shuffled; only a small input in few files is repartitioned.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
@@ -219,15 +221,23 @@ def with_elements(pages: DataFrame) -> DataFrame:
     })
 
 
+# Why a page gives no site record; NULL when it does.
+RECORD_ERROR = (
+    "coalesce(load_error, CASE WHEN privacy_policy_url IS NOT NULL "
+    f"AND NOT {urls.is_valid_url('privacy_policy_url')} "
+    "THEN concat('invalid policy link: ', privacy_policy_url) END)"
+)
+
+
 # -- the page record ----------------------------------------------------------
 FACT_COLUMNS = (
-    "page_id", "fetched_at", "url", "final_url", "status", "ok", "load_error",
+    "page_id", "fetched_at", "url", "final_url", "status", "ok", "record_error",
     "language", "cookies", "third_party_scripts", "forms", "privacy_policy_url",
     "consent_banner_detected", "legal_links", "flags",
 )
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
+def page_facts(pages: DataFrame, extra=()) -> DataFrame:
     """Everything later jobs need to know about a page, without its html."""
     return with_elements(pages).withColumns({
         "lower_text": F.expr("lower(plain_text)"),
@@ -238,9 +248,10 @@ def page_facts(pages: DataFrame) -> DataFrame:
         "consent_banner_detected": F.expr(f"{banner_text()} OR {marked_element()}"),
         "legal_links": F.expr(legal_links()),
         "cookies": F.expr(ck.with_defaults("cookies")),
-    }).withColumn(
-        "flags", F.expr(policy.element_flags("lower_text", "language"))
-    ).select(*FACT_COLUMNS)
+    }).withColumns({
+        "flags": F.expr(policy.element_flags("lower_text", "language")),
+        "record_error": F.expr(tx.fenced(RECORD_ERROR)),
+    }).select(*FACT_COLUMNS, *extra)
 
 
 def policy_facts(pages: DataFrame) -> DataFrame:
@@ -248,22 +259,15 @@ def policy_facts(pages: DataFrame) -> DataFrame:
     return page_facts(pages).select("url", "ok", "language", "legal_links", "flags")
 
 
-RECORD_ERROR = (
-    "coalesce(load_error, CASE WHEN privacy_policy_url IS NOT NULL "
-    f"AND NOT {urls.is_valid_url('privacy_policy_url')} "
-    "THEN concat('invalid policy link: ', privacy_policy_url) END)"
-)
-
-
 def site_records(facts: DataFrame) -> DataFrame:
     """Valid site records."""
-    return facts.where(f"{RECORD_ERROR} IS NULL").drop("load_error", "ok")
+    return facts.where("record_error IS NULL").drop("record_error", "ok")
 
 
 def failed_scans(facts: DataFrame) -> DataFrame:
     """Pages whose scan fails, with the error text."""
     return facts.selectExpr(
-        "page_id", "url", "fetched_at", f"{RECORD_ERROR} AS error_message"
+        "page_id", "url", "fetched_at", "record_error AS error_message"
     ).where("error_message IS NOT NULL")
 
 

@@ -1,5 +1,7 @@
 """Policy text analysis: which required elements does a text mention?"""
 
+from pyspark.sql import DataFrame, functions as F
+
 from pagewarden import lexicon
 from pagewarden.functions import text as tx
 
@@ -36,3 +38,18 @@ def no_flags() -> str:
 
 def merged_flags(a: str, b: str) -> str:
     return _struct((k, f"({a}.{k} OR {b}.{k})") for k in lexicon.POLICY_ELEMENTS)
+
+
+def flags_by(pages: DataFrame, *keys: str) -> DataFrame:
+    """OR of every flag over the pages of a key."""
+    return pages.groupBy(*keys).agg(
+        *[F.bool_or(f"flags.{k}").alias(k) for k in lexicon.POLICY_ELEMENTS])
+
+
+def first_evidence(pages: DataFrame, key: str, order: str) -> DataFrame:
+    """URL of the first page, in visit order, on which a flag is true."""
+    hit = F.explode(F.expr("filter(array(" + ", ".join(
+        f"CASE WHEN flags.{k} THEN '{k}' END" for k in lexicon.POLICY_ELEMENTS
+    ) + "), f -> f IS NOT NULL)")).alias("flag")
+    return pages.select(key, order, "url", hit).groupBy(key, "flag").agg(
+        F.min_by("url", order).alias("evidence_url"))
