@@ -102,7 +102,7 @@ def own_verdicts(facts: DataFrame) -> DataFrame:
         f"{s} -> {s}.category = 'analytics')), "
         "named_struct('check_name', 'third_party', 'hit', exists(third_party_scripts, "
         f"{s} -> {s}.src <> '{lexicon.INLINE_TRACKER_SRC}')))"
-    ).alias("v")).select("page_id", F.inline("v"))
+    ).alias("v")).select("page_id", F.inline_outer("v"))
 
 
 def check_verdicts(checked: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def check_verdicts(checked: DataFrame) -> DataFrame:
         "named_struct('check_name', 'policy_link', 'hit', privacy_link IS NOT NULL), "
         "named_struct('check_name', 'analytics', 'hit', has_analytics), "
         "named_struct('check_name', 'third_party', 'hit', third_party_scripts_count > 0))"
-    ).alias("v")).select("page_id", F.inline("v"))
+    ).alias("v")).select("page_id", F.inline_outer("v"))
 
 
 def agreement(ours: DataFrame, theirs: DataFrame) -> DataFrame:

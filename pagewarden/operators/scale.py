@@ -80,7 +80,7 @@ def dense_ids(df: DataFrame, key_columns, id_column: str, base=0) -> DataFrame:
     Rows are numbered inside hash buckets in parallel; the offsets of the
     buckets are 4096 counts, so no task sees more than its bucket.
     """
-    digest = F.md5(F.concat_ws(" ", *[F.col(c).cast("string") for c in key_columns]))
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_columns]))
     keyed = df.withColumn("_digest", digest).withColumn(
         "_bucket", F.substring("_digest", 1, ID_BUCKET_DIGITS)
     )
