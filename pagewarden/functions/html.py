@@ -28,7 +28,6 @@ TOKEN_PATTERN = "(?is)" + "|".join((
 _OPEN_TAG = r"(?is)^<[a-z][^\s/>]*+" + _REST_OF_TAG
 _TAG_NAME = r"(?i)^</?([a-z][^\s/>]*)"
 _TEXT = r"(?i)^(?:[^<]|<(?![a-z/!?])|<$)"
-_RAW_ELEMENT = r"(?i)^<(?:script|style)[\s/>]"
 _ATTRIBUTE = (r"(?s)[^\s/>=\"'][^\s/>=]*(?:\s*=+\s*"
               r"(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)?").replace(r"\"", '"')
 _USED_ATTRIBUTES = (
@@ -42,7 +41,7 @@ def tokens(html: str) -> str:
 
 
 def is_text(token: str) -> str:
-    return f"{token} RLIKE {pattern(_TEXT)}"
+    return f"(NOT startswith({token}, '<') OR {token} RLIKE {pattern(_TEXT)})"
 
 
 def texts(token_array: str) -> str:
@@ -85,19 +84,21 @@ def tag_name(token: str) -> str:
 def tags(token_array: str) -> str:
     """All tags as (pos, name, step): 1 opens, -1 closes, 0 has no content."""
     t, i, e = fresh("t"), fresh("i"), fresh("e")
-    void = tx.in_list(f"{e}.name", lexicon.VOID_TAGS)
+    childless = tx.in_list(f"{e}.name", lexicon.VOID_TAGS + ("script", "style"))
     named = (f"filter(transform({token_array}, ({t}, {i}) -> named_struct('pos', {i}, "
-             f"'name', {tag_name(t)}, 'step', CASE WHEN startswith({t}, '</') THEN -1 "
-             f"WHEN endswith({t}, '/>') OR {t} RLIKE {pattern(_RAW_ELEMENT)} THEN 0 "
-             f"ELSE 1 END)), {e} -> {e}.name <> '')")
+             f"'name', CASE WHEN startswith({t}, '<') THEN {tag_name(t)} ELSE '' END)), "
+             f"{e} -> {e}.name <> '')")
+    token = f"get({token_array}, {e}.pos)"
     return (f"transform({named}, {e} -> named_struct('pos', {e}.pos, 'name', {e}.name, "
-            f"'step', CASE WHEN {e}.step = 1 AND {void} THEN 0 ELSE {e}.step END))")
+            f"'step', CASE WHEN startswith({token}, '</') THEN -1 "
+            f"WHEN {childless} OR endswith({token}, '/>') THEN 0 ELSE 1 END))")
 
 
 def attributes(tag: str) -> str:
     """Attributes of an opening tag that the audit uses, decoded, in order."""
     a, b = fresh("a"), fresh("b")
-    opened = f"regexp_extract({tag}, {pattern(_OPEN_TAG)}, 0)"
+    opened = (f"CASE WHEN endswith(lower(right({tag}, 10)), 'script>') "
+              f"THEN regexp_extract({tag}, {pattern(_OPEN_TAG)}, 0) ELSE {tag} END")
     inner = f"regexp_replace({opened}, {pattern(r'(?i)^<[a-z][^\s/>]*|>$')}, '')"
     used = (f"filter(transform(regexp_extract_all({inner}, {pattern(_ATTRIBUTE)}, 0), "
             f"{a} -> named_struct('k', lower(regexp_extract({a}, {pattern(r'^[^\s=]+')}, 0)), "
@@ -145,7 +146,7 @@ def element_spans(tag_array: str, n_tokens: str) -> str:
     """
     s, e, p, i = fresh("s"), fresh("e"), fresh("p"), fresh("i")
     levels = lexicon.NOTICE_LEVELS
-    events = (f"filter({tag_array}, {e} -> {e}.step <> 0 OR {e}.name IN ('a', 'form'))")
+    events = f"filter({tag_array}, {e} -> {e}.step <> 0 OR {e}.name IN ('a', 'form'))"
 
     def closed(positions, end):
         return (f"transform(filter({positions}, {p} -> {p} < 0), "
@@ -187,12 +188,38 @@ def element_spans(tag_array: str, n_tokens: str) -> str:
         "CAST(array() AS array<string>)", "CAST(array() AS array<int>)",
         "CAST(array() AS array<struct<first:int,last:int>>)",
         "CAST(array() AS array<struct<pos:int,parent:int,outer:int>>)")
-    return (
+    folded = (
         f"aggregate({events}, {empty}, ({s}, {e}) -> "
         f"CASE {e}.step WHEN 1 THEN {opened} WHEN 0 THEN {self_closed} ELSE {closing} END, "
         f"{s} -> named_struct('spans', array_sort(concat({s}.spans, "
         f"{closed(f'{s}.open', n_tokens)})), 'forms', {s}.forms))"
     )
+    return let(
+        _plain_links(tag_array),
+        lambda links: f"CASE WHEN exists({links}, {p} -> {p}.last IS NULL) THEN {folded} "
+                      f"ELSE named_struct('spans', {links}, 'forms', {empty}.forms) END",
+    )
+
+
+def _plain_links(tag_array: str) -> str:
+    """Spans of links directly followed by their closing tag.
+
+    ``last`` is NULL for every other link and for forms: those pages need the
+    pass with a stack, all others are done.
+    """
+    e, i, x = fresh("e"), fresh("i"), fresh("x")
+    following = f"get({tag_array}, {i} + 1)"
+    span = lambda last: f"named_struct('first', {e}.pos, 'last', {last})"
+    closed_next = (f"CASE WHEN {following}.name = 'a' AND {following}.step < 0 "
+                   f"THEN {following}.pos END")
+    return (
+        f"filter(transform({tag_array}, ({e}, {i}) -> CASE "
+        f"WHEN {e}.name = 'form' AND {e}.step >= 0 THEN {span('CAST(NULL AS INT)')} "
+        f"WHEN {e}.name <> 'a' OR {e}.step < 0 THEN NULL "
+        f"WHEN {e}.step = 0 THEN {span(f'{e}.pos')} "
+        f"ELSE {span(closed_next)} "
+        f"END), {x} -> {x} IS NOT NULL)"
+    )
 
 
 def span_end(spans: str, first: str) -> str:

@@ -8,8 +8,12 @@ from pagewarden import lexicon
 from pagewarden.functions import text as tx
 
 
-def words(text: str) -> str:
-    return f"regexp_extract_all(lower({text}), {tx.pattern(r'\p{L}+')}, 0)"
+def stop_words(text: str) -> str:
+    """The words of a text that are a stop word of any language."""
+    w = tx.fresh("w")
+    known = sorted({word for words in lexicon.STOP_WORDS.values() for word in words})
+    return (f"filter(split(lower({text}), {tx.pattern(r'[^\p{L}]+')}), "
+            f"{w} -> {tx.in_list(w, known)})")
 
 
 def best_language(word_array: str) -> str:
@@ -25,7 +29,7 @@ def best_language(word_array: str) -> str:
 
 def detect(text: str) -> str:
     voted = tx.let(
-        tx.let(words(text), best_language),
+        tx.let(stop_words(text), best_language),
         lambda b: f"CASE WHEN {b}.rank = 0 THEN '{lexicon.LANGUAGE_UNKNOWN}' ELSE {b}.lang END",
     )
     return (f"CASE WHEN length({tx.strip(text)}) < {lexicon.LANGUAGE_MIN_CHARS} "

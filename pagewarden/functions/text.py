@@ -11,9 +11,11 @@ import json
 
 _names = count()
 
-# Unicode white space as Python's str.split() understands it.
-_WS = (r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-       r"\x{202f}\x{205f}\x{3000}]")
+# Unicode white space as Python's str.split() understands it: for regular
+# expressions (predefined classes are much faster than a long list) and as text.
+_WS = r"[\h\v\x1c-\x1f]"
+_WS_CHARS = "".join(
+    f"\\u{ord(c):04x}" for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def fresh(prefix: str = "v") -> str:
@@ -57,9 +59,16 @@ def in_list(value: str, items) -> str:
     return f"{value} IN ({', '.join(quoted(i) for i in items)})"
 
 
+def shortest(phrases) -> list:
+    """Phrases without those that contain another one and so decide nothing."""
+    unique = list(dict.fromkeys(phrases))
+    return [p for p in unique if not any(q != p and q in p for q in unique)]
+
+
 def contains_any(value: str, phrases) -> str:
     """True when any phrase is a substring of ``value``."""
-    return "(" + " OR ".join(f"contains({value}, {quoted(p)})" for p in phrases) + ")"
+    tests = (f"contains({value}, {quoted(p)})" for p in shortest(phrases))
+    return "(" + " OR ".join(tests) + ")"
 
 
 def matches_any(value: str, phrases) -> str:
@@ -75,11 +84,13 @@ def alternatives(phrases) -> str:
 
 
 def strip(value: str) -> str:
-    return f"regexp_replace({value}, {pattern(f'^{_WS}+|{_WS}+$')}, '')"
+    return f"trim(BOTH '{_WS_CHARS}' FROM {value})"
 
 
 def collapse_spaces(value: str) -> str:
-    return f"trim(regexp_replace({value}, {pattern(_WS + '+')}, ' '))"
+    """White space runs to one space; single spaces are not even matched."""
+    odd_run = rf"{_WS}(?:(?<! )|(?={_WS})){_WS}*"
+    return f"trim(regexp_replace({value}, {pattern(odd_run)}, ' '))"
 
 
 def _entity_names() -> dict:

@@ -17,26 +17,12 @@ LOAD_ERROR = (
 )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has too few splits.
-
-    At scale the scan already has more splits than cores and html is never
-    shuffled; only a small input in few files is repartitioned.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def tokenized(pages: DataFrame) -> DataFrame:
     """Pages with their token array; html itself is dropped here.
 
     A page that could not be loaded has no content.
     """
-    return spread(pages).withColumns({
+    return pages.withColumns({
         "ok": F.expr(REACHABLE),
         "load_error": F.expr(LOAD_ERROR),
         "host": F.expr(urls.host("url")),

@@ -97,6 +97,16 @@ def dense_ids(df: DataFrame, key_columns, id_column: str, base=0) -> DataFrame:
     ).drop("_digest", "_bucket", "_offset", "_n")
 
 
+def _chunk_of(value: str, cuts: list, first: int = 0) -> str:
+    """Number of cuts at or below a value, as a balanced tree of comparisons."""
+    if not cuts:
+        return str(first)
+    middle = len(cuts) // 2
+    return (f"CASE WHEN {value} < {cuts[middle]} "
+            f"THEN {_chunk_of(value, cuts[:middle], first)} "
+            f"ELSE {_chunk_of(value, cuts[middle + 1:], first + middle + 1)} END")
+
+
 def rank_newest_first(df: DataFrame, key: str, time: str, tie: str, out: str,
                       chunks: int = RANK_CHUNKS) -> DataFrame:
     """Position of every row within its key by descending time.
@@ -110,10 +120,9 @@ def rank_newest_first(df: DataFrame, key: str, time: str, tie: str, out: str,
     cuts = df.select(
         F.percentile_approx(seconds, share, 10 * chunks).alias("cuts")
     ).first()["cuts"]
-    cut_list = F.array(*[F.lit(c).cast("bigint") for c in sorted(set(cuts or []))])
-    chunked = df.withColumn(
-        "_chunk", F.size(F.filter(cut_list, lambda c: c <= seconds))
-    )
+    chunked = df.withColumn("_micros", seconds).withColumn(
+        "_chunk", F.expr(_chunk_of("_micros", sorted(set(cuts or []))))
+    ).drop("_micros")
     later = Window.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(
         Window.unboundedPreceding, -1
     )

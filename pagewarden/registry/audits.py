@@ -362,7 +362,7 @@ def t1(spark, sf):
     source, out, checkpoint = (_scratch(spark, n) for n in ("crawl", "stream", "progress"))
     columns = [part.split()[0] for part in schemas.CRAWL.split(", ")]
     pages = corpus.site_pages(spark, sf)
-    ex.spread(pages).select(*columns).write.parquet(source)
+    pages.select(*columns).write.parquet(source)
     audit_stream.start_audit(
         audit_stream.crawl_stream(spark, source, max_files=4), out, checkpoint).awaitTermination()
     return spark.read.parquet(out).groupBy("page_id", "rule_id").agg(

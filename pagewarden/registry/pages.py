@@ -9,7 +9,7 @@ from pagewarden.plans import audit
 from pagewarden.registry import oracle as o
 from pagewarden.sources import catalogue, corpus, sinks
 from pagewarden.operators.scale import materialize, scratch_dir
-from pagewarden.sources.tables import read_table
+from pagewarden.sources.tables import read_table, read_texts
 
 Q = {}
 
@@ -339,7 +339,7 @@ def x12(spark, sf):
 
 @query("x13_language", o.voted("documents", "doc_id", "text"))
 def x13(spark, sf):
-    return ex.spread(read_table(spark, sf, "documents").select("doc_id", "text")).selectExpr(
+    return read_texts(spark, sf, "documents").select("doc_id", "text").selectExpr(
         "doc_id", f"{language.detect('text')} AS language")
 
 

@@ -8,7 +8,7 @@ Spark and in the checking engine.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewarden import schemas
-from pagewarden.sources.tables import read_table
+from pagewarden.sources.tables import read_table, read_texts
 
 PAGES_SQL = """
 SELECT page_id, url,
@@ -81,7 +81,7 @@ def _page_cookies():
 
 
 def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PAGES_SQL, pages=read_table(spark, sf_dir, "pages"))
+    return spark.sql(PAGES_SQL, pages=read_texts(spark, sf_dir, "pages"))
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,11 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five legal pages for every host of the crawl, some of them blocked."""
-    hosts = _seeded(spark, sf_dir).select("scheme", "host").distinct()
+    # Host names are few and short: spread them before the pages are made.
+    hosts = read_table(spark, sf_dir, "pages").selectExpr(
+        "regexp_extract(url, '^([a-z]+)://', 1) AS scheme",
+        "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host",
+    ).distinct().repartition(spark.sparkContext.defaultParallelism)
     entries = F.array(*[
         F.struct(F.lit(k).alias("k"), F.lit(path).alias("path"),
                  F.lit(body).alias("body"), F.lit(links).alias("links"))

@@ -5,3 +5,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with long texts, spread over all cores.
+
+    At scale the scan has more splits than cores and nothing is shuffled; only
+    an input in a few small files is repartitioned.
+    """
+    table = read_table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table
