@@ -30,11 +30,11 @@ def let(value: str, body) -> str:
 
 
 def fenced(value: str) -> str:
-    """A text expression that filters on it cannot be pushed through.
+    """An expression that no filter on it is pushed through.
 
-    Pushing a filter below the projection that computes its input repeats the
-    whole page parsing inside the filter; an expression the optimizer takes for
-    non-deterministic stays where it is.  The value does not change.
+    Pushing a filter below the projection that computes its input would repeat
+    the whole page parsing inside the filter; an expression the optimizer takes
+    for non-deterministic stays where it is.  The value does not change.
     """
     return f"CASE WHEN spark_partition_id() >= 0 THEN {value} END"
 

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from pagewarden import lexicon
 from pagewarden.functions import html as ht, text as tx, urls
 from pagewarden.operators import extraction as ex, policy
+from pagewarden.operators.scale import hot_keys, materialize, salted_join
 
 
 def _script_marker(script: str) -> str:
@@ -62,23 +63,33 @@ def check_pages(pages: DataFrame) -> DataFrame:
         "forms_with_personal_data": F.expr(personal_forms()),
         "policy_flags": F.expr(policy.check_flags("spaced_text")),
     })
+    found = {
+        **{c: c for c in ("privacy_link", "has_banner_text", "has_banner_element",
+                          "has_analytics", "forms_with_personal_data", "policy_flags")},
+        "third_party_scripts": f"slice(outside, 1, {lexicon.CHECK_SCRIPT_LIST})",
+        "third_party_scripts_count": "size(outside)",
+    }
     return checked.selectExpr(
         "page_id", "url", "final_url", "status", "ok AS reachable", "load_error AS error",
-        "privacy_link", "has_banner_text", "has_banner_element", "has_analytics",
-        f"slice(outside, 1, {lexicon.CHECK_SCRIPT_LIST}) AS third_party_scripts",
-        "size(outside) AS third_party_scripts_count", "forms_with_personal_data",
-        "policy_flags",
+        *[f"{tx.fenced(value)} AS {name}" for name, value in found.items()],
     )
 
 
-def check_policies(checked: DataFrame, crawl_checked: DataFrame) -> DataFrame:
-    """Policy flags of the page each site links to; NULL flags if not readable."""
+def check_policies(checked: DataFrame, crawl_checked: DataFrame,
+                   floor: int = None) -> DataFrame:
+    """Policy flags of the page each site links to; NULL flags if not readable.
+
+    The links are written first (three short columns): they are needed for
+    finding policy pages that very many sites share and for the join itself.
+    """
+    links = materialize(checked.select("page_id", "url", "privacy_link").where(
+        "privacy_link IS NOT NULL"), "check-links")
     pages = crawl_checked.groupBy("url").agg(
         F.max_by(F.struct("reachable", "policy_flags"), F.struct("reachable", "status")).alias("p"))
     target = pages.select(F.col("url").alias("privacy_link"), "p.reachable", "p.policy_flags")
-    return checked.select("page_id", "url", "privacy_link").where(
-        "privacy_link IS NOT NULL"
-    ).join(target, "privacy_link", "left").select(
+    return salted_join(
+        links, target, "privacy_link", hot_keys(links, "privacy_link", floor), "page_id"
+    ).select(
         "page_id", "url", "privacy_link",
         F.coalesce("reachable", F.lit(False)).alias("policy_read"),
         F.when(F.col("reachable"), F.col("policy_flags")).alias("policy_flags"),

@@ -63,9 +63,17 @@ def gate(results: DataFrame, force: bool = False) -> DataFrame:
     )).drop("level")
 
 
+FIELDS = ("company_legal_name", "company_nif", "company_address",
+          "company_registry_verified", "company_note", "company_nameservers")
+
+
 def record_fields(results: DataFrame) -> DataFrame:
-    """The six company fields a site record carries, by site URL."""
-    return results.selectExpr(
+    """The six company fields a site record carries, one row per site URL.
+
+    Should several companies resolve to one site, one of them is taken, always
+    the same one.
+    """
+    fields = results.selectExpr(
         f"{cleaned('url')} AS url",
         f"coalesce({cleaned('legal_name')}, {cleaned('company_name')}) AS company_legal_name",
         f"{cleaned('nif')} AS company_nif",
@@ -74,13 +82,13 @@ def record_fields(results: DataFrame) -> DataFrame:
         f"{cleaned('note')} AS company_note",
         f"{nameserver_list('nameservers')} AS company_nameservers",
     ).where("url IS NOT NULL")
+    return fields.groupBy("url").agg(F.max(F.struct(*FIELDS)).alias("c")).select(
+        "url", "c.*")
 
 
 def merge_into_sites(sites: DataFrame, results: DataFrame) -> DataFrame:
-    """Site records with company data; never touches what rules look at.
-
-    Results are unique by URL, so a site row is never repeated.
-    """
+    """Site records with company data; never touches what rules look at and
+    never repeats a site."""
     return sites.join(record_fields(results), "url", "left")
 
 

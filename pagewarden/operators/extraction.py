@@ -222,6 +222,12 @@ FACT_COLUMNS = (
     "consent_banner_detected", "legal_links", "flags",
 )
 
+# Columns that come out of page parsing: filters on them must stay above it.
+PARSED_COLUMNS = (
+    "record_error", "language", "third_party_scripts", "forms", "privacy_policy_url",
+    "consent_banner_detected", "legal_links", "flags",
+)
+
 
 def page_facts(pages: DataFrame, extra=()) -> DataFrame:
     """Everything later jobs need to know about a page, without its html."""
@@ -236,8 +242,11 @@ def page_facts(pages: DataFrame, extra=()) -> DataFrame:
         "cookies": F.expr(ck.with_defaults("cookies")),
     }).withColumns({
         "flags": F.expr(policy.element_flags("lower_text", "language")),
-        "record_error": F.expr(tx.fenced(RECORD_ERROR)),
-    }).select(*FACT_COLUMNS, *extra)
+        "record_error": F.expr(RECORD_ERROR),
+    }).select(*[
+        F.expr(tx.fenced(c)).alias(c) if c in PARSED_COLUMNS else c
+        for c in (*FACT_COLUMNS, *extra)
+    ])
 
 
 def policy_facts(pages: DataFrame) -> DataFrame:

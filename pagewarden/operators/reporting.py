@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from pagewarden import lexicon
 from pagewarden.functions import text as tx, urls
 from pagewarden.operators import cookies as ck
+from pagewarden.operators.company import FIELDS as COMPANY_FIELDS
 from pagewarden.operators.rules import finding_rows
 
 
@@ -57,9 +58,6 @@ def severity_counts(evaluated: DataFrame) -> DataFrame:
         "page_id", *[f"{severity_count(s)} AS {s}" for s in lexicon.SEVERITY_RANK])
 
 
-COMPANY_COLUMNS = ("company_legal_name", "company_nif", "company_address",
-                   "company_registry_verified", "company_note", "company_nameservers")
-
 COMPANY_SHOWN = (
     "coalesce(company_legal_name, '') <> '' OR coalesce(company_nif, '') <> '' "
     "OR coalesce(company_address, '') <> '' "
@@ -91,7 +89,7 @@ def without_company(evaluated: DataFrame) -> DataFrame:
         name: F.lit(None).cast(
             "boolean" if name.endswith("verified")
             else "array<string>" if name.endswith("nameservers") else "string")
-        for name in COMPANY_COLUMNS if name not in evaluated.columns
+        for name in COMPANY_FIELDS if name not in evaluated.columns
     })
 
 

@@ -142,14 +142,12 @@ def evaluate(sites: DataFrame, rules: list = None, only=None) -> DataFrame:
         f"'evidence', {x}.evidence)), 0))"
     )
     return sites.withColumn("fired", F.expr(fired)).withColumn(
-        "findings", F.expr(described)
+        "findings", F.expr(tx.fenced(described))
     ).drop("fired")
 
 
 def finding_rows(evaluated: DataFrame, *keys: str) -> DataFrame:
-    """Findings as rows.  The outer form keeps the optimizer from inferring a
-    filter on the findings and evaluating the rules a second time."""
-    return evaluated.select(*keys, F.inline_outer("findings")).where("rule_id IS NOT NULL")
+    return evaluated.select(*keys, F.inline("findings"))
 
 
 def catalogue_coverage(spark: SparkSession, used: DataFrame, rules: list = None) -> DataFrame:

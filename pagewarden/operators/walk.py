@@ -28,8 +28,8 @@ def latest_by_url(facts: DataFrame) -> DataFrame:
 
 def policy_lookup(sites: DataFrame, facts: DataFrame, floor: int = None) -> DataFrame:
     """Policy URL of every site to the page loaded for it; unreachable if none."""
-    links = sites.where("privacy_policy_url IS NOT NULL").select(
-        "page_id", F.col("privacy_policy_url").alias("policy_url"))
+    links = materialize(sites.where("privacy_policy_url IS NOT NULL").select(
+        "page_id", F.col("privacy_policy_url").alias("policy_url")), "policy-links")
     pages = facts.groupBy("url").agg(F.max("ok").alias("ok")).withColumnRenamed(
         "url", "policy_url")
     return salted_join(

@@ -152,7 +152,7 @@ def d5(spark, sf):
                            "map('ignoreNullFields', 'false'))"),
         "found_at": F.timestamp_seconds(F.lit(1704067200)),
     })
-    empty = rows.select(F.lit(0).cast("bigint").alias("finding_id")).limit(0)
+    empty = spark.createDataFrame([], "finding_id bigint")
     return store.new_findings(empty, rows).select(
         "finding_id", "scan_run_id", "rule_id", "evidence_json", "status")
 

@@ -142,6 +142,9 @@ def test_company_input_errors(spark):
 
 def test_company_never_changes_rows_of_sites(spark):
     sites = spark.sql("SELECT 'https://f.com' AS url UNION ALL SELECT 'https://g.com'")
-    rows = {r.url: r for r in company.merge_into_sites(sites, results(spark)).collect()}
+    two = results(spark).union(results(spark, company_id=2, company_name="Earlier name"))
+    merged = company.merge_into_sites(sites, two).collect()
+    assert len(merged) == 2
+    rows = {r.url: r for r in merged}
     assert rows["https://f.com"].company_legal_name == "Feedzai"
     assert rows["https://g.com"].company_legal_name is None

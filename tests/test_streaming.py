@@ -43,3 +43,18 @@ def test_lifecycle_stream_equals_batch(spark, tmp_path):
         1: "Completed", 2: "Running", 3: "Failed"}
     stuck = lifecycle.stuck_runs(batch, "2024-01-01 01:00:10", "1 HOUR").collect()
     assert [r.scan_run_id for r in stuck] == [2]
+
+
+def test_first_seen_stream(spark, tmp_path):
+    rows = spark.sql("""SELECT * FROM VALUES ('u', 'R01', timestamp'2024-01-01'),
+        ('u', 'R01', timestamp'2024-01-03'), ('v', 'R05', timestamp'2024-01-02')
+        AS v(url, rule_id, fetched_at)""")
+    source = str(tmp_path / "findings")
+    rows.repartition(2).write.parquet(source)
+    found = spark.readStream.schema(rows.schema).parquet(source)
+    audit_stream.first_seen_stream(found).writeStream.format("memory").queryName("spans").option(
+        "checkpointLocation", str(tmp_path / "cp")).outputMode("complete").trigger(
+        availableNow=True).start().awaitTermination()
+    got = {(r.url, r.rule_id): (r.first_seen.day, r.last_seen.day, r.times_seen)
+           for r in spark.table("spans").collect()}
+    assert got == {("u", "R01"): (1, 3, 2), ("v", "R05"): (2, 2, 1)}
