@@ -199,12 +199,14 @@ def form_records() -> str:
 
 def with_elements(pages: DataFrame) -> DataFrame:
     """Parsed pages with their scripts, links, forms and plain text."""
-    return parsed(pages).withColumns({
-        "plain_text": F.expr(tx.collapse_spaces(ht.joined("texts", " "))),
-        "scripts": F.expr(scripts()),
-        "links": F.expr(links()),
-        "forms_found": F.expr(forms()),
-    })
+    found = {
+        "plain_text": tx.collapse_spaces(ht.joined("texts", " ")),
+        "scripts": scripts(),
+        "links": links(),
+        "forms_found": forms(),
+    }
+    return parsed(pages).withColumns(
+        {name: F.expr(tx.fenced(value)) for name, value in found.items()})
 
 
 # Why a page gives no site record; NULL when it does.

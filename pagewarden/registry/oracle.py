@@ -55,6 +55,8 @@ def host(col):
 
 
 def decoded(col):
+    """The four references of the pages; cut-off titles lack the semicolon."""
+    col = f"regexp_replace({col}, '&amp([^A-Za-z0-9;]|$)', '&\\1', 'g')"
     return (f"replace(replace(replace(replace({col}, '&middot;', '·'), '&copy;', '©'), "
             "'&quot;', '\"'), '&amp;', '&')")
 
