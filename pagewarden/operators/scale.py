@@ -57,20 +57,24 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list,
                 spread_by: str, how: str = "left", salts: int = SALTS) -> DataFrame:
     """Equi join whose hot left keys are split over ``salts`` tasks.
 
-    Only right rows of hot keys are repeated.  The right side is unique by key.
+    Only right rows of hot keys are repeated; the right side is unique by key.
+    Left rows without a key match nothing, so they are spread as well instead of
+    meeting in the one task of the NULL key.
     """
-    if not hot:
+    if how == "inner" and not hot:
         return left.join(right, key, how)
-    is_hot = F.col(key).isin(*hot)
+    is_hot = F.col(key).isin(*hot) if hot else F.lit(False)
     salted_left = left.withColumn(
         "_salt",
-        F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-        .otherwise(0),
+        F.when(is_hot | F.col(key).isNull(),
+               F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0),
     )
-    salted_right = right.withColumn("_salt", F.explode(
-        F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1)))
-        .otherwise(F.array(F.lit(0)))
-    ))
+    # Also without hot keys the salt comes from an explode: a constant column
+    # would be folded away and the salt would leave the join keys.
+    salt_list = F.array(F.lit(0))
+    if hot:
+        salt_list = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(salt_list)
+    salted_right = right.withColumn("_salt", F.explode(salt_list))
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 

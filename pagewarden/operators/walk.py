@@ -64,7 +64,7 @@ def _fold(max_pages: int) -> str:
         f"aggregate(array_sort(entries), "
         f"{state('carry.visited', 'carry.pages', 'CAST(array() AS array<string>)')}, "
         f"({s}, {e}) -> CASE "
-        f"WHEN {e}.url IS NULL OR size({s}.pages) >= {max_pages} "
+        f"WHEN size({s}.pages) >= {max_pages} "
         f"OR array_contains({s}.visited, {e}.url) THEN {s} "
         f"WHEN NOT coalesce({e}.ok, false) "
         f"THEN {state(seen, f'{s}.pages', f'{s}.queue')} "
@@ -76,7 +76,9 @@ def walk_level(state: DataFrame, pool: DataFrame, hot: list, max_pages: int) ->
     queued = state.select(
         "start", "visited", "pages", F.posexplode_outer("queue").alias("pos", "url")
     ).select(
-        "start", "pos", "url",
+        # A finished walk looks its first page up again: spread over all tasks,
+        # and without effect because that page is visited.
+        "start", "pos", F.coalesce("url", "start").alias("url"),
         F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct("visited", "pages")).alias("carry"),
     )
     looked_up = salted_join(queued, pool, "url", hot, spread_by="start")
@@ -137,7 +139,7 @@ def analyze_policies(sites: DataFrame, facts: DataFrame,
     results = policy_walks(starts, pool, max_pages, hot_pages)
     return salted_join(
         sites.withColumn("start", F.col("privacy_policy_url")), results, "start",
-        hot_starts, spread_by="url",
+        hot_starts, spread_by="page_id",
     ).drop("start").withColumns({
         "policy_unreachable": F.expr(
             "privacy_policy_url IS NOT NULL AND coalesce(pages_read, 0) = 0"),

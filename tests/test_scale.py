@@ -42,6 +42,17 @@ def test_salted_join_equals_plain_join(spark):
         assert sorted(map(str, salted.select("id", "key", "v").collect())) == plain
 
 
+def test_rows_without_key_are_kept_and_spread(spark):
+    left = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("key"))
+    right = spark.range(50).select(F.col("id").alias("key"), F.lit("x").alias("v"))
+    df = scale.salted_join(left, right.hint("merge"), "key", [], "id")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(key#") == 2 and plan.count(", _salt#") >= 2
+    joined = df.collect()
+    assert len(joined) == 100
+    assert {r.id for r in joined if r.v == "x"} == set(range(0, 50, 2))
+
+
 def test_materialize_keeps_schema_and_rows(spark):
     df = spark.range(10).select("id", F.array("id").alias("a"))
     again = scale.materialize(df, "t")
