@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from pagewarden import lexicon as lx
-from pagewarden.functions import language, text as tx
+from pagewarden.functions import language
 from pagewarden.operators import (
-    checkprofile as cp, cookies as ck, extraction as ex, notify, policy, reporting, rules, walk,
+    checkprofile as cp, extraction as ex, notify, policy, reporting, rules, walk,
 )
 from pagewarden.operators.scale import materialize
 from pagewarden.plans import audit

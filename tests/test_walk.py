@@ -3,10 +3,9 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from pagewarden import lexicon as lx, schemas
-from pagewarden.operators import extraction as ex, walk
+from pagewarden.operators import walk
 from pagewarden.plans import audit
 
 FACTS = (f"url string, ok boolean, flags {schemas.FLAGS}, legal_links array<string>, "
