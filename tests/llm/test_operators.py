@@ -253,7 +253,7 @@ def test_base_spans(text):
 
 
 def test_base_spans_of_long_runs():
-    text = "1" * 300_000 + " a" * 10 + "@" * 50_000 + " 4465758382889437 10.0.0.256 10.0.0.25"
+    text = "1" * 300_000 + " a" * 10 + "@" * 50_000 + " 4465758382889437 x 10.0.0.256 10.0.0.25"
     assert {k: len(v) for k, v in disclosure_pii.base_spans(text).items()} == {
         "email": 0, "ip": 1, "card": 1, "phone": 0}
 
