@@ -192,7 +192,7 @@ def sanitised(docs: DataFrame, found: DataFrame, id_column="doc_id", text="text"
     """id and the sanitised text of every row; ``found`` comes from ``find_spans``."""
     keys = found.select(F.col(id_column).alias("_id"), F.col("text_hash").alias("_hash"),
                         "spans").dropDuplicates(["_id", "_hash"])
-    joined = docs.join(keys, F.col(id_column).eqNullSafe(F.col("_id")) & (
+    joined = docs.select(id_column, text).join(keys, F.col(id_column).eqNullSafe(F.col("_id")) & (
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_hash")), "left")
     kind = dict(docs.dtypes)[id_column]
     return map_batches(

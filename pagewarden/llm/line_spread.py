@@ -68,19 +68,21 @@ def without_repeated_lines(docs: DataFrame, min_sites=MIN_SITES, max_share=MAX_S
     hits = _lines(docs, text, F.col(id_column).alias("_hit_id"), own_hash.alias("_hit_hash")) \
         .join(bad, "line").groupBy("_hit_id", "_hit_hash").agg(F.collect_set("line").alias("_bad"))
     hits = materialize(hits, "line-hits")
-    joined = docs.join(hits, F.col(id_column).eqNullSafe(F.col("_hit_id"))
-                       & (own_hash == F.col("_hit_hash")), "left")
-    held = f"`{text}`"
-    parts = joined.withColumn("_all", F.split(F.col(text), "\n")).withColumn(
+    # The row travels as one struct: its columns may have any names.
+    rows = docs.select(F.struct("*").alias("row"), own_hash.alias("own_hash"))
+    body = f"row.`{text}`"
+    joined = rows.join(hits, F.col("row")[id_column].eqNullSafe(F.col("_hit_id"))
+                       & (F.col("own_hash") == F.col("_hit_hash")), "left")
+    parts = joined.withColumn("_all", F.split(F.expr(body), "\n")).withColumn(
         "_kept", F.expr("CASE WHEN _bad IS NULL THEN _all ELSE "
                         "filter(_all, l -> NOT array_contains(_bad, xxhash64(trim(l)))) END"))
     chars = "aggregate({}, 0L, (n, l) -> n + length(l))"
     parts = parts.withColumn(
         "_copy", F.expr(f"{chars.format('_kept')} < {1 - max_share} * {chars.format('_all')}"))
     return parts.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col("row")[c].alias(c) for c in docs.columns],
         F.expr("coalesce(size(_all), 0)").cast("bigint").alias("n_lines"),
         F.expr("CASE WHEN _all IS NULL OR _copy THEN 0 ELSE size(_all) - size(_kept) END")
         .cast("bigint").alias("n_removed"),
-        F.expr(f"CASE WHEN _bad IS NULL OR _copy THEN {held} "
+        F.expr(f"CASE WHEN _bad IS NULL OR _copy THEN {body} "
                "ELSE array_join(_kept, '\n') END").alias("clean"))

@@ -129,5 +129,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_column="doc_id", tex
     """The rows that hold no benchmark item; all columns stay."""
     bad = materialize(leaks(docs, benchmark, id_column=id_column, text=text).select(
         F.col(id_column).alias("_d"), F.col("text_hash").alias("_h")).distinct(), "leaked")
-    return docs.join(bad, F.col(id_column).eqNullSafe(F.col("_d")) & (
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_h")), "left_anti")
+    return docs.join(bad, docs[id_column].eqNullSafe(bad["_d"]) & (
+        F.xxhash64(F.coalesce(docs[text], F.lit(""))) == bad["_h"]), "left_anti")
