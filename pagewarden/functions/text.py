@@ -5,7 +5,7 @@ expressions are deeply nested, and ``let`` binds an intermediate value once, so
 plans stay small and nothing is computed twice.
 """
 
-from html.entities import name2codepoint
+from html.entities import html5
 from itertools import count
 import json
 
@@ -94,8 +94,7 @@ def collapse_spaces(value: str) -> str:
 
 
 def _entity_names() -> dict:
-    names = {name: chr(cp) for name, cp in name2codepoint.items()}
-    names["apos"] = "'"
+    names = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
     # Numbers 128-159 mean the windows-1252 characters, as browsers read them.
     for n in range(128, 160):
         try:
@@ -113,11 +112,15 @@ _ENTITIES = "from_json(r'{}', 'map<string,string>')".format(
 def _decode_piece(piece: str, need_semicolon: bool) -> str:
     """Decode one text run that followed an ampersand."""
     end = ";" if need_semicolon else r"(?:;|(?![A-Za-z0-9]))"
-    regex = rf"^(?:#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]{{1,31}}){end}"
+    regex = rf"^(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{{1,31}}){end}"
 
     def code_of(ref):
-        return (f"CAST(CASE WHEN {ref} RLIKE '^#[xX]' THEN conv(substr({ref}, 3), 16, 10) "
-                f"WHEN startswith({ref}, '#') THEN substr({ref}, 2) END AS INT)")
+        # Leading zeros are legal; a longer number is beyond the last code point.
+        digits = f"ltrim('0', regexp_extract({ref}, '[0-9a-fA-F]+$', 0))"
+        return (f"CAST(CASE WHEN NOT startswith({ref}, '#') THEN NULL "
+                f"WHEN length({digits}) > 7 THEN '1114112' "
+                f"WHEN {ref} RLIKE '^#[xX]' THEN conv(concat('0', {digits}), 16, 10) "
+                f"ELSE concat('0', {digits}) END AS INT)")
 
     def numeric(code):
         return (f"CASE WHEN {code} > 0 AND {code} <= 1114111 "

@@ -70,7 +70,8 @@ def check_pages(pages: DataFrame) -> DataFrame:
         "third_party_scripts_count": "size(outside)",
     }
     return checked.selectExpr(
-        "page_id", "url", "final_url", "status", "ok AS reachable", "load_error AS error",
+        "page_id", "url", "final_url", "status", "fetched_at", "readable AS reachable",
+        "CASE WHEN NOT readable THEN load_error END AS error",
         *[f"{tx.fenced(value)} AS {name}" for name, value in found.items()],
     )
 
@@ -85,7 +86,7 @@ def check_policies(checked: DataFrame, crawl_checked: DataFrame,
     links = materialize(checked.select("page_id", "url", "privacy_link").where(
         "privacy_link IS NOT NULL"), "check-links")
     pages = crawl_checked.groupBy("url").agg(
-        F.max_by(F.struct("reachable", "policy_flags"), F.struct("reachable", "status")).alias("p"))
+        F.max_by(F.struct("reachable", "policy_flags"), F.struct("fetched_at", "page_id")).alias("p"))
     target = pages.select(F.col("url").alias("privacy_link"), "p.reachable", "p.policy_flags")
     return salted_join(
         links, target, "privacy_link", hot_keys(links, "privacy_link", floor), "page_id"

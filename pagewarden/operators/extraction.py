@@ -11,6 +11,8 @@ from pagewarden.functions import html as ht, language, text as tx, urls
 from pagewarden.operators import cookies as ck, policy
 
 REACHABLE = "coalesce(status BETWEEN 200 AND 299, false)"
+# Legal and check pages are read up to, not including, client errors.
+READABLE = "coalesce(status < 400, false)"
 LOAD_ERROR = (
     f"CASE WHEN NOT {REACHABLE} THEN coalesce("
     "concat('HTTP ', CAST(status AS string)), error, 'no response') END"
@@ -24,11 +26,12 @@ def tokenized(pages: DataFrame) -> DataFrame:
     """
     return pages.withColumns({
         "ok": F.expr(REACHABLE),
+        "readable": F.expr(READABLE),
         "load_error": F.expr(LOAD_ERROR),
         "host": F.expr(urls.host("url")),
         "base": F.expr(urls.url_parts("url")),
         "tokens": F.expr(
-            ht.tokens(f"CASE WHEN {REACHABLE} THEN coalesce(html, '') ELSE '' END")),
+            ht.tokens(f"CASE WHEN {READABLE} THEN coalesce(html, '') ELSE '' END")),
     }).drop("html")
 
 
@@ -219,7 +222,7 @@ RECORD_ERROR = (
 
 # -- the page record ----------------------------------------------------------
 FACT_COLUMNS = (
-    "page_id", "fetched_at", "url", "final_url", "status", "ok", "record_error",
+    "page_id", "fetched_at", "url", "final_url", "status", "ok", "readable", "record_error",
     "language", "cookies", "third_party_scripts", "forms", "privacy_policy_url",
     "consent_banner_detected", "legal_links", "flags",
 )
@@ -251,14 +254,9 @@ def page_facts(pages: DataFrame, extra=()) -> DataFrame:
     ])
 
 
-def policy_facts(pages: DataFrame) -> DataFrame:
-    """The part of the facts a legal page needs: flags and further links."""
-    return page_facts(pages).select("url", "ok", "language", "legal_links", "flags")
-
-
 def site_records(facts: DataFrame) -> DataFrame:
     """Valid site records."""
-    return facts.where("record_error IS NULL").drop("record_error", "ok")
+    return facts.where("record_error IS NULL").drop("record_error", "ok", "readable")
 
 
 def failed_scans(facts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from pagewarden import lexicon, schemas
 from pagewarden.functions import urls
 from pagewarden.operators.reporting import _case
+from pagewarden.operators.scale import dense_ids, materialize
 
 
 def category(rule_id: str) -> str:
@@ -18,7 +19,7 @@ def level(severity: str) -> str:
 def notifications(findings: DataFrame, client_id: int = lexicon.FEED_CLIENT_ID,
                   device_id: int = lexicon.FEED_DEVICE_ID,
                   audit_type: str = lexicon.FEED_AUDIT_TYPE,
-                  enabled: bool = True) -> DataFrame:
+                  enabled: bool = True, keep=()) -> DataFrame:
     """Feed records of finding rows (url, rule_id, severity, description)."""
     rows = findings if enabled else findings.where(F.lit(False))
     return rows.select(
@@ -31,8 +32,21 @@ def notifications(findings: DataFrame, client_id: int = lexicon.FEED_CLIENT_ID,
         F.expr(level("severity")).alias("level"),
         F.lit(None).cast("timestamp").alias("log_timestamp"),
         F.concat("url", F.lit(" — "), "description").alias("description"),
-        F.lit(audit_type).alias("type"),
+        F.lit(audit_type).alias("type"), *keep,
     )
 
 
 FEED_COLUMNS = tuple(part.split()[0] for part in schemas.NOTIFICATIONS.split(", "))
+
+
+def feed(findings: DataFrame, key_columns, created_at: str, base: int = 0, **options) -> DataFrame:
+    """The whole feed table: notifications with their id and time, and the finding's key.
+
+    Findings are numbered by their unique key, so the same findings get the same ids. The
+    input is written first: numbering reads it twice.
+    """
+    rows = materialize(findings, "feed-findings")
+    keyed = notifications(rows, keep=(*key_columns, created_at), **options)
+    numbered = dense_ids(keyed, key_columns, "notification_id", base)
+    return numbered.withColumn("created_at", F.col(created_at).cast("timestamp")).select(
+        *FEED_COLUMNS, *key_columns)

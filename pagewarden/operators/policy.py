@@ -32,14 +32,6 @@ def check_flags(lower_text: str) -> str:
     )
 
 
-def no_flags() -> str:
-    return _struct((key, "false") for key in lexicon.POLICY_ELEMENTS)
-
-
-def merged_flags(a: str, b: str) -> str:
-    return _struct((k, f"({a}.{k} OR {b}.{k})") for k in lexicon.POLICY_ELEMENTS)
-
-
 def flags_by(pages: DataFrame, *keys: str) -> DataFrame:
     """OR of every flag over the pages of a key."""
     return pages.groupBy(*keys).agg(

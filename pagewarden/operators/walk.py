@@ -30,15 +30,21 @@ def policy_lookup(sites: DataFrame, facts: DataFrame, floor: int = None) -> Data
     """Policy URL of every site to the page loaded for it; unreachable if none."""
     links = materialize(sites.where("privacy_policy_url IS NOT NULL").select(
         "page_id", F.col("privacy_policy_url").alias("policy_url")), "policy-links")
-    pages = facts.groupBy("url").agg(F.max("ok").alias("ok")).withColumnRenamed(
-        "url", "policy_url")
+    pages = _as_read(facts).groupBy(F.col("url").alias("policy_url")).agg(
+        F.max_by("ok", F.struct("fetched_at", "page_id")).alias("ok"))
     return salted_join(
         links, pages, "policy_url", hot_keys(links, "policy_url", floor), "page_id"
     ).select("page_id", "policy_url", (~F.coalesce("ok", F.lit(False))).alias("unreachable"))
 
 
+def _as_read(facts: DataFrame) -> DataFrame:
+    """Facts in which ``ok`` means that a legal page can be read."""
+    return facts.withColumn("ok", F.col("readable")) if "readable" in facts.columns else facts
+
+
 def legal_pool(facts: DataFrame, starts: DataFrame) -> DataFrame:
     """Facts of the pages a walk can reach: policy URLs and linked legal pages."""
+    facts = _as_read(facts)
     linked = facts.where("ok").select(F.explode("legal_links").alias("url"))
     candidates = starts.select(F.col("start").alias("url")).union(linked).distinct()
     return latest_by_url(

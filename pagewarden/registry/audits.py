@@ -49,7 +49,8 @@ SELECT g.page_id, g.policy_url, coalesce(l.status <> 200, true) AS unreachable
 FROM good g LEFT JOIN c_legal l ON l.url = g.policy_url WHERE g.policy_url IS NOT NULL""")
 def p1(spark, sf):
     sites = ex.site_records(ex.page_facts(corpus.site_pages(spark, sf)))
-    loaded = corpus.legal_pages(spark, sf).selectExpr("url", f"{ex.REACHABLE} AS ok")
+    loaded = corpus.legal_pages(spark, sf).selectExpr(
+        "url", f"{ex.READABLE} AS ok", "fetched_at", "page_id")
     return walk.policy_lookup(sites, loaded)
 
 
@@ -354,8 +355,7 @@ def s9(spark, sf):
 
 # -- streaming -------------------------------------------------------------------------------
 @query("t1_streaming_audit", """
-SELECT page_id, rule_id, count(*) AS findings FROM findings_d
-WHERE rule_id IN ('R01', 'R02', 'R03', 'R04', 'R05', 'R11') GROUP BY ALL""")
+SELECT page_id, rule_id, count(*) AS findings FROM findings_d GROUP BY ALL""")
 def t1(spark, sf):
     from pagewarden import schemas
     from pagewarden.streaming import audit_stream
@@ -364,6 +364,7 @@ def t1(spark, sf):
     pages = corpus.site_pages(spark, sf)
     pages.select(*columns).write.parquet(source)
     audit_stream.start_audit(
-        audit_stream.crawl_stream(spark, source, max_files=4), out, checkpoint).awaitTermination()
+        audit_stream.crawl_stream(spark, source, max_files=4), out, checkpoint,
+        legal=corpus.legal_pages(spark, sf)).awaitTermination()
     return spark.read.parquet(out).groupBy("page_id", "rule_id").agg(
         F.count("*").alias("findings"))

@@ -118,6 +118,10 @@ def s6(spark, sf):
         F.countDistinct("website_id").alias("sites"))
 
 
+def _full_audit(spark, sf):
+    return audit.run_audit(corpus.site_pages(spark, sf), corpus.legal_pages(spark, sf))
+
+
 def _page_audit(spark, sf, only=None):
     return audit.page_level_findings(corpus.site_pages(spark, sf), only)
 
@@ -131,7 +135,7 @@ SELECT replace(host, '.', '_') AS site_slug, count(*) AS stored_reports,
 FROM good GROUP BY host""")
 def s7(spark, sf):
     path = _scratch(spark, "reports")
-    made = materialize(reporting.reports(_page_audit(spark, sf, ("R05",))), "made")
+    made = materialize(reporting.reports(_full_audit(spark, sf).evaluated), "made")
     sinks.append_reports(made, path)
     sinks.replace_latest(made, path)
     latest = sinks.SnapshotTable(f"{path}/latest", made.schema).read(spark)
@@ -142,22 +146,22 @@ def s7(spark, sf):
 
 
 @query("s8_notification_feed", f"""
-SELECT page_id, 'website_audit' AS type,
-  CASE rule_id WHEN 'R04' THEN 'cookies_missing_secure_flags' ELSE 'missing_privacy_policy' END AS category
-FROM found WHERE rule_id IN ('R04', 'R05')""")
+SELECT page_id, 'website_audit' AS type, rule_id,
+  count(*) AS notifications, count(*) AS with_time, count(*) AS same_site FROM found GROUP BY ALL""")
 def s8(spark, sf):
     from pagewarden.operators import notify
     path = _scratch(spark, "feed")
-    found = rules.finding_rows(_page_audit(spark, sf, ("R04", "R05")), "page_id", "url")
-    feed = notify.notifications(found)
+    found = materialize(rules.finding_rows(
+        _full_audit(spark, sf).evaluated, "page_id", "url", "fetched_at"), "found")
+    feed = notify.feed(found, ("page_id", "seq"), "fetched_at")
     sinks.append_notifications(feed, path)
     stored = spark.read.parquet(path)
-    page = corpus.site_pages(spark, sf).select(
-        "page_id", F.expr(urls.remote_address("url", 50)).alias("remote_address"), "url")
-    return stored.join(
-        page, (stored.remote_address == page.remote_address)
-        & F.expr("startswith(description, concat(url, ' — '))")
-    ).select("page_id", "type", "category")
+    mine = found.select("page_id", "seq", "rule_id", F.expr(
+        urls.remote_address("url", lx.REMOTE_ADDRESS_LENGTH)).alias("address"))
+    return stored.join(mine, ["page_id", "seq"]).groupBy("page_id", "type", "rule_id").agg(
+        F.countDistinct("notification_id").alias("notifications"),
+        F.count("created_at").alias("with_time"),
+        F.count_if(F.expr("remote_address = address")).alias("same_site"))
 
 
 # -- URL expressions --------------------------------------------------------------

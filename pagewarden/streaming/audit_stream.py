@@ -1,12 +1,11 @@
-"""The stateless part of the audit on a stream of crawl files."""
+"""The audit on a stream of crawl files, and sums over its findings."""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewarden import schemas
-from pagewarden.operators import rules
-from pagewarden.plans.audit import page_level_findings
-
-PAGE_RULES = tuple(r for r in rules.RULE_LOGIC if r not in rules.POLICY_RULES)
+from pagewarden.operators import extraction, rules
+from pagewarden.operators.scale import materialize
+from pagewarden.plans.audit import from_facts
 
 
 def crawl_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -14,17 +13,31 @@ def crawl_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
         "maxFilesPerTrigger", max_files).parquet(path)
 
 
-def finding_stream(pages: DataFrame, rule_list: list = None) -> DataFrame:
-    """Finding rows of the rules that need no policy text."""
-    evaluated = page_level_findings(pages, PAGE_RULES, rule_list)
-    return rules.finding_rows(evaluated, "page_id", "url", "fetched_at")
+def _facts(pages: DataFrame, target: bool, name: str) -> DataFrame:
+    marked = pages.withColumn("is_target", F.lit(target))
+    return materialize(extraction.page_facts(marked, extra=("is_target",)), name)
+
+
+def start_audit(pages: DataFrame, out: str, checkpoint: str, rule_list: list = None,
+                legal: DataFrame = None):
+    """Findings, by all rules, of new crawl files until the input is used up.
+
+    ``legal`` is the table of pages the policy walk may read besides those of the
+    batch; its facts are taken once. Each batch writes its own folder, so a repeated batch
+    replaces its findings and adds none.
+    """
+    known = None if legal is None else _facts(legal, False, "legal-facts")
 
+    def audit_batch(batch: DataFrame, number: int) -> None:
+        facts = _facts(batch, True, "batch-facts")
+        if known is not None:
+            facts = facts.unionByName(known)
+        found = rules.finding_rows(
+            from_facts(facts, rule_list).evaluated, "page_id", "url", "fetched_at")
+        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-def start_audit(pages: DataFrame, out: str, checkpoint: str, rule_list: list = None):
-    """Append findings of new crawl files until the input is used up."""
-    return finding_stream(pages, rule_list).writeStream.format("parquet").option(
-        "path", out).option("checkpointLocation", checkpoint).outputMode(
-        "append").trigger(availableNow=True).start()
+    return pages.writeStream.foreachBatch(audit_batch).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def first_seen_stream(findings: DataFrame, delay: str = "1 day") -> DataFrame:

@@ -10,17 +10,19 @@ from pagewarden.streaming import audit_stream, lifecycle
 def test_audit_stream_equals_batch(spark, tmp_path):
     source, out, progress = (str(tmp_path / n) for n in ("in", "out", "cp"))
     pages = corpus.site_pages(spark, SMALL)
+    legal = corpus.legal_pages(spark, SMALL)
     columns = ["page_id", "url", "final_url", "status", "html", "error", "cookies", "fetched_at"]
     pages.select(*columns).repartition(3).write.parquet(source)
 
     def drain():
         audit_stream.start_audit(
-            audit_stream.crawl_stream(spark, source, 1), out, progress).awaitTermination()
+            audit_stream.crawl_stream(spark, source, 1), out, progress,
+            legal=legal).awaitTermination()
 
     drain()
     key = ("page_id", "rule_id", "evidence")
     batch = rules.finding_rows(
-        audit.page_level_findings(pages, audit_stream.PAGE_RULES), "page_id").select(*key)
+        audit.run_audit(pages, legal).evaluated, "page_id").select(*key)
     stream = lambda: sorted(map(tuple, spark.read.parquet(out).select(*key).collect()))
     assert stream() == sorted(map(tuple, batch.collect()))
     drain()  # nothing new, nothing twice
