@@ -8,7 +8,8 @@ information against the information content of e:
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 + ln p(e | t) / IC(e)
 
 with p(e | t) the share of t's occurrences that stand near e. Terms of MIN_CONTEXTS or
-more different contexts (equal surroundings, as in copies, count once) and a disclosure
+more different contexts (mentions between the same two words, as in exact and near
+copies, count once) and a disclosure
 of DISCLOSURE or more are marked near the mentions of e, and generalised or removed.
 """
 
@@ -94,7 +95,8 @@ def contexts(text: str, spans: dict) -> list:
         after = [m for m in WORD.finditer(text, e, high) if m.end() < high or high == len(text)][:REACH]
         words = [m for m in before + after
                  if not any(a < m.end() and m.start() < b for a, b, _ in mentions)]
-        context = _hash(" ".join(m.group().lower() for m in words))
+        beside = [m[-1].group() if m else "" for m in (before, after[:1])]
+        context = _hash(" ".join(beside).lower())
         rows += [(entity, context, m.group().lower(), *m.span()) for m in words]
     return rows
 
