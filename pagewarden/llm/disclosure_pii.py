@@ -138,7 +138,8 @@ def disclosing_terms(scanned: DataFrame, docs: DataFrame, text="text", min_conte
     terms = materialize(pairs.select("term").distinct(), "pii-terms")
     words = docs.select(F.explode(F.regexp_extract_all(
         F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("term"))
-    counts = words.join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    # Counted before the join: a common word then meets its term once, not at each occurrence.
+    counts = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
     mentions = near.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
     total = scanned.agg(F.sum("n_words")).first()[0] or 1
     share = F.least(F.lit(1.0), F.col("n_near") / F.coalesce("n_term", "n_near"))
