@@ -34,6 +34,7 @@ _USED_ATTRIBUTES = (
     "href", "src", "action", "method", "name", "type", "placeholder", "id", "class",
 )
 _USED_TAGS = ("a", "form", "input", "textarea", "script")
+SPAN_CHUNK = 128
 
 
 def tokens(html: str) -> str:
@@ -143,10 +144,15 @@ def element_spans(tag_array: str, n_tokens: str) -> str:
     positions and names only.  Result: ``spans`` sorted by position and, per
     form, the positions of its parent and of its outermost ancestor within
     reach (-1 is the document).
+
+    Arrays are copied when they grow.  So the pass runs in chunks of SPAN_CHUNK tags: what a
+    chunk finds is put aside as one entry, and the work stays linear in the tags.
     """
-    s, e, p, i = fresh("s"), fresh("e"), fresh("p"), fresh("i")
+    s, e, p, i, c, k = (fresh(n) for n in "sepick")
     levels = lexicon.NOTICE_LEVELS
-    events = f"filter({tag_array}, {e} -> {e}.step <> 0 OR {e}.name IN ('a', 'form'))"
+    span_list = "array<struct<first:int,last:int>>"
+    form_list = "array<struct<pos:int,parent:int,outer:int>>"
+    none = lambda kind: f"CAST(array() AS {kind})"
 
     def closed(positions, end):
         return (f"transform(filter({positions}, {p} -> {p} < 0), "
@@ -184,20 +190,30 @@ def element_spans(tag_array: str, n_tokens: str) -> str:
         f"CAST(array_position({s}.names, {e}.name) AS INT)",
         lambda depth: f"CASE WHEN {depth} > 0 THEN {popped(depth)} ELSE {s} END",
     )
-    empty = state(
-        "CAST(array() AS array<string>)", "CAST(array() AS array<int>)",
-        "CAST(array() AS array<struct<first:int,last:int>>)",
-        "CAST(array() AS array<struct<pos:int,parent:int,outer:int>>)")
-    folded = (
-        f"aggregate({events}, {empty}, ({s}, {e}) -> "
-        f"CASE {e}.step WHEN 1 THEN {opened} WHEN 0 THEN {self_closed} ELSE {closing} END, "
-        f"{s} -> named_struct('spans', array_sort(concat({s}.spans, "
-        f"{closed(f'{s}.open', n_tokens)})), 'forms', {s}.forms))"
-    )
+
+    def chunk(events):
+        return (
+            f"aggregate(slice({events}, {k} + 1, {SPAN_CHUNK}), "
+            f"{state(f'{c}.names', f'{c}.open', none(span_list), none(form_list))}, ({s}, {e}) -> "
+            f"CASE {e}.step WHEN 1 THEN {opened} WHEN 0 THEN {self_closed} ELSE {closing} END)")
+
+    def folded(events):
+        empty = state(none("array<string>"), none("array<int>"),
+                      none(f"array<{span_list}>"), none(f"array<{form_list}>"))
+        step = let(chunk(events), lambda r: state(
+            f"{r}.names", f"{r}.open", f"concat({c}.spans, array({r}.spans))",
+            f"concat({c}.forms, array({r}.forms))"))
+        return (
+            f"aggregate(sequence(0, greatest(size({events}) - 1, 0), {SPAN_CHUNK}), {empty}, "
+            f"({c}, {k}) -> {step}, {c} -> named_struct('spans', array_sort(concat("
+            f"flatten({c}.spans), {closed(f'{c}.open', n_tokens)})), 'forms', flatten({c}.forms)))")
+
+    events = f"filter({tag_array}, {e} -> {e}.step <> 0 OR {e}.name IN ('a', 'form'))"
     return let(
         _plain_links(tag_array),
-        lambda links: f"CASE WHEN exists({links}, {p} -> {p}.last IS NULL) THEN {folded} "
-                      f"ELSE named_struct('spans', {links}, 'forms', {empty}.forms) END",
+        lambda links: f"CASE WHEN exists({links}, {p} -> {p}.last IS NULL) "
+                      f"THEN {let(events, folded)} "
+                      f"ELSE named_struct('spans', {links}, 'forms', {none(form_list)}) END",
     )
 
 
