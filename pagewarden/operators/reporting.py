@@ -6,7 +6,6 @@ from pagewarden import lexicon
 from pagewarden.functions import text as tx, urls
 from pagewarden.operators import cookies as ck
 from pagewarden.operators.company import FIELDS as COMPANY_FIELDS
-from pagewarden.operators.rules import finding_rows
 
 
 def _case(value: str, mapping: dict, default) -> str:
@@ -130,14 +129,14 @@ def latest_reports(all_reports: DataFrame) -> DataFrame:
 def batch_overview(evaluated: DataFrame, failed: DataFrame) -> DataFrame:
     """Long table (measure, value): sites scanned, failed, with high findings,
     findings per rule."""
-    sites = evaluated.select(
-        F.count("*").alias("sites_completed"),
-        F.count_if(F.expr(f"{severity_count('high')} > 0")).alias("sites_with_high"),
-    )
-    measures = sites.unpivot([], ["sites_completed", "sites_with_high"], "measure", "value")
-    failures = failed.agg(F.count("*").alias("value")).select(
-        F.lit("sites_failed").alias("measure"), "value")
-    per_rule = finding_rows(evaluated).groupBy("rule_id").agg(
-        F.count("*").alias("value")
-    ).select(F.concat(F.lit("rule_"), "rule_id").alias("measure"), "value")
-    return measures.unionByName(failures).unionByName(per_rule)
+    f = tx.fresh("f")
+    hits = evaluated.selectExpr(
+        f"explode(concat(array('sites_completed'), CASE WHEN {severity_count('high')} > 0 "
+        "THEN array('sites_with_high') ELSE CAST(array() AS array<string>) END, "
+        f"transform(findings, {f} -> concat('rule_', {f}.rule_id)))) AS measure", "1L AS n")
+    lost = failed.selectExpr("'sites_failed' AS measure", "1L AS n")
+    none = evaluated.sparkSession.createDataFrame(
+        [(m, 0) for m in ("sites_completed", "sites_with_high", "sites_failed")],
+        "measure string, n bigint")
+    return hits.unionByName(lost).unionByName(none).groupBy("measure").agg(
+        F.sum("n").alias("value"))

@@ -5,10 +5,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-# A key is hot from this many rows on; at most MAX_HOT_KEYS of them are treated.
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1000
-SALTS = 64
+# A key is hot from 1 / (SPLIT * shuffle partitions) of the rows on, so there are at most
+# SPLIT * shuffle partitions hot keys, whatever the data.
+SPLIT = 2
 ID_BUCKET_DIGITS = 3  # 16 ** 3 = 4096 numbering buckets
 RANK_CHUNKS = 256
 
@@ -38,44 +37,53 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(df: DataFrame, key: str, floor: int = None) -> list:
-    """Keys with very many rows, most frequent first.
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    Counted with map-side pre-aggregation; the list is bounded, and a key that
-    is not on it only takes the ordinary path.
+
+def hot_keys(df: DataFrame, key: str, floor: int = None) -> dict:
+    """Keys with so many rows that they need several tasks, and how many each needs.
+
+    Counted with map-side pre-aggregation. ``floor`` is the number of rows for one task;
+    without it, the share of one of SPLIT * shuffle partitions equal parts of the table.
     """
-    floor = HOT_ROWS if floor is None else floor
-    rows = (
-        df.where(F.col(key).isNotNull()).groupBy(key).count()
-        .where(F.col("count") >= floor)
-        .orderBy(F.desc("count"), key).limit(MAX_HOT_KEYS).collect()
-    )
-    return [r[key] for r in rows]
+    keyed = df.where(F.col(key).isNotNull()).select(key)
+    if floor is None:
+        floor = max(2, -(-keyed.count() // (SPLIT * _partitions(df.sparkSession))))
+    rows = keyed.groupBy(key).count().where(F.col("count") > floor).collect()
+    return {r[key]: -(-r["count"] // floor) for r in rows}
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list,
-                spread_by: str, how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Equi join whose hot left keys are split over ``salts`` tasks.
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot,
+                spread_by: str, how: str = "left", salts: int = None) -> DataFrame:
+    """Equi join whose hot left keys are split over as many tasks as they need.
 
-    Only right rows of hot keys are repeated; the right side is unique by key.
-    Left rows without a key match nothing, so they are spread as well instead of
-    meeting in the one task of the NULL key.
+    ``hot`` comes from ``hot_keys``; a plain list of keys takes ``salts`` tasks for each. Only
+    right rows of hot keys are repeated, in all at most twice SPLIT * shuffle partitions
+    times; the right side is unique by key. Left rows without a key match nothing, so they
+    are spread as well instead of meeting in the one task of the NULL key.
     """
     if how == "inner" and not hot:
         return left.join(right, key, how)
-    is_hot = F.col(key).isin(*hot) if hot else F.lit(False)
-    salted_left = left.withColumn(
-        "_salt",
-        F.when(is_hot | F.col(key).isNull(),
-               F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0),
-    )
-    # Also without hot keys the salt comes from an explode: a constant column
-    # would be folded away and the salt would leave the join keys.
-    salt_list = F.array(F.lit(0))
-    if hot:
-        salt_list = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(salt_list)
-    salted_right = right.withColumn("_salt", F.explode(salt_list))
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+    spark = left.sparkSession
+    salts = salts or _partitions(spark)
+    parts = hot if isinstance(hot, dict) else dict.fromkeys(hot, salts)
+    fan_out = F.lit(1)
+    if parts:  # few rows, see hot_keys
+        kind = dict(left.dtypes)[key]
+        known = F.broadcast(spark.createDataFrame(
+            list(parts.items()), f"_hot {kind}, _parts int"))
+        left = left.join(known, F.col(key) == F.col("_hot"), "left").drop("_hot")
+        right = right.join(known, F.col(key) == F.col("_hot"), "left").drop("_hot")
+        fan_out = F.coalesce("_parts", F.lit(1))
+    own = F.when(F.col(key).isNull(), salts).otherwise(fan_out)
+    # The salt is worked out on both sides: a constant column would be folded away and
+    # the salt would leave the join keys.
+    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), own).cast("int"))
+    salted_right = right.withColumn("_salt", F.explode(
+        F.sequence(F.lit(0), fan_out - 1) if parts else F.array(F.lit(0))))
+    return salted_left.drop("_parts").join(
+        salted_right.drop("_parts"), [key, "_salt"], how).drop("_salt")
 
 
 def dense_ids(df: DataFrame, key_columns, id_column: str, base=0) -> DataFrame:
@@ -113,20 +121,27 @@ def _chunk_of(value: str, cuts: list, first: int = 0) -> str:
 
 def rank_newest_first(df: DataFrame, key: str, time: str, tie: str, out: str,
                       chunks: int = RANK_CHUNKS) -> DataFrame:
-    """Position of every row within its key by descending time.
+    """Position of every row within its key by descending (time, tie); ``tie`` is an integer.
 
-    The time axis is cut at quantiles of the whole table, so a (key, chunk)
-    group holds about 1/chunks of the rows even if one key holds them all; the
-    counts of the later chunks of a key are added to the position in a chunk.
+    The time axis is cut at quantiles of the whole table, and a time that holds more than
+    one quantile is cut again along ``tie``. So a (key, chunk) group holds about 1/chunks of
+    the rows even if one key or one time holds them all; the counts of the later chunks
+    of a key are added to the position in a chunk.
     """
-    seconds = F.unix_micros(time)
+    timed = df.withColumn("_micros", F.unix_micros(time))
     share = [i / chunks for i in range(1, chunks)]
-    cuts = df.select(
-        F.percentile_approx(seconds, share, 10 * chunks).alias("cuts")
-    ).first()["cuts"]
-    chunked = df.withColumn("_micros", seconds).withColumn(
-        "_chunk", F.expr(_chunk_of("_micros", sorted(set(cuts or []))))
-    ).drop("_micros")
+    cuts = sorted(timed.select(
+        F.percentile_approx("_micros", share, 10 * chunks).alias("cuts")).first()["cuts"] or [])
+    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})  # fewer than ``chunks``
+    beyond = f"CASE WHEN _micros IS NULL THEN 0 ELSE {chunks} END"  # after all parts of a heavy time
+    if heavy:
+        parts = timed.where(F.col("_micros").isin(heavy)).groupBy("_micros").agg(
+            F.percentile_approx(tie, share, 10 * chunks).alias("cuts")).collect()
+        beyond = "CASE _micros " + " ".join(
+            f"WHEN {r['_micros']} THEN {_chunk_of(f'`{tie}`', sorted(set(r['cuts'])))}"
+            for r in parts) + f" ELSE {chunks} END"
+    chunked = timed.withColumn("_chunk", F.expr(
+        f"{_chunk_of('_micros', sorted(set(cuts)))} * {chunks + 1} + {beyond}")).drop("_micros")
     later = Window.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -78,7 +78,7 @@ def _fold(max_pages: int) -> str:
     )
 
 
-def walk_level(state: DataFrame, pool: DataFrame, hot: list, max_pages: int) -> DataFrame:
+def walk_level(state: DataFrame, pool: DataFrame, hot, max_pages: int) -> DataFrame:
     queued = state.select(
         "start", "visited", "pages", F.posexplode_outer("queue").alias("pos", "url")
     ).select(
@@ -107,7 +107,7 @@ def policy_walks(starts: DataFrame, pool: DataFrame,
         F.array("start").alias("queue"),
     )
     for _ in range(max_pages):
-        state = walk_level(state, pool, list(hot), max_pages)
+        state = walk_level(state, pool, hot, max_pages)
     return walk_results(state)
 
 

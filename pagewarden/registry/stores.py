@@ -159,7 +159,7 @@ def d5(spark, sf):
 
 @query("d6_company_upsert", """
 WITH old AS (SELECT * FROM site_companies WHERE company_id % 3 = 0),
-     new AS (SELECT * FROM site_companies WHERE company_id % 2 = 0 AND website_id <> 0)
+     new AS (SELECT * FROM site_companies WHERE (company_id % 2 = 0 OR company_id % 3 <> 0) AND website_id <> 0)
 SELECT coalesce(old.company_id, (SELECT max(company_id) FROM old) + n.id) AS company_id,
   coalesce(old.website_id, new.website_id) AS website_id,
   CASE WHEN new.website_id IS NULL THEN 'old name' ELSE coalesce(new.company_name, new.legal_name) END AS name,
@@ -181,7 +181,7 @@ def d6(spark, sf):
         corpus.websites(spark, sf).select("website_id", "url"), "url").drop("url")
     old = current.where("company_id % 3 = 0").withColumns({
         "name": F.lit("old name"), "created_at": at("2024-01-01"), "updated_at": at("2024-01-01")})
-    new = current.where("company_id % 2 = 0").drop("company_id").withColumn(
+    new = current.where("company_id % 2 = 0 OR company_id % 3 <> 0").drop("company_id").withColumn(
         "written_at", at("2024-02-01"))
     return store.upsert_companies(old, new).select(
         "company_id", "website_id", "name", "legal_name", "nif", "registry_verified",
@@ -193,20 +193,26 @@ SELECT 'scan_status' AS constraint_name, CAST(scan_run_id AS VARCHAR) AS key FRO
 UNION ALL SELECT 'run_website', CAST(scan_run_id AS VARCHAR) FROM runs WHERE website_id % 10 = 0
 UNION ALL SELECT 'finding_run', CAST(scan_run_id * 100 + CAST(substr(rule_id, 2, 2) AS BIGINT) AS VARCHAR)
   FROM stored WHERE scan_run_id % 4 = 1
-UNION ALL SELECT 'finding_run', CAST(scan_run_id * 100 + CAST(substr(rule_id, 2, 2) AS BIGINT) AS VARCHAR)
-  FROM stored WHERE scan_run_id % 4 <> 1 AND false
+UNION ALL SELECT 'run_not_null', CAST(scan_run_id AS VARCHAR) FROM runs WHERE scan_run_id % 60 = 7
+UNION ALL SELECT 'finding_not_null', CAST(scan_run_id * 100 + CAST(substr(rule_id, 2, 2) AS BIGINT) AS VARCHAR)
+  FROM stored WHERE scan_run_id % 8 = 3
+UNION ALL SELECT 'website_not_null', CAST(website_id AS VARCHAR) FROM websites
+  JOIN (VALUES (0), (1)) AS v(n) ON v.n = 0 OR website_id % 7 = 0 WHERE website_id % 10 <> 0 AND website_id % 6 = 1
 UNION ALL SELECT 'unique_website_url', url FROM websites WHERE website_id % 10 <> 0 AND website_id % 7 = 0
 UNION ALL SELECT 'unique_company_website', CAST(website_id AS VARCHAR) FROM site_companies WHERE company_id % 9 = 0
 UNION ALL SELECT 'company_website', CAST(c.company_id AS VARCHAR) FROM site_companies c
   JOIN (VALUES (0), (1)) AS v(n) ON v.n = 0 OR c.company_id % 9 = 0 WHERE c.website_id % 10 = 0""")
 def d7(spark, sf):
     sites = corpus.websites(spark, sf).where("website_id % 10 <> 0")
+    sites = sites.withColumn("domain", F.expr("CASE WHEN website_id % 6 <> 1 THEN domain END"))
     sites = sites.unionByName(sites.where("website_id % 7 = 0"))
     runs = corpus.scan_runs(spark, sf).withColumn(
+        "started_at", F.expr("CASE WHEN scan_run_id % 60 <> 7 THEN started_at END")).withColumn(
         "status", F.expr("CASE WHEN scan_run_id % 50 = 0 THEN 'Paused' ELSE status END"))
     number = F.substring("rule_id", 2, 2).cast("bigint")
     found = corpus.findings(spark, sf).withColumn(
-        "finding_id", F.col("scan_run_id") * 100 + number)
+        "finding_id", F.col("scan_run_id") * 100 + number).withColumn(
+        "status", F.expr("CASE WHEN scan_run_id % 8 <> 3 THEN status END"))
     found = found.withColumn(
         "scan_run_id", F.expr("CASE WHEN scan_run_id % 4 = 1 THEN -scan_run_id ELSE scan_run_id END"))
     ids = corpus.resolutions(spark, sf).selectExpr("company_id", f"{company.cleaned('url')} AS url")
@@ -220,7 +226,9 @@ SELECT s.scan_run_id, s.rule_id FROM stored s JOIN runs r USING (scan_run_id) WH
 def d8(spark, sf):
     """Findings are written under a batch folder before the run status."""
     path = _scratch(spark, "findings")
-    corpus.findings(spark, sf).write.parquet(path)
+    unfinished = corpus.scan_runs(spark, sf).where("status <> 'Completed'").select(
+        "scan_run_id", F.lit("R01").alias("rule_id"), F.lit(lx.FINDING_STATUS_OPEN).alias("status"))
+    corpus.findings(spark, sf).unionByName(unfinished).write.parquet(path)
     return store.published(
         spark.read.parquet(path), corpus.scan_runs(spark, sf)).select("scan_run_id", "rule_id")
 
@@ -275,9 +283,11 @@ def q4(spark, sf):
 
 @query("q5_sites_with_rule_open", """
 SELECT rule_id, count(DISTINCT website_id) AS sites FROM stored s JOIN runs r USING (scan_run_id)
-WHERE s.status = 'Open' GROUP BY rule_id""")
+WHERE s.scan_run_id % 3 <> 0 GROUP BY rule_id""")
 def q5(spark, sf):
-    return sq.open_sites_per_rule(corpus.findings(spark, sf), corpus.scan_runs(spark, sf))
+    found = corpus.findings(spark, sf).withColumn("status", F.when(
+        F.col("scan_run_id") % 3 == 0, "Closed").otherwise(F.col("status")))
+    return sq.open_sites_per_rule(found, corpus.scan_runs(spark, sf))
 
 
 def _tracker_uses(spark, sf):
@@ -464,12 +474,11 @@ def t2(spark, sf):
 
 @query("t2_scan_lifecycle_stream", _STATES)
 def t2_stream(spark, sf):
-    source, progress = _scratch(spark, "events"), _scratch(spark, "progress")
-    name = "lifecycle_" + source[-8:]
+    source, progress, table = (_scratch(spark, n) for n in ("events", "progress", "states"))
     _lifecycle_events(spark, sf).write.parquet(source)
     events = spark.readStream.schema(lifecycle.EVENTS).parquet(source)
-    lifecycle.start_lifecycle(events, name, progress).awaitTermination()
-    return spark.table(name)
+    lifecycle.start_lifecycle(events, table, progress).awaitTermination()
+    return lifecycle.stored_states(spark, table)
 
 
 @query("t2_stuck_runs", f"""

@@ -1,6 +1,8 @@
 """Scan lifecycle from an event stream."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from pagewarden.sources.sinks import SnapshotTable
 
 EVENTS = "scan_run_id bigint, website_id bigint, status string, at timestamp"
 
@@ -29,8 +31,43 @@ def stuck_runs(states: DataFrame, now, limit: str) -> DataFrame:
         & (F.col("started_at") + F.expr(f"INTERVAL {limit}") < F.lit(now).cast("timestamp")))
 
 
-def start_lifecycle(events: DataFrame, name: str, checkpoint: str, delay: str = "1 hour"):
-    """Running-state query into an in-memory table (for monitoring and tests)."""
-    return run_states(events, delay).writeStream.format("memory").queryName(name).option(
-        "checkpointLocation", checkpoint).outputMode("complete").trigger(
-        availableNow=True).start()
+STATE = ("scan_run_id bigint, website_id bigint, started_at timestamp, finished_at timestamp, "
+         "latest struct<at:timestamp,ended:boolean,status:string>")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """One row per run from rows of STATE; only minima and maxima, so repeats change nothing."""
+    return rows.groupBy("scan_run_id").agg(
+        F.max("website_id").alias("website_id"), F.min("started_at").alias("started_at"),
+        F.max("finished_at").alias("finished_at"), F.max("latest").alias("latest"))
+
+
+def _as_states(events: DataFrame) -> DataFrame:
+    ended = F.col("status") != "Running"
+    return events.select(
+        "scan_run_id", "website_id", F.col("at").alias("started_at"),
+        F.when(ended, F.col("at")).alias("finished_at"),
+        F.struct("at", ended.alias("ended"), "status").alias("latest"))
+
+
+def stored_states(spark: SparkSession, path: str) -> DataFrame:
+    """The states that ``start_lifecycle`` has stored, as ``run_states`` gives them."""
+    return SnapshotTable(path, STATE).read(spark).select(
+        "scan_run_id", "website_id", "started_at", F.col("latest.status").alias("status"),
+        "finished_at")
+
+
+def start_lifecycle(events: DataFrame, path: str, checkpoint: str):
+    """Folds new events into a stored table of run states, until the input is used up.
+
+    The state is the table: the stream itself keeps none, however long it runs, nothing
+    comes to the driver, and a repeated batch changes nothing.
+    """
+    table = SnapshotTable(path, STATE)
+
+    def fold(batch: DataFrame, number: int) -> None:
+        new = _merged(_as_states(batch))
+        table.replace(_merged(table.read(batch.sparkSession).unionByName(new)))
+
+    return events.writeStream.foreachBatch(fold).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()

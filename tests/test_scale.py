@@ -35,13 +35,38 @@ def test_salted_join_equals_plain_join(spark):
         F.concat(F.lit("k"), F.col("id") % 40)).alias("key"))
     right = spark.range(40).select(F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("v")
                                    ).union(spark.sql("SELECT 'hot', 99L"))
-    assert scale.hot_keys(left, "key", 300) == ["hot"]
+    assert scale.hot_keys(left, "key", 300) == {"hot": 3}
     for how in ("left", "inner"):
         plain = sorted(map(str, left.join(right, "key", how).select("id", "key", "v").collect()))
         salted = scale.salted_join(left, right, "key", ["hot", "k1"], "id", how, salts=8)
         assert sorted(map(str, salted.select("id", "key", "v").collect())) == plain
 
 
+def test_hot_keys_are_found_and_split_without_a_floor(spark):
+    left = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(
+        F.concat(F.lit("k"), F.col("id") % 999)).alias("key"))
+    right = left.select("key").distinct().withColumn("v", F.length("key"))
+    hot = scale.hot_keys(left, "key")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert list(hot) == ["hot"] and parts < hot["hot"] <= scale.SPLIT * parts
+    for how in ("left", "inner"):
+        salted = scale.salted_join(left, right, "key", hot, "id", how)
+        plain = left.join(right, "key", how)
+        assert sorted(map(tuple, salted.select("id", "key", "v").collect())) == sorted(
+            map(tuple, plain.select("id", "key", "v").collect()))
+
+
+def test_rank_with_one_dominating_time(spark):
+    df = spark.range(2000).select("id", (F.col("id") % 2).alias("site"), F.timestamp_seconds(
+        F.when(F.col("id") % 4 < 3, 1700000000).otherwise(1700000000 + F.col("id") - 1000)).alias("at"))
+    got = {r.id: r.p for r in scale.rank_newest_first(df, "site", "at", "id", "p", 16).collect()}
+    seen, want = {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r.at, r.id), reverse=True):
+        seen[r.site] = seen.get(r.site, 0) + 1
+        want[r.id] = seen[r.site]
+    assert got == want
+
+
 def test_rows_without_key_are_kept_and_spread(spark):
     left = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("key"))
     right = spark.range(50).select(F.col("id").alias("key"), F.lit("x").alias("v"))

@@ -37,10 +37,11 @@ def test_lifecycle_stream_equals_batch(spark, tmp_path):
                                                 "timestamp_seconds(1704067200 + s) AS at")
     source = str(tmp_path / "events")
     events.repartition(4).write.parquet(source)
-    lifecycle.start_lifecycle(spark.readStream.schema(lifecycle.EVENTS).parquet(source),
-                              "lifecycle_test", str(tmp_path / "cp")).awaitTermination()
+    table = str(tmp_path / "states")
+    stream = spark.readStream.schema(lifecycle.EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+    lifecycle.start_lifecycle(stream, table, str(tmp_path / "cp")).awaitTermination()
     batch = lifecycle.run_states(events)
-    assert sorted(spark.table("lifecycle_test").collect()) == sorted(batch.collect())
+    assert sorted(lifecycle.stored_states(spark, table).collect()) == sorted(batch.collect())
     assert {r.scan_run_id: r.status for r in batch.collect()} == {
         1: "Completed", 2: "Running", 3: "Failed"}
     stuck = lifecycle.stuck_runs(batch, "2024-01-01 01:00:10", "1 HOUR").collect()
