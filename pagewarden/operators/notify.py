@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from pagewarden import lexicon, schemas
 from pagewarden.functions import urls
 from pagewarden.operators.reporting import _case
-from pagewarden.operators.scale import dense_ids, materialize
+from pagewarden.operators.scale import dense_ids
 
 
 def category(rule_id: str) -> str:
@@ -42,11 +42,9 @@ FEED_COLUMNS = tuple(part.split()[0] for part in schemas.NOTIFICATIONS.split(",
 def feed(findings: DataFrame, key_columns, created_at: str, base: int = 0, **options) -> DataFrame:
     """The whole feed table: notifications with their id and time, and the finding's key.
 
-    Findings are numbered by their unique key, so the same findings get the same ids. The
-    input is written first: numbering reads it twice.
+    Findings are numbered by their unique key, so the same findings get the same ids.
     """
-    rows = materialize(findings, "feed-findings")
-    keyed = notifications(rows, keep=(*key_columns, created_at), **options)
+    keyed = notifications(findings, keep=(*key_columns, created_at), **options)
     numbered = dense_ids(keyed, key_columns, "notification_id", base)
     return numbered.withColumn("created_at", F.col(created_at).cast("timestamp")).select(
         *FEED_COLUMNS, *key_columns)

@@ -90,8 +90,10 @@ def dense_ids(df: DataFrame, key_columns, id_column: str, base=0) -> DataFrame:
     """Consecutive ids from ``base + 1`` in md5 order of a unique key.
 
     Rows are numbered inside hash buckets in parallel; the offsets of the
-    buckets are 4096 counts, so no task sees more than its bucket.
+    buckets are 4096 counts, so no task sees more than its bucket. The rows are read for
+    the counts and again for the numbers, so they are written first.
     """
+    df = materialize(df, "unnumbered")
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_columns]))
     keyed = df.withColumn("_digest", digest).withColumn(
         "_bucket", F.substring("_digest", 1, ID_BUCKET_DIGITS)

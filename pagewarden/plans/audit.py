@@ -10,7 +10,7 @@ from pagewarden.operators import extraction, rules, scale, walk
 
 @dataclass
 class Audit:
-    """Outcome of an audit; every member is a lazy DataFrame."""
+    """Outcome of an audit; ``facts`` are written, the other members are lazy."""
 
     facts: DataFrame      # one row per loaded page
     evaluated: DataFrame  # one row per valid site record, with its findings

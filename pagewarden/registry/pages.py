@@ -164,6 +164,27 @@ def s8(spark, sf):
         F.count_if(F.expr("remote_address = address")).alias("same_site"))
 
 
+@query("d9_audit_to_store", f"""
+SELECT url, strftime({_REPORT_TIME}, '%Y-%m-%d %H:%M:%S') AS started_at, 'Completed' AS status, NULL AS error_message,
+  count(f.rule_id) AS findings, coalesce(string_agg(f.rule_id, '|' ORDER BY f.rule_id), '') AS rules
+FROM good LEFT JOIN found f USING (page_id) GROUP BY page_id, url
+UNION ALL
+SELECT url, strftime({_REPORT_TIME}, '%Y-%m-%d %H:%M:%S'), 'Failed', CASE WHEN status <> 200
+  THEN concat('HTTP ', CAST(status AS VARCHAR)) ELSE concat('invalid policy link: ', policy_url) END, 0, ''
+FROM c_pages LEFT JOIN policy_url USING (page_id)
+WHERE status <> 200 OR (policy_url IS NOT NULL AND policy_url NOT LIKE 'http%')""")
+def d9(spark, sf):
+    from pagewarden.plans import persist
+    kept = persist.persist(_full_audit(spark, sf), persist.empty_store(spark)).store
+    found = kept.findings.groupBy("scan_run_id").agg(
+        F.count("*").alias("findings"),
+        F.array_join(F.array_sort(F.collect_list("rule_id")), "|").alias("rules"))
+    return kept.runs.join(kept.websites, "website_id").join(found, "scan_run_id", "left").select(
+        "url", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "status",
+        "error_message", F.coalesce("findings", F.lit(0).cast("bigint")).alias("findings"),
+        F.coalesce("rules", F.lit("")).alias("rules"))
+
+
 # -- URL expressions --------------------------------------------------------------
 def _hrefs(spark, sf):
     """Every link target and script source of the crawl, plus relative forms."""

@@ -148,3 +148,44 @@ def test_company_never_changes_rows_of_sites(spark):
     rows = {r.url: r for r in merged}
     assert rows["https://f.com"].company_legal_name == "Feedzai"
     assert rows["https://g.com"].company_legal_name is None
+
+
+def test_persisted_audits(spark):
+    """Two audits into one store: sites once, runs each time, findings of completed runs only."""
+    from conftest import SMALL
+    from pagewarden.operators import rules
+    from pagewarden.plans import audit, persist
+    from pagewarden.sources import corpus
+
+    done = audit.run_audit(corpus.site_pages(spark, SMALL), corpus.legal_pages(spark, SMALL))
+    companies = spark.createDataFrame(
+        [(done.evaluated.first().url, "Some Company", "500000001"), ("https://unknown.example/", "Other", None)],
+        "url string, company_name string, nif string").selectExpr(
+        "url", "company_name", "CAST(NULL AS string) AS legal_name", "nif", "CAST(NULL AS string) AS address",
+        "true AS registry_verified", "'' AS note", "'' AS nameservers")
+    one = persist.persist(done, persist.empty_store(spark), companies)
+    two = persist.persist(done, one.store, companies)
+    n_found = rules.finding_rows(done.evaluated, "page_id").count()
+    n_runs = done.evaluated.count() + done.failed.count()
+    assert one.store.runs.count() == n_runs and two.store.runs.count() == 2 * n_runs
+    assert one.feed.count() == n_found and one.reports.count() == done.evaluated.count()
+    assert two.store.findings.count() == 2 * n_found
+    assert two.store.findings.select("finding_id").distinct().count() == 2 * n_found
+    assert sorted(two.store.websites.collect()) == sorted(one.store.websites.collect())
+    assert store.violations(*[getattr(two.store, t) for t in (
+        "websites", "runs", "findings", "companies")]).count() == 0
+    assert {r.status for r in two.store.runs.collect()} == {"Completed", "Failed"}
+    assert store.published(two.store.findings, two.store.runs).count() == 2 * n_found
+    assert [(r.name, r.nif) for r in two.store.companies.collect()] == [("Some Company", "500000001")]
+    evidence = {r.evidence_json for r in one.store.findings.collect()}
+    assert evidence == {r.evidence for r in rules.finding_rows(done.evaluated, "page_id").collect()}
+
+
+def test_persisting_nothing(spark):
+    from conftest import SMALL
+    from pagewarden.plans import audit, persist
+    from pagewarden.sources import corpus
+
+    none = audit.run_audit(corpus.site_pages(spark, SMALL).limit(0))
+    kept = persist.persist(none, persist.empty_store(spark)).store
+    assert kept.runs.count() == kept.websites.count() == kept.findings.count() == 0
