@@ -24,29 +24,34 @@ BROADCAST_WINDOWS = 1_000_000  # 24 bytes each; above this the windows are shuff
 UNITS = ("kg|g|mg|lb|oz|km|m|cm|mm|mi|ft|in|l|ml|h|min|s|ms|kb|mb|gb|tb|hz|kw|kwh|w|v|a|"
          "percent|dollars|euros|cents|years|months|weeks|days|hours|minutes|seconds|"
          "meters|metres|miles|feet|inches|pounds|grams|liters|litres")
-NAME = r"([\p{L},;] )((?:\p{Lu}\p{Ll}++)(?: \p{Lu}\p{Ll}++)*+)(?![\p{L}\p{N}])"
-NUMBER = r"((?<![\p{L}\p{N}])[0-9]++(?:[.,][0-9]++)*+)(?![\p{L}\p{N}])"
+# Each starts with the character it needs and looks back from there, so most places fail at once.
+NAME = r"\p{Lu}(?<=[\p{L},;] \p{Lu})\p{Ll}++(?: \p{Lu}\p{Ll}++)*+(?![\p{L}\p{N}])"
+NUMBER = r"([0-9](?<![\p{L}\p{N}][0-9])[0-9]*+(?:[.,][0-9]++)*+)(?![\p{L}\p{N}])"
 UNIT = rf"(#n(?:⟦[^⟧]*⟧)? ?)((?i:{UNITS})|[%$€£])(?![\p{{L}}\p{{N}}])"
 GAP = r"[^\p{L}\p{N}#]+"
 
 
 def _canonical(text):
-    marked = F.regexp_replace(text, "#", " ")
+    marked = F.replace(text, F.lit("#"), F.lit(" "))
     marked = F.regexp_replace(marked, NUMBER, "#n")
     marked = F.regexp_replace(marked, UNIT, "$1 #u")
-    return F.split(F.lower(F.regexp_replace(marked, NAME, "$1#p")), GAP)
+    words = F.split(F.lower(F.regexp_replace(marked, NAME, "#p")), GAP)
+    return F.array_remove(words, "")  # one at either end at most
 
 
 def _windows(rows: DataFrame, keys: list, text: str, window: int) -> DataFrame:
-    """keys, at, h for every window; a shorter text is one window, an empty one none."""
-    rows = rows.select(*keys, _canonical(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    start = F.when(F.col("w")[0] == "", 1).otherwise(0)
-    end = F.size("w") - F.when(F.element_at("w", -1) == "", 1).otherwise(0)
-    rows = rows.select(*keys, "w", start.alias("lo"), end.alias("hi")).where("hi > lo")
-    hashes = F.expr(
-        f"transform(sequence(lo, greatest(lo, hi - {window})), "
-        f"i -> xxhash64(slice(w, i + 1, least({window}, hi - i))))")
-    return rows.select(*keys, F.posexplode(hashes).alias("at", "h"))
+    """keys, at, h for every window; a shorter text is one window, an empty one none.
+
+    Words are hashed once. The explode is an outer one (an inner one would have its input
+    worked out twice, for an inferred filter on its size), and a window's hash is taken behind it.
+    """
+    canonical = _canonical(F.coalesce(F.col(text), F.lit("")))
+    rows = rows.select(*keys, F.transform(canonical, lambda w: F.xxhash64(w)).alias("w"))
+    rows = rows.select(*keys, "w", F.posexplode_outer("w").alias("at", "first"))
+    rows = rows.where(F.col("at").isNotNull() & (
+        (F.col("at") == 0) | (F.col("at") + window <= F.size("w"))))
+    rest = [F.get("w", F.col("at") + k) for k in range(1, window)]  # nulls beyond a short text
+    return rows.select(*keys, "at", F.xxhash64("first", *rest).alias("h"))
 
 
 def _slots(rows: DataFrame, keys: list, text: str) -> DataFrame:
@@ -54,7 +59,7 @@ def _slots(rows: DataFrame, keys: list, text: str) -> DataFrame:
     marked = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[#⟦⟧]", " ")
     marked = F.regexp_replace(marked, NUMBER, "#n⟦$1⟧")
     marked = F.regexp_replace(marked, UNIT, "$1 #u⟦$2⟧")
-    marked = F.regexp_replace(marked, NAME, "$1#p⟦$2⟧")
+    marked = F.regexp_replace(marked, NAME, "#p⟦$0⟧")
     words = F.regexp_extract_all(marked, F.lit(r"#[npu]⟦[^⟧]*⟧|[\p{L}\p{N}]+"), F.lit(0))
     return rows.select(*keys, F.posexplode(words).alias("at", "word")).where(
         F.col("word").startswith("#")).select(
