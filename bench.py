@@ -7,6 +7,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pagewarden.operators.scale import close  # noqa: E402
 from pagewarden.registry import audits, pages, stores  # noqa: E402
 from pagewarden.session import local_session  # noqa: E402
 from pagewarden.sources.tables import read_table  # noqa: E402
@@ -60,6 +61,7 @@ def main() -> None:
         "audited_pages_per_sec": round(n_pages / seconds["report_dataset"], 1),
         "findings_per_sec": round(n_findings / seconds["all_rules"], 1),
     }))
+    close(spark)
     spark.stop()
 
 

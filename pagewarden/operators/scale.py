@@ -26,13 +26,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; ``close`` removes it."""
+    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def close(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables, after its last sink is written.
+
+    Data frames made by ``materialize`` before cannot be read afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table once and go on from the written files.
 
     The lineage ends here, later readers prune columns, and a lost executor
     costs a re-read instead of a recomputation.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

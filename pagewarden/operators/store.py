@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagewarden import lexicon
 from pagewarden.functions import urls
-from pagewarden.operators.scale import dense_ids
+from pagewarden.operators.scale import dense_ids, hot_keys, salted_join
 
 
 def _last_id(table: DataFrame, column: str) -> int:
@@ -122,21 +122,40 @@ def upsert_companies(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+# Columns that must hold a value, by table.
+REQUIRED = {
+    "website": ("url", "domain", "created_at"),
+    "run": ("website_id", "started_at", "status"),
+    "finding": ("scan_run_id", "rule_id", "description", "recommendation", "evidence_json", "status",
+                "created_at"),
+    "company": ("website_id", "name", "created_at", "updated_at"),
+}
+
+
 def violations(websites: DataFrame, runs: DataFrame, findings: DataFrame,
                companies: DataFrame) -> DataFrame:
-    """Rows breaking a constraint, as (constraint_name, key)."""
+    """Rows breaking a constraint, as (constraint_name, key).
+
+    A missing key is a missing value and refers to nothing; it repeats nothing.
+    """
     def named(df, name, key):
         return df.select(F.lit(name).alias("constraint_name"),
                          F.col(key).cast("string").alias("key"))
 
     def repeated(df, key, name):
-        return named(df.groupBy(key).count().where("count > 1"), name, key)
+        return named(df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1"), name, key)
 
     def orphan(df, parent, key, own, name):
-        return named(df.join(parent.select(key).distinct(), key, "left_anti"), name, own)
+        rows = df.select(key, own)  # one parent may have a third of the rows
+        parents = parent.select(key).distinct().withColumn("_parent", F.lit(True))
+        kept = salted_join(rows, parents, key, hot_keys(rows, key), spread_by=own)
+        return named(kept.where("_parent IS NULL"), name, own)
+
+    def required(df, table):
+        missing = " OR ".join(f"{c} IS NULL" for c in REQUIRED[table])
+        key = {"run": "scan_run_id"}.get(table, f"{table}_id")
+        return named(df.where(missing), f"{table}_not_null", key)
 
-    required = lambda df, own, columns, name: named(
-        df.where(" OR ".join(f"{c} IS NULL" for c in columns)), name, own)
     parts = [
         repeated(websites, "url", "unique_website_url"),
         repeated(companies, "website_id", "unique_company_website"),
@@ -145,9 +164,10 @@ def violations(websites: DataFrame, runs: DataFrame, findings: DataFrame,
         orphan(runs, websites, "website_id", "scan_run_id", "run_website"),
         orphan(findings, runs, "scan_run_id", "finding_id", "finding_run"),
         orphan(companies, websites, "website_id", "company_id", "company_website"),
-        required(websites, "website_id", ("url", "domain"), "website_not_null"),
-        required(runs, "scan_run_id", ("website_id", "started_at", "status"), "run_not_null"),
-        required(findings, "finding_id", ("scan_run_id", "rule_id", "status"), "finding_not_null"),
+        required(websites, "website"),
+        required(runs, "run"),
+        required(findings, "finding"),
+        required(companies, "company"),
     ]
     result = parts[0]
     for part in parts[1:]:

@@ -28,16 +28,17 @@ def _audit(spark, sf):
     return audit.run_audit(corpus.site_pages(spark, sf), corpus.legal_pages(spark, sf))
 
 
-def _legal(spark, sf):
-    """Readable legal pages with text, language and flags."""
-    host = F.regexp_extract("url", "^([a-z]+://[^/]+)", 1)
-    return ex.with_elements(corpus.legal_pages(spark, sf)).where("ok").selectExpr(
-        "url", "plain_text", f"{language.detect('plain_text')} AS language",
-        "lower(plain_text) AS lower_text"
-    ).withColumns({
-        "site": host,
-        "flags": F.expr(policy.element_flags("lower_text", "language")),
-    })
+def _policy_texts(spark, sf):
+    """Readable legal pages and all documents, with language and flags; k is the reading order."""
+    order = {path: k for k, path, _, _ in corpus.LEGAL_PAGES}
+    position = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
+    legal = ex.with_elements(corpus.legal_pages(spark, sf)).where("ok").select(
+        "url", F.regexp_extract("url", "^([a-z]+://[^/]+)", 1).alias("site"),
+        position[F.regexp_extract("url", "(/[a-z]+)$", 1)].cast("bigint").alias("k"),
+        F.col("plain_text").alias("text"))
+    return legal.unionByName(corpus.policy_documents(spark, sf)).selectExpr(
+        "url", "site", "k", f"{language.detect('text')} AS language", "lower(text) AS lower_text"
+    ).withColumn("flags", F.expr(policy.element_flags("lower_text", "language")))
 
 
 _PIVOT = ", ".join(f"bool_or(hit) FILTER (flag = '{k}') AS {k}" for k in FLAGS)
@@ -54,21 +55,21 @@ def p1(spark, sf):
     return walk.policy_lookup(sites, loaded)
 
 
-@query("p2_required_elements", f"SELECT url, {_PIVOT} FROM legal_flags GROUP BY url")
+@query("p2_required_elements", f"SELECT url, {_PIVOT} FROM policy_flags GROUP BY url")
 def p2(spark, sf):
-    return _legal(spark, sf).select("url", "flags.*")
+    return _policy_texts(spark, sf).select("url", "flags.*")
 
 
 _VARIANTS = "(VALUES ('pt-PT'), ('en'), ('fr'), ('unknown'))"
 
 
 @query("p3_dictionary_choice", f"""
-SELECT url, v.language, count(DISTINCT flag) AS flags_found FROM legal_text t CROSS JOIN {_VARIANTS} AS v(language)
+SELECT url, v.language, count(DISTINCT flag) AS flags_found FROM policy_text t CROSS JOIN {_VARIANTS} AS v(language)
 LEFT JOIN dict d ON contains(lower(t.text), d.phrase) AND (v.language LIKE d.lang || '%'
   OR NOT (v.language LIKE 'pt%' OR v.language LIKE 'en%')) GROUP BY ALL""")
 def p3(spark, sf):
     flags = ", ".join(f"CASE WHEN f.{k} THEN 1 ELSE 0 END" for k in FLAGS)
-    return _legal(spark, sf).selectExpr(
+    return _policy_texts(spark, sf).selectExpr(
         "url", "lower_text", "explode(array('pt-PT', 'en', 'fr', 'unknown')) AS lang"
     ).selectExpr(
         "url", "lang AS language", f"{policy.element_flags('lower_text', 'lang')} AS f"
@@ -77,20 +78,15 @@ def p3(spark, sf):
 
 
 @query("p4_merged_flags", f"""
-SELECT concat(scheme, '://', host) AS site, {_PIVOT} FROM legal_flags GROUP BY ALL""")
+SELECT site, {_PIVOT} FROM policy_flags GROUP BY ALL""")
 def p4(spark, sf):
-    return policy.flags_by(_legal(spark, sf), "site")
+    return policy.flags_by(_policy_texts(spark, sf), "site")
 
 
 @query("p5_first_evidence", """
-SELECT concat(scheme, '://', host) AS site, flag, arg_min(url, k) AS evidence_url
-FROM legal_flags WHERE hit GROUP BY ALL""")
+SELECT site, flag, arg_min(url, k) AS evidence_url FROM policy_flags WHERE hit GROUP BY ALL""")
 def p5(spark, sf):
-    order = {path: k for k, path, _, _ in corpus.LEGAL_PAGES}
-    position = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    pages = _legal(spark, sf).withColumn(
-        "k", position[F.regexp_extract("url", "(/[a-z]+)$", 1)])
-    return policy.first_evidence(pages, "site", "k")
+    return policy.first_evidence(_policy_texts(spark, sf), "site", "k")
 
 
 @query("p6_legal_page_walk", "SELECT page_id, policy_url, pages, pages_read FROM reads")

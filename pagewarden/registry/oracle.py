@@ -168,6 +168,16 @@ FROM (SELECT url, scheme, host, k, unnest(regexp_extract_all(html, '<[^>]*>|[^<]
 SELECT t.url, t.scheme, t.host, t.k, d.flag, bool_or(contains(lower(t.text), d.phrase) AND (
     d.lang = l.language OR l.language NOT IN ('pt', 'en'))) AS hit
 FROM legal_text t JOIN legal_lang l USING (url) CROSS JOIN dict d GROUP BY ALL""",
+    "policy_text": f"""
+SELECT url, concat(scheme, '://', host) AS site, k, text FROM legal_text
+UNION ALL SELECT concat('doc:', CAST(doc_id AS VARCHAR)), source, doc_id, concat(coalesce(text, ''), '. ', phrase)
+FROM documents JOIN (VALUES {rows(enumerate(cp.DOCUMENT_PHRASES))}) AS v(n, phrase)
+  ON doc_id % {len(cp.DOCUMENT_PHRASES)} = v.n""",
+    "policy_lang": voted("policy_text", "url", "text"),
+    "policy_flags": """
+SELECT t.url, t.site, t.k, d.flag, bool_or(contains(lower(t.text), d.phrase) AND (
+    d.lang = l.language OR l.language NOT IN ('pt', 'en'))) AS hit
+FROM policy_text t JOIN policy_lang l USING (url) CROSS JOIN dict d GROUP BY ALL""",
     "walk_ok": "SELECT scheme, host, " + ", ".join(
         f"(length(host) + {k}) % 6 <> 0 AS ok{k}" for k in range(5)
     ) + " FROM (SELECT DISTINCT scheme, host FROM c_pages)",

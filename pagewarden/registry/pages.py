@@ -8,7 +8,7 @@ from pagewarden.operators import cookies as ck, extraction as ex, reporting, rul
 from pagewarden.plans import audit
 from pagewarden.registry import oracle as o
 from pagewarden.sources import catalogue, corpus, sinks
-from pagewarden.operators.scale import materialize, scratch_dir
+from pagewarden.operators.scale import materialize, run_dir
 from pagewarden.sources.tables import read_table, read_texts
 
 Q = {}
@@ -23,7 +23,7 @@ def query(name, sql=None):
 
 def _scratch(spark, name):
     import uuid
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # -- sources and sinks ----------------------------------------------------------

@@ -188,35 +188,56 @@ def d6(spark, sf):
         "created_at", "updated_at")
 
 
-@query("d7_constraint_violations", """
+_FINDING_KEY = "CAST(scan_run_id * 100 + CAST(substr(rule_id, 2, 2) AS BIGINT) AS VARCHAR)"
+_TWICE = "JOIN (VALUES (0), (1)) AS v(n) ON v.n = 0 OR"
+
+
+@query("d7_constraint_violations", f"""
 SELECT 'scan_status' AS constraint_name, CAST(scan_run_id AS VARCHAR) AS key FROM runs WHERE scan_run_id % 50 = 0
-UNION ALL SELECT 'run_website', CAST(scan_run_id AS VARCHAR) FROM runs WHERE website_id % 10 = 0
-UNION ALL SELECT 'finding_run', CAST(scan_run_id * 100 + CAST(substr(rule_id, 2, 2) AS BIGINT) AS VARCHAR)
-  FROM stored WHERE scan_run_id % 4 = 1
-UNION ALL SELECT 'run_not_null', CAST(scan_run_id AS VARCHAR) FROM runs WHERE scan_run_id % 60 = 7
-UNION ALL SELECT 'finding_not_null', CAST(scan_run_id * 100 + CAST(substr(rule_id, 2, 2) AS BIGINT) AS VARCHAR)
-  FROM stored WHERE scan_run_id % 8 = 3
-UNION ALL SELECT 'website_not_null', CAST(website_id AS VARCHAR) FROM websites
-  JOIN (VALUES (0), (1)) AS v(n) ON v.n = 0 OR website_id % 7 = 0 WHERE website_id % 10 <> 0 AND website_id % 6 = 1
+UNION ALL SELECT 'run_website', CAST(scan_run_id AS VARCHAR) FROM runs WHERE website_id % 10 = 0 OR scan_run_id % 80 = 13
+UNION ALL SELECT 'finding_run', {_FINDING_KEY} FROM stored WHERE scan_run_id % 4 = 1 OR scan_run_id % 11 = 6
+UNION ALL SELECT 'run_not_null', CAST(scan_run_id AS VARCHAR) FROM runs
+  WHERE scan_run_id % 60 = 7 OR scan_run_id % 80 = 13 OR scan_run_id % 70 = 9
+UNION ALL SELECT 'finding_not_null', {_FINDING_KEY} FROM stored WHERE scan_run_id % 11 IN (0, 1, 2, 3, 4, 5, 6)
+UNION ALL SELECT 'website_not_null', CAST(website_id AS VARCHAR) FROM websites {_TWICE} website_id % 7 = 0
+  WHERE website_id % 10 <> 0 AND (website_id % 6 = 1 OR website_id % 11 = 3)
+UNION ALL SELECT 'company_not_null', CAST(company_id AS VARCHAR) FROM site_companies {_TWICE} company_id % 9 = 0
+  WHERE company_id % 13 IN (1, 2, 3, 4)
 UNION ALL SELECT 'unique_website_url', url FROM websites WHERE website_id % 10 <> 0 AND website_id % 7 = 0
-UNION ALL SELECT 'unique_company_website', CAST(website_id AS VARCHAR) FROM site_companies WHERE company_id % 9 = 0
-UNION ALL SELECT 'company_website', CAST(c.company_id AS VARCHAR) FROM site_companies c
-  JOIN (VALUES (0), (1)) AS v(n) ON v.n = 0 OR c.company_id % 9 = 0 WHERE c.website_id % 10 = 0""")
+UNION ALL SELECT 'unique_company_website', CAST(website_id AS VARCHAR) FROM site_companies
+  WHERE company_id % 9 = 0 AND company_id % 13 <> 4
+UNION ALL SELECT 'company_website', CAST(company_id AS VARCHAR) FROM site_companies {_TWICE} company_id % 9 = 0
+  WHERE website_id % 10 = 0 OR company_id % 13 = 4""")
 def d7(spark, sf):
-    sites = corpus.websites(spark, sf).where("website_id % 10 <> 0")
-    sites = sites.withColumn("domain", F.expr("CASE WHEN website_id % 6 <> 1 THEN domain END"))
+    """Every required column lacks its value in some rows."""
+    def without(column, test):
+        return F.expr(f"CASE WHEN NOT ({test}) THEN {column} END").alias(column)
+
+    day = "TIMESTAMP '2024-01-01 00:00:00'"
+    sites = corpus.websites(spark, sf).where("website_id % 10 <> 0").withColumn(
+        "created_at", F.expr(day)).select(
+        "website_id", "url", without("domain", "website_id % 6 = 1"),
+        without("created_at", "website_id % 11 = 3"))
     sites = sites.unionByName(sites.where("website_id % 7 = 0"))
-    runs = corpus.scan_runs(spark, sf).withColumn(
-        "started_at", F.expr("CASE WHEN scan_run_id % 60 <> 7 THEN started_at END")).withColumn(
-        "status", F.expr("CASE WHEN scan_run_id % 50 = 0 THEN 'Paused' ELSE status END"))
+    runs = corpus.scan_runs(spark, sf).withColumn("status", F.expr(
+        "CASE WHEN scan_run_id % 50 = 0 THEN 'Paused' ELSE status END")).select(
+        "scan_run_id", without("website_id", "scan_run_id % 80 = 13"),
+        without("started_at", "scan_run_id % 60 = 7"), without("status", "scan_run_id % 70 = 9"))
     number = F.substring("rule_id", 2, 2).cast("bigint")
-    found = corpus.findings(spark, sf).withColumn(
-        "finding_id", F.col("scan_run_id") * 100 + number).withColumn(
-        "status", F.expr("CASE WHEN scan_run_id % 8 <> 3 THEN status END"))
-    found = found.withColumn(
-        "scan_run_id", F.expr("CASE WHEN scan_run_id % 4 = 1 THEN -scan_run_id ELSE scan_run_id END"))
-    ids = corpus.resolutions(spark, sf).selectExpr("company_id", f"{company.cleaned('url')} AS url")
-    companies = ids.join(corpus.websites(spark, sf).select("website_id", "url"), "url")
+    run = F.expr("CASE WHEN scan_run_id % 11 = 6 THEN NULL WHEN scan_run_id % 4 = 1 "
+                 "THEN -scan_run_id ELSE scan_run_id END").alias("scan_run_id")
+    columns = ("status", "description", "recommendation", "evidence_json", "created_at", "rule_id")
+    found = corpus.findings(spark, sf).withColumns({
+        "description": F.col("rule_id"), "recommendation": F.col("rule_id"),
+        "evidence_json": F.lit("{}"), "created_at": F.expr(day)}).select(
+        (F.col("scan_run_id") * 100 + number).alias("finding_id"), run,
+        *[without(c, f"scan_run_id % 11 = {n}") for n, c in enumerate(columns)])
+    ids = corpus.resolutions(spark, sf).selectExpr(
+        "company_id", f"{company.cleaned('url')} AS url", "company_name AS name",
+        f"{day} AS created_at", f"{day} AS updated_at")
+    columns = ("name", "created_at", "updated_at", "website_id")
+    companies = ids.join(corpus.websites(spark, sf).select("website_id", "url"), "url").select(
+        "company_id", *[without(c, f"company_id % 13 = {n}") for n, c in enumerate(columns, 1)])
     companies = companies.unionByName(companies.where("company_id % 9 = 0"))
     return store.violations(sites, runs, found, companies)
 

@@ -7,7 +7,7 @@ Spark and in the checking engine.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewarden import schemas
+from pagewarden import lexicon, schemas
 from pagewarden.sources.tables import read_table, read_texts
 
 PAGES_SQL = """
@@ -124,6 +124,21 @@ def legal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Every phrase of the policy dictionaries, three to a document, in turn.
+_PHRASES = [p for keys in lexicon.POLICY_PHRASES.values() for of in keys.values() for p in of]
+DOCUMENT_PHRASES = [". ".join(_PHRASES[k:k + 3]) for k in range(0, len(_PHRASES), 3)]
+
+
+def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as policy texts, a few phrases behind each: url, site, k (reading order), text."""
+    phrases = F.array(*[F.lit(p) for p in DOCUMENT_PHRASES])
+    return read_texts(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"),
+        F.col("source").alias("site"), F.col("doc_id").cast("bigint").alias("k"),
+        F.concat(F.coalesce("text", F.lit("")), F.lit(". "), F.get(
+            phrases, (F.col("doc_id") % len(DOCUMENT_PHRASES)).cast("int"))).alias("text"))
+
+
 # -- store rows derived from the event table ---------------------------------
 def websites(spark, sf_dir) -> DataFrame:
     user = F.col("user_id").cast("string")

@@ -8,13 +8,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with long texts, spread over all cores.
-
-    At scale the scan has more splits than cores and nothing is shuffled; only
-    an input in a few small files is repartitioned.
+    """A table with long texts. A cluster reads it as it is split and shuffles nothing; in
+    local mode a table of fewer files than cores is spread over the cores.
     """
     table = read_table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores)
+    context = spark.sparkContext
+    if context.master.startswith("local") and len(table.inputFiles()) < context.defaultParallelism:
+        return table.repartition(context.defaultParallelism)
     return table

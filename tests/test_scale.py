@@ -83,3 +83,43 @@ def test_materialize_keeps_schema_and_rows(spark):
     again = scale.materialize(df, "t")
     assert again.schema.simpleString() == df.schema.simpleString()
     assert again.count() == 10
+
+
+def test_close_removes_the_run_folder(spark):
+    import os
+    from pagewarden.operators import scale
+
+    other = spark.newSession()
+    kept = scale.materialize(other.range(3).toDF("n"), "kept")
+    assert kept.count() == 3 and os.path.isdir(scale.run_dir(other))
+    scale.close(other)
+    assert not os.path.exists(scale.run_dir(other))
+    assert scale.materialize(other.range(2).toDF("n"), "again").count() == 2
+
+
+def test_orphans_of_a_hot_parent(spark):
+    from pagewarden.operators import store
+
+    sites = spark.sql("SELECT id AS website_id, concat('https://s', id) AS url, 's' AS domain, "
+                      "TIMESTAMP '2024-01-01' AS created_at FROM range(5)")
+    runs = spark.sql("""SELECT id AS scan_run_id, CASE WHEN id % 4 <> 0 THEN 7 WHEN id % 100 = 0 THEN NULL
+        ELSE id % 5 END AS website_id, TIMESTAMP '2024-01-01' AS started_at, 'Completed' AS status FROM range(4000)""")
+    findings = spark.sql("""SELECT 1L AS finding_id, 1L AS scan_run_id, 'R01' AS rule_id, '' AS description,
+        '' AS recommendation, '{}' AS evidence_json, 'Open' AS status, TIMESTAMP '2024-01-01' AS created_at""")
+    companies = spark.sql("""SELECT 1L AS company_id, 1L AS website_id, 'x' AS name,
+        TIMESTAMP '2024-01-01' AS created_at, TIMESTAMP '2024-01-01' AS updated_at""")
+    got = store.violations(sites, runs, findings, companies)
+    by_name = {r.constraint_name: r["count"] for r in got.groupBy("constraint_name").count().collect()}
+    assert by_name == {"run_website": 3000 + 40, "run_not_null": 40}
+
+
+def test_every_policy_phrase_is_met(spark):
+    from conftest import SMALL
+    from pagewarden import lexicon
+    from pagewarden.sources import corpus
+
+    texts = [r.text.lower() for r in corpus.policy_documents(spark, SMALL).select("text").collect()]
+    for keys in lexicon.POLICY_PHRASES.values():
+        for phrases in keys.values():
+            for phrase in phrases:
+                assert any(phrase in t for t in texts), phrase
