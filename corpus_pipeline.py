@@ -7,11 +7,10 @@ from pagewarden.llm import bpe_automaton, line_spread, quality_qda, simhash_tile
 from pagewarden.llm.common import materialize, read
 from pagewarden.llm.queries import VOCABULARY, held_out
 
-# Near duplicates: shingles of five words, similarity 0.8. Over 256 fingerprint bits that
-# similarity means 256 * acos(0.8 * 2 / 1.8) / pi = 39 differing bits, and 42 with half a
-# standard deviation of allowance; texts whose shingle counts differ by more than
-# 0.8 cannot be that similar.
-WORDS, FINGERPRINT_WORDS, RADIUS, SIZE_RATIO = 5, 4, 42, 0.8
+# Near duplicates: Jaccard similarity 0.8 of the sets of five-word shingles. Over 256 fingerprint
+# bits that similarity means about 39 differing bits (sets of 4 and 5 shingles: 48), with a standard
+# deviation of 6; fingerprints only search, so the radius is four of them wider.
+WORDS, FINGERPRINT_WORDS, RADIUS, SIMILARITY = 5, 4, 72, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates."""
-    return simhash_tiles.one_of_each(docs, RADIUS, WORDS, FINGERPRINT_WORDS, SIZE_RATIO)
+    return simhash_tiles.one_of_each(docs, RADIUS, WORDS, FINGERPRINT_WORDS, SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,11 @@ and each allowed pair of its tiles is one unit of work.
 
 A unit returns a spanning forest of its links (fewer rows than it read), never all
 pairs; components then come from repeated smallest-neighbour steps.
+
+``one_of_each`` goes by the Jaccard similarity of the sets of shingles, which a fingerprint only
+estimates: there fingerprints are of distinct shingles and only search. A forest of links within
+half the radius is confirmed by the shingle sets themselves and joined to components; then all
+pairs within the radius whose ends are still apart are confirmed too.
 """
 
 import numpy as np
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pagewarden.llm.common import map_batches, materialize, spread
 
 SEED = 42
+PAIR_CELLS = 1 << 20  # distances held at a time when all pairs of a unit are wanted
 MIN_TILE, MAX_TILE = 1024, 16384
 UNIT_ROWS_PER_TASK = 65536
 _U = np.uint64
@@ -32,21 +38,33 @@ _U = np.uint64
 _M1, _M2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
 
 
-def fingerprint(text: str, words: int, n_words64: int = 1) -> tuple:
-    """Fingerprint as big-endian bytes, and the number of shingles.
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """Hashes of the shingles in their order, repeats included.
 
-    A-Z are lower-cased; words are runs of anything but ASCII white space.
+    A-Z are lower-cased; words are runs of anything but ASCII white space. A text of fewer
+    words is one shingle.
     """
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return bytes(8 * n_words64), 0
+        return np.empty(0, _U)
     line, ends = b" ".join(parts), np.cumsum([len(p) + 1 for p in parts])
     n = max(1, len(parts) - words + 1)
     first = [0, *(ends[: n - 1].tolist())]
     last = (ends[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(first, last)], _U)
-    out = []
+    return np.array([digest(line[a:b], SEED) for a, b in zip(first, last)], _U)
+
+
+def fingerprint(text: str, words: int, n_words64: int = 1) -> tuple:
+    """Fingerprint as big-endian bytes, and the number of shingles."""
+    hashes = shingle_hashes(text, words)
+    return majority(hashes, n_words64), len(hashes)
+
+
+def majority(hashes: np.ndarray, n_words64: int) -> bytes:
+    n, out = len(hashes), []
+    if not n:
+        return bytes(8 * n_words64)
     for k in range(n_words64):
         if k:  # further words are mixed from the hash
             hashes = hashes + _STEP
@@ -58,7 +76,7 @@ def fingerprint(text: str, words: int, n_words64: int = 1) -> tuple:
             block = hashes[at: at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8)
             bits += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
         out.append(np.packbits(2 * bits > n).tobytes())
-    return b"".join(out), n
+    return b"".join(out)
 
 
 def fingerprints(docs: DataFrame, words=4, n_words64=1, id_column="doc_id", text="text") -> DataFrame:
@@ -72,6 +90,23 @@ def fingerprints(docs: DataFrame, words=4, n_words64=1, id_column="doc_id", text
                        f"`{id_column}` {kind}, text_hash bigint, fp binary, shingles bigint")
 
 
+def set_fingerprints(docs: DataFrame, words: int, n_words64: int, id_column="doc_id",
+                     text="text") -> DataFrame:
+    """Per row: id, text_hash, node (digest of the set of shingles), fp and shingles (their
+    number), both of distinct shingles."""
+    def each(keys, texts, hashes):
+        sets = [np.unique(shingle_hashes(t or "", words)) for t in texts]
+        return (keys, hashes, [_digest(s) for s in sets],
+                [majority(s, n_words64) for s in sets], [len(s) for s in sets])
+    kind = dict(docs.dtypes)[id_column]
+    return map_batches(docs.select(id_column, text, text_hash(text)), lambda: each,
+                       f"`{id_column}` {kind}, text_hash bigint, node binary, fp binary, shingles bigint")
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
+
+
 def text_hash(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")
 
@@ -119,12 +154,37 @@ def unit_links(fps: np.ndarray, radius: int) -> list:
     return links
 
 
+def unit_pairs(fps: np.ndarray, radius: int, apart: np.ndarray) -> tuple:
+    """All pairs (a, b) inside one unit within the radius and of different ``apart`` numbers.
+
+    ``fps``: (rows, words), sorted by population count.
+    """
+    n, found = len(fps), []
+    counts = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
+    columns = [np.ascontiguousarray(c) for c in fps.T]
+    step = max(1, PAIR_CELLS // n)
+    for low in range(0, n, step):
+        high = min(n, low + step)
+        end = np.searchsorted(counts, counts[high - 1] + radius, "right")
+        far = np.zeros((high - low, end - low), np.uint16)
+        for c in columns:
+            far += np.bitwise_count(c[low:high, None] ^ c[None, low:end])
+        a, b = np.nonzero(far <= radius)
+        a, b = a + low, b + low
+        keep = (a < b) & (apart[a] != apart[b])
+        found.append((a[keep], b[keep]))
+    return tuple(np.concatenate(side) for side in zip(*found))
+
+
 def links(distinct: DataFrame, radius: int, n_words64: int, size_ratio: float = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints, as spanning forests of the units.
 
     ``distinct``: fp, shingles; materialized. With ``size_ratio`` the blocks are classes of
-    the number of shingles, else bands of the single fingerprint word.
+    the number of shingles, else bands of the single fingerprint word. With a column node the
+    links are between nodes; with a column root as well they are all pairs of different roots.
     """
+    node = "node" if "node" in distinct.columns else "fp"
+    carried = [c for c in ("fp", "node", "root") if c in distinct.columns]
     spark = distinct.sparkSession
     n = distinct.count()
     tile = int(min(MAX_TILE, max(MIN_TILE, n // 64)))
@@ -150,7 +210,7 @@ def links(distinct: DataFrame, radius: int, n_words64: int, size_ratio: float =
             at += bits
         blocked = rows.withColumn("block", F.explode(F.array(*keys)))
         copies = radius + 1
-    blocked = materialize(blocked.select("block", "fp", "ones"), "simhash-blocks")
+    blocked = materialize(blocked.select("block", *carried, "ones"), "simhash-blocks")
 
     # Blocks above one tile: cut along the population count.
     hist = blocked.groupBy("block", "ones").count()
@@ -166,15 +226,15 @@ def links(distinct: DataFrame, radius: int, n_words64: int, size_ratio: float =
         .groupBy("block").agg(F.collect_list(F.struct("tile", "least", "most")).alias("tiles"))
     tiles = materialize(tiles, "simhash-tiles")
     placed = blocked.join(cut, ["block", "ones"], "left").withColumn(
-        "tile", F.col("low") + F.pmod(F.xxhash64("fp"), F.col("high") - F.col("low") + 1))
-    placed = placed.select("block", "fp", "tile").join(tiles, "block", "left")
+        "tile", F.col("low") + F.pmod(F.xxhash64(node), F.col("high") - F.col("low") + 1))
+    placed = placed.select("block", *carried, "tile").join(tiles, "block", "left")
     mine = F.expr("filter(tiles, x -> x.tile = tile)[0]")
     placed = placed.withColumn("mine", mine).withColumn("partner", F.explode(F.expr(
         f"CASE WHEN tile IS NULL THEN array(0L) ELSE transform(filter(tiles, x -> "
         f"(size(tiles) = 1 OR x.tile <> tile) AND x.least <= mine.most + {radius} AND mine.least <= x.most + {radius}), "
         f"x -> x.tile) END")))
     own = F.coalesce("tile", F.lit(0))
-    units = placed.select("fp", F.concat_ws(
+    units = placed.select(*carried, F.concat_ws(
         "/", "block", F.least(own, "partner"), F.greatest(own, "partner")).alias("unit"))
     groups = spread(n * copies, UNIT_ROWS_PER_TASK, spark)
 
@@ -184,13 +244,16 @@ def links(distinct: DataFrame, radius: int, n_words64: int, size_ratio: float =
         codes = pd.factorize(pdf["unit"])[0]
         order = np.lexsort((counts, codes))
         words, codes = words[order], codes[order]
-        fps = pdf["fp"].to_numpy()[order]
+        names = pdf[node].to_numpy()[order]
+        apart = pd.factorize(pdf["root"])[0][order] if "root" in carried else None
         edges = np.flatnonzero(np.diff(codes, prepend=-1, append=-2))
         a, b = [], []
         for start, end in zip(edges[:-1], edges[1:]):
             if end - start > 1:
-                for i, j in unit_links(words[start:end], radius):
-                    x, y = fps[start + i], fps[start + j]
+                pairs = unit_links(words[start:end], radius) if apart is None else zip(
+                    *unit_pairs(words[start:end], radius, apart[start:end]))
+                for i, j in pairs:
+                    x, y = names[start + i], names[start + j]
                     if x != y:
                         a.append(x)
                         b.append(y)
@@ -253,17 +316,76 @@ def near_duplicates(docs: DataFrame, words=4, radius=4, n_words64=1, size_ratio=
     return rows.join(of, "fp").select(id_column, "text_hash", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int, words: int, n_words64: int, size_ratio: float,
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float,
+              id_column: str, text: str) -> DataFrame:
+    """The links (a, b) whose shingle sets have at least that Jaccard similarity.
+
+    ``nodes``: node and one row that has it (id, text_hash). Only sets of nodes in a pair
+    are worked out again.
+    """
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                        .distinct(), "simhash-candidates")
+    ends = pairs.selectExpr("inline(array(struct(a AS node), struct(b AS node)))").distinct()
+    wanted = nodes.join(ends, "node", "left_semi").select(
+        F.col(id_column).alias("_id"), F.col("text_hash").alias("_hash"))
+    rows = docs.select(id_column, text, text_hash(text))
+    rows = rows.join(wanted, rows[id_column].eqNullSafe(wanted["_id"])
+                     & (rows["text_hash"] == wanted["_hash"]), "left_semi")
+
+    def each(texts):
+        sets = [np.unique(shingle_hashes(t or "", words)) for t in texts]
+        return [_digest(s) for s in sets], [s.view(np.int64) for s in sets]
+    sets = materialize(map_batches(rows.select(text), lambda: each, "node binary, hashes array<bigint>")
+                       .dropDuplicates(["node"]), "simhash-sets")
+    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").withColumn(
+        "common", F.size(F.array_intersect("of_a", "of_b")))
+    return materialize(both.where(F.col("common") / (F.size("of_a") + F.size("of_b") - F.col("common"))
+                                  >= similarity).select("a", "b"), "simhash-confirmed")
+
+
+def similar_texts(docs: DataFrame, radius: int, words: int, n_words64: int, similarity: float,
+                  id_column="doc_id", text="text") -> DataFrame:
+    """Per row: id, text_hash, node, component_id (smallest id reachable over pairs of texts
+    whose shingle sets have at least that Jaccard similarity, itself included).
+
+    Of texts whose fingerprints differ by more than ``radius`` bits no link is found. Texts
+    of one set of shingles are one component; ids as in ``near_duplicates``.
+    """
+    rows = materialize(set_fingerprints(docs, words, n_words64, id_column, text), "simhash")
+    order = F.struct(F.col(id_column).isNull().alias("missing"), id_column, "text_hash")
+    distinct = materialize(rows.groupBy("node").agg(
+        F.min("fp").alias("fp"), F.min("shingles").alias("shingles"), F.min(order).alias("least")
+    ).select("node", "fp", "shingles", f"least.`{id_column}`", "least.text_hash"), "simhash-distinct")
+
+    def confirm(pairs):
+        return confirmed(pairs, distinct, docs, words, similarity, id_column, text)
+
+    def with_root(edges, name):
+        found = components(edges).toDF("_node", "_root")
+        return materialize(distinct.join(found, F.col("node") == F.col("_node"), "left").withColumn(
+            "root", F.coalesce("_root", "node")).drop("_node", "_root"), name)
+    near = confirm(links(distinct.select("node", "fp", "shingles"), radius // 2, n_words64, similarity))
+    grouped = with_root(near, "simhash-near")
+    wide = confirm(links(grouped.select("node", "fp", "shingles", "root"), radius, n_words64, similarity))
+    rooted = with_root(near.union(wide), "simhash-roots")
+    smallest = materialize(rooted.groupBy("root").agg(F.min(id_column).alias("component_id")),
+                           "simhash-smallest")
+    of = materialize(rooted.join(smallest, "root").select("node", "component_id"), "simhash-of")
+    return rows.join(of, "node").select(id_column, "text_hash", "node", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int, words: int, n_words64: int, similarity: float,
                 id_column="doc_id", text="text") -> DataFrame:
     """The rows of ``docs`` that stay: the one of the smallest id in each component.
 
     Of rows repeated under that id one stays (that of the smallest text hash); of a
-    component without any id one row for each fingerprint stays.
+    component without any id one row for each set of shingles stays.
     """
-    found = near_duplicates(docs, words, radius, n_words64, size_ratio, id_column, text)
+    found = materialize(similar_texts(docs, radius, words, n_words64, similarity, id_column, text),
+                        "simhash-similar")
     ids = F.col(id_column)
     kept = materialize(found.where(ids.eqNullSafe(F.col("component_id"))).groupBy(
-        ids.alias("_id"), F.when(ids.isNull(), F.col("fp")).alias("_fp")
+        ids.alias("_id"), F.when(ids.isNull(), F.col("node")).alias("_node")
     ).agg(F.min("text_hash").alias("_hash")).select("_id", "_hash"), "simhash-kept")
     again = materialize(docs.groupBy(ids.alias("_id")).count().where("count > 1").select("_id"),
                         "simhash-repeated")

@@ -140,6 +140,37 @@ def test_wide_fingerprints_find_similar_texts(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2 * i for i in range(30)]
 
 
+def shingle_set(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+@pytest.mark.parametrize("pair_cells", [64, 1 << 20])
+def test_similarity_is_exact_at_its_border(spark, monkeypatch, pair_cells):
+    import corpus_pipeline as pipe
+    monkeypatch.setattr(simhash_tiles, "PAIR_CELLS", pair_cells)
+    rng = random.Random(13)
+    rows, want = [], set()
+    fresh = (f"w{i}" for i in range(10 ** 7))
+    for common, own in [(4, 1), (8, 2), (40, 10), (160, 40), (796, 204), (39, 11), (150, 50), (790, 210)] * 40:
+        # one text has all shingles of the other, or each has some of its own
+        part = own if rng.random() < 0.5 or own < 4 else own // 2
+        shared = [next(fresh) for _ in range(common + 4)]
+        one, other = [next(fresh) for _ in range(own - part)], [next(fresh) for _ in range(part)]
+        a, b = " ".join(one + shared), " ".join(shared + other)
+        x, y = shingle_set(a), shingle_set(b)
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+        want.add(len(rows) - 2)
+        if len(x & y) / len(x | y) < 0.8:
+            want.add(len(rows) - 1)
+    text = sentence(rng, 300)
+    rows += [(len(rows), text), (len(rows) + 1, f"{text} {text} {text}")]  # repeats are the same set but for the seams
+    want.add(len(rows) - 2)
+    kept = simhash_tiles.one_of_each(documents(spark, rows), pipe.RADIUS, pipe.WORDS,
+                                     pipe.FINGERPRINT_WORDS, pipe.SIMILARITY)
+    assert {r.doc_id for r in kept.collect()} == want
+
+
 # --- lines
 
 def test_lines(spark):
