@@ -23,8 +23,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on many sites; n_chars follows the text."""
-    clean = line_spread.without_repeated_lines(docs)
+    """All documents, without lines that stand on many sites; n_chars follows the text.
+
+    Near duplicates that are mostly such lines stay whole: the next stage leaves one of them.
+    """
+    clean = line_spread.without_repeated_lines(docs, alike=lambda mostly: simhash_tiles.similar_texts(
+        mostly, RADIUS, WORDS, FINGERPRINT_WORDS, SIMILARITY))
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("bigint")}
     return clean.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 

@@ -5,10 +5,14 @@ so a line that stands on a third of all pages costs one small sketch in each tas
 Where the estimate is so near the threshold that its error could decide, the distinct
 sites are counted exactly. Lines on at least ``min_sites`` sites are removed.
 
-A document that consists mostly of such lines is a copy of a document, not a page with
-boilerplate around its own text: it is left whole for the near-duplicate step.
+A document that consists mostly of such lines is taken for a copy of a document, not a page
+with boilerplate around its own text: it is left whole for the near-duplicate step. With ``alike``
+that is checked: one that has lines of its own and is like no other such document loses
+the repeated lines.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewarden.llm.common import materialize
@@ -57,9 +61,13 @@ def _high(min_sites: int) -> float:
 
 
 def without_repeated_lines(docs: DataFrame, min_sites=MIN_SITES, max_share=MAX_SHARE,
-                           id_column="doc_id", site="source", text="text") -> DataFrame:
+                           id_column="doc_id", site="source", text="text",
+                           alike: Callable[[DataFrame], DataFrame] = None) -> DataFrame:
     """All rows and columns, and n_lines, n_removed (both bigint), clean (the text that is left).
 
+    ``alike`` gets documents (id, text) and returns for each row its id, text_hash and root,
+    equal for near duplicates.
+
     Empty lines stay where they are. A null text has no lines and stays null. Ids
     may be null or repeat: a row's result depends on its own text only.
     """
@@ -79,6 +87,8 @@ def without_repeated_lines(docs: DataFrame, min_sites=MIN_SITES, max_share=MAX_S
     chars = "aggregate({}, 0L, (n, l) -> n + length(l))"
     parts = parts.withColumn(
         "_copy", F.expr(f"{chars.format('_kept')} < {1 - max_share} * {chars.format('_all')}"))
+    if alike:
+        parts = _checked_copies(parts, alike, id_column, text)
     return parts.select(
         *[F.col("row")[c].alias(c) for c in docs.columns],
         F.expr("coalesce(size(_all), 0)").cast("bigint").alias("n_lines"),
@@ -86,3 +96,20 @@ def without_repeated_lines(docs: DataFrame, min_sites=MIN_SITES, max_share=MAX_S
         .cast("bigint").alias("n_removed"),
         F.expr(f"CASE WHEN _bad IS NULL OR _copy THEN {body} "
                "ELSE array_join(_kept, '\n') END").alias("clean"))
+
+
+def _checked_copies(parts: DataFrame, alike: Callable, id_column: str, text: str) -> DataFrame:
+    """``parts`` with _copy only where no line is the document's own or another is like it."""
+    mostly = materialize(parts.where("_copy").select(
+        F.col("row")[id_column].alias(id_column), F.col("row")[text].alias(text),
+        F.expr("exists(_kept, l -> trim(l) <> '')").alias("_own")), "mostly-repeated")
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text_hash")
+    whole = mostly.where(~F.col("_own")).select(F.col(id_column).alias("_copy_id"), hashed)
+    rooted = materialize(alike(mostly.select(id_column, text)), "repeated-alike")
+    groups = rooted.groupBy("root").count().where("count > 1").select("root")
+    copies = materialize(whole.union(rooted.join(groups, "root", "left_semi").select(
+        id_column, "text_hash")).distinct().withColumn("_found", F.lit(True)), "repeated-copies")
+    own = F.xxhash64(F.coalesce(F.col("row")[text], F.lit("")))
+    return parts.join(copies, F.col("_copy") & F.col("row")[id_column].eqNullSafe(F.col("_copy_id"))
+                      & (own == F.col("_text_hash")), "left").withColumn(
+        "_copy", F.coalesce(F.col("_found"), F.lit(False)))

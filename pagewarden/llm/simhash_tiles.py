@@ -345,7 +345,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, s
 
 def similar_texts(docs: DataFrame, radius: int, words: int, n_words64: int, similarity: float,
                   id_column="doc_id", text="text") -> DataFrame:
-    """Per row: id, text_hash, node, component_id (smallest id reachable over pairs of texts
+    """Per row: id, text_hash, node, root (one node of the component), component_id (smallest id reachable over pairs of texts
     whose shingle sets have at least that Jaccard similarity, itself included).
 
     Of texts whose fingerprints differ by more than ``radius`` bits no link is found. Texts
@@ -370,8 +370,8 @@ def similar_texts(docs: DataFrame, radius: int, words: int, n_words64: int, simi
     rooted = with_root(near.union(wide), "simhash-roots")
     smallest = materialize(rooted.groupBy("root").agg(F.min(id_column).alias("component_id")),
                            "simhash-smallest")
-    of = materialize(rooted.join(smallest, "root").select("node", "component_id"), "simhash-of")
-    return rows.join(of, "node").select(id_column, "text_hash", "node", "component_id")
+    of = materialize(rooted.join(smallest, "root").select("node", "root", "component_id"), "simhash-of")
+    return rows.join(of, "node").select(id_column, "text_hash", "node", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int, words: int, n_words64: int, similarity: float,

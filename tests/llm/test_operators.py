@@ -187,6 +187,25 @@ def test_lines(spark):
     assert got[22].clean == "nobody\nelse"
 
 
+def test_own_lines_beside_a_long_passage(spark):
+    import corpus_pipeline
+    rng = random.Random(17)
+    passage = sentence(rng, 80)
+    own = [sentence(rng, 20) for _ in range(4)]
+    lines = [sentence(rng, 20) for _ in range(30)]
+    rows = [(i, f"{own[i]}\n{passage}", f"s{i}") for i in range(4)]
+    near = {10 + i: "\n".join([*lines[:i], sentence(rng, 20), *lines[i + 1:]]) for i in range(4)}
+    rows += [(k, t, f"s{k}") for k, t in near.items()]
+    rows += [(20 + i, passage, f"s{i}") for i in range(2)] + [(None, passage, "s"), (30, None), (31, "")]
+    # every row but the empty ones is mostly lines of three or more sites
+    got = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, documents(spark, rows), None).collect()}
+    assert len(got) == len(rows)
+    assert [(got[i].text, got[i].n_chars) for i in range(4)] == [(t, len(t)) for t in own]
+    assert {k: got[k].text for k in near} == near  # near copies are left to the next stage
+    assert got[20].text == got[21].text == got[None].text == passage  # nothing of their own
+    assert (got[30].text, got[31].text) == (None, "")
+
+
 @pytest.mark.parametrize("threshold", [3, 40])
 def test_line_spread_is_exact(spark, threshold):
     rng = random.Random(threshold)
