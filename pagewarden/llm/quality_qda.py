@@ -22,6 +22,7 @@ SHRINKAGE = 0.1
 RIDGE = 1e-3
 CUT = 0.3
 CLIP = 50.0
+STEPS = 500
 _MARKS = np.frombuffer(b"#$%&*|~^<>{}[]=+_/\\@", np.uint8)
 
 
@@ -66,8 +67,12 @@ class Model:
                 for m, f, o in zip(self.means, self.factors, self.offsets)]
         return np.clip(logs[1] - logs[0], -CLIP, CLIP)
 
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """Histogram cells, a tenth wide, of the differences."""
+        return np.round(self.difference(x) * 10).astype(int)
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.difference(x) + self.shift)))
+        return 0.5 * (1 + np.tanh(0.5 * (self.slope * self.difference(x) + self.shift)))
 
 
 @dataclass
@@ -100,14 +105,22 @@ def fit(stats: DataFrame, labels: DataFrame, id_column="doc_id", label="quality"
     n = [sums[c]["n"] if c in sums else 0 for c in (0, 1)]
     if min(n) < 2:
         return Constant(n[1] / sum(n) if sum(n) else 0.5)
-    means, covariances = [], []
+    products = np.zeros((2, FEATURES, FEATURES))
     for c in (0, 1):
-        mean = np.array([sums[c][f"s{i}"] for i in range(FEATURES)]) / n[c]
-        second = np.zeros((FEATURES, FEATURES))
         for i, j in pairs:
-            second[i, j] = second[j, i] = sums[c][f"p{i}_{j}"] / n[c]
-        means.append(mean)
-        covariances.append(second - np.outer(mean, mean))
+            products[c, i, j] = products[c, j, i] = sums[c][f"p{i}_{j}"]
+    model = from_moments(n, [np.array([sums[c][f"s{i}"] for i in range(FEATURES)]) for c in (0, 1)], products)
+
+    def cells():
+        return lambda xs, ys: (ys, model.cells(np.array(xs)).tolist())
+    histogram = map_batches(rows, cells, "y int, cell int").groupBy("y", "cell").count().collect()
+    return calibrated(model, *(np.array([r[k] for r in histogram]) for k in ("cell", "y", "count")))
+
+
+def from_moments(n, sums, products) -> Model:
+    """Uncalibrated model from each class's number of rows, sums and sums of products."""
+    means = [sums[c] / n[c] for c in (0, 1)]
+    covariances = [products[c] / n[c] - np.outer(means[c], means[c]) for c in (0, 1)]
     pooled = (n[0] * covariances[0] + n[1] * covariances[1]) / sum(n)
     centre = (n[0] * means[0] + n[1] * means[1]) / sum(n)
     scale = np.sqrt(np.maximum(np.diag(pooled), 1e-12))
@@ -119,32 +132,50 @@ def fit(stats: DataFrame, labels: DataFrame, id_column="doc_id", label="quality"
         low = np.linalg.cholesky(shrunk)
         factors.append(np.linalg.inv(low))
         offsets.append(float(np.log(n[c] / sum(n)) - np.log(np.diag(low)).sum()))
-    model = Model(centre, scale, z_means, factors, offsets)
+    return Model(centre, scale, z_means, factors, offsets)
 
-    def cells():
-        def each(xs, ys):
-            return ys, np.round(model.difference(np.array(xs)) * 10).astype(int).tolist()
-        return each
-    histogram = map_batches(rows, cells, "y int, cell int").groupBy("y", "cell").count().collect()
-    model.slope, model.shift = _logistic(
-        np.array([r["cell"] / 10 for r in histogram]), np.array([r["y"] for r in histogram]),
-        np.array([float(r["count"]) for r in histogram]))
+
+def calibrated(model: Model, cells, labels, rows) -> Model:
+    """The model with the logistic curve of a histogram: cell, label and number of rows of each."""
+    model.slope, model.shift = logistic(cells / 10, labels, rows.astype(float))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple:
-    """Weighted logistic curve in one variable, by damped Newton steps."""
-    at = np.array([1.0, 0.0])
-    design = np.stack([x, np.ones_like(x)], axis=1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ at, -30, 30)))
-        gradient = design.T @ (weight * (y - p)) - 1e-3 * at
-        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple:
+    """Slope (never negative) and shift of the weighted logistic curve in one variable.
+
+    The penalised loss is strictly convex: Newton steps, halved until the loss falls enough, end in its
+    one minimum. Where that has a negative slope (the difference says nothing, or the reverse),
+    the best curve with slope 0 is taken. Raises ArithmeticError if steps run out.
+    """
+    slope, shift = _minimum(np.stack([x, np.ones_like(x)], axis=1), y, weight)
+    if slope < 0:
+        slope, shift = 0.0, _minimum(np.ones((len(x), 1)), y, weight)[0]
+    return float(slope), float(shift)
+
+
+def _minimum(design: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    at = np.zeros(design.shape[1])
+
+    def loss(at):
+        z = design @ at
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * RIDGE * at @ at
+    now = loss(at)
+    for _ in range(STEPS):
+        p = 0.5 * (1 + np.tanh(0.5 * (design @ at)))
+        gradient = design.T @ (weight * (p - y)) + RIDGE * at
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + RIDGE * np.eye(len(at))
         step = np.linalg.solve(hessian, gradient)
-        at = at + np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(at[0]), float(at[1])
+        fall = gradient @ step
+        if fall <= 1e-12 * max(1.0, now):
+            return at
+        size = 1.0
+        while (then := loss(at - size * step)) > now - 1e-4 * size * fall:
+            size /= 2
+            if size < 1e-12:  # the loss is flat to the last digit
+                return at
+        at, now = at - size * step, then
+    raise ArithmeticError("the calibration did not converge")
 
 
 def score_statistics(stats: DataFrame, model, id_column="doc_id") -> DataFrame:
