@@ -5,21 +5,13 @@ repeats included. Distinct fingerprints are compared in tiles: exclusive-or and
 counts over numpy arrays; two tiles whose population counts differ by more than the
 radius are never paired, as each differing bit changes the count by one.
 
-Rows reach a tile by a block key. For a small radius r the key is one of r + 1 bit bands:
-fingerprints within r bits agree in at least one band, so no link is lost and a tile
-holds 2 ** -band of the rows. For a wide radius bands are useless; there the key is the class
-of the number of shingles (see ``size_ratio``): texts of which one has too many more
-shingles than the other cannot be alike, and only equal and adjoining classes are
-compared. A block above the tile size is cut in order of population count into tiles,
-and each allowed pair of its tiles is one unit of work.
+Rows reach a tile by a block key, one of r + 1 bit bands for a radius r: fingerprints within r
+bits agree in at least one band, so no link is lost and a tile holds 2 ** -band of the rows.
+A block above the tile size is cut in order of population count into tiles, and each
+allowed pair of its tiles is one unit of work.
 
 A unit returns a spanning forest of its links (fewer rows than it read), never all
 pairs; components then come from repeated smallest-neighbour steps.
-
-``one_of_each`` goes by the Jaccard similarity of the sets of shingles, which a fingerprint only
-estimates: there fingerprints are of distinct shingles and only search. A forest of links within
-half the radius is confirmed by the shingle sets themselves and joined to components; then all
-pairs within the radius whose ends are still apart are confirmed too.
 """
 
 import numpy as np
@@ -30,12 +22,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pagewarden.llm.common import map_batches, materialize, spread
 
 SEED = 42
-PAIR_CELLS = 1 << 20  # distances held at a time when all pairs of a unit are wanted
 MIN_TILE, MAX_TILE = 1024, 16384
 UNIT_ROWS_PER_TASK = 65536
 _U = np.uint64
-# Multipliers of a common 64-bit mixing function, one offset per word.
-_M1, _M2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -55,86 +44,41 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.array([digest(line[a:b], SEED) for a, b in zip(first, last)], _U)
 
 
-def fingerprint(text: str, words: int, n_words64: int = 1) -> tuple:
-    """Fingerprint as big-endian bytes, and the number of shingles."""
-    hashes = shingle_hashes(text, words)
-    return majority(hashes, n_words64), len(hashes)
-
-
-def majority(hashes: np.ndarray, n_words64: int) -> bytes:
-    n, out = len(hashes), []
-    if not n:
-        return bytes(8 * n_words64)
-    for k in range(n_words64):
-        if k:  # further words are mixed from the hash
-            hashes = hashes + _STEP
-            hashes = (hashes ^ (hashes >> _U(30))) * _M1
-            hashes = (hashes ^ (hashes >> _U(27))) * _M2
-            hashes = hashes ^ (hashes >> _U(31))
-        bits = np.zeros(64, np.int64)
-        for at in range(0, n, 8192):
-            block = hashes[at: at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8)
-            bits += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * bits > n).tobytes())
-    return b"".join(out)
-
-
-def fingerprints(docs: DataFrame, words=4, n_words64=1, id_column="doc_id", text="text") -> DataFrame:
-    """Per row: id, text_hash, fp (binary), shingles. Null and empty texts have the zero
-    fingerprint."""
-    def each(keys, texts, hashes):
-        done = [fingerprint(t or "", words, n_words64) for t in texts]
-        return keys, hashes, [d[0] for d in done], [d[1] for d in done]
-    kind = dict(docs.dtypes)[id_column]
-    return map_batches(docs.select(id_column, text, text_hash(text)), lambda: each,
-                       f"`{id_column}` {kind}, text_hash bigint, fp binary, shingles bigint")
-
-
-def set_fingerprints(docs: DataFrame, words: int, n_words64: int, id_column="doc_id",
-                     text="text") -> DataFrame:
-    """Per row: id, text_hash, node (digest of the set of shingles), fp and shingles (their
-    number), both of distinct shingles."""
-    def each(keys, texts, hashes):
-        sets = [np.unique(shingle_hashes(t or "", words)) for t in texts]
-        return (keys, hashes, [_digest(s) for s in sets],
-                [majority(s, n_words64) for s in sets], [len(s) for s in sets])
-    kind = dict(docs.dtypes)[id_column]
-    return map_batches(docs.select(id_column, text, text_hash(text)), lambda: each,
-                       f"`{id_column}` {kind}, text_hash bigint, node binary, fp binary, shingles bigint")
+def fingerprint(text: str, words: int) -> bytes:
+    """Fingerprint as big-endian bytes."""
+    return majority(shingle_hashes(text, words))
 
 
-def _digest(hashes: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
+def majority(hashes: np.ndarray) -> bytes:
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 8192):
+        block = hashes[at: at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8)
+        bits += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * bits > len(hashes)).tobytes()
 
 
-def text_hash(text: str):
-    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")
+def fingerprints(docs: DataFrame, words=4, id_column="doc_id", text="text") -> DataFrame:
+    """Per row: id, text_hash, fp (binary). Null and empty texts have the zero fingerprint."""
+    kind = dict(docs.dtypes)[id_column]
+    return map_batches(docs.select(id_column, text, text_hash(text)),
+                       lambda: lambda keys, texts, hashes: (
+                           keys, hashes, [fingerprint(t or "", words) for t in texts]),
+                       f"`{id_column}` {kind}, text_hash bigint, fp binary")
 
 
-def _as_words(values, n_words64: int) -> np.ndarray:
-    return np.frombuffer(b"".join(values), ">u8").reshape(-1, n_words64).astype(_U)
+def text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")
 
 
 def unit_links(fps: np.ndarray, radius: int) -> list:
     """Spanning forest, as index pairs, of the links inside one unit.
 
-    ``fps``: (rows, words), sorted by population count.
+    ``fps`` is sorted by population count.
     """
     n, links = len(fps), []
-    counts = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
-    columns = [np.ascontiguousarray(c) for c in fps.T]
-
-    def near(row, others):
-        first = np.bitwise_count(columns[0][others] ^ columns[0][row])
-        others, first = others[first <= radius], first[first <= radius]
-        if len(columns) > 1 and len(others):
-            rest = sum(np.bitwise_count(c[others] ^ c[row]).astype(np.int64) for c in columns[1:])
-            others = others[rest + first <= radius]
-        return others
-
+    counts = np.bitwise_count(fps).astype(np.int64)
     if n <= MIN_TILE:  # all at once; most units have no link
-        far = sum(np.bitwise_count(c[:, None] ^ c[None, :]).astype(np.uint16) for c in columns)
-        a, b = np.nonzero(np.triu(far <= radius, 1))
+        a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1))
         if len(a) <= 2 * n:
             return list(zip(a.tolist(), b.tolist()))
     left = np.ones(n, bool)
@@ -147,70 +91,31 @@ def unit_links(fps: np.ndarray, radius: int) -> list:
             row = queue.pop()
             low = np.searchsorted(counts, counts[row] - radius)
             high = np.searchsorted(counts, counts[row] + radius, "right")
-            for other in near(row, low + np.flatnonzero(left[low:high])).tolist():
+            others = low + np.flatnonzero(left[low:high])
+            for other in others[np.bitwise_count(fps[others] ^ fps[row]) <= radius].tolist():
                 left[other] = False
                 links.append((row, other))
                 queue.append(other)
     return links
 
 
-def unit_pairs(fps: np.ndarray, radius: int, apart: np.ndarray) -> tuple:
-    """All pairs (a, b) inside one unit within the radius and of different ``apart`` numbers.
-
-    ``fps``: (rows, words), sorted by population count.
-    """
-    n, found = len(fps), []
-    counts = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
-    columns = [np.ascontiguousarray(c) for c in fps.T]
-    step = max(1, PAIR_CELLS // n)
-    for low in range(0, n, step):
-        high = min(n, low + step)
-        end = np.searchsorted(counts, counts[high - 1] + radius, "right")
-        far = np.zeros((high - low, end - low), np.uint16)
-        for c in columns:
-            far += np.bitwise_count(c[low:high, None] ^ c[None, low:end])
-        a, b = np.nonzero(far <= radius)
-        a, b = a + low, b + low
-        keep = (a < b) & (apart[a] != apart[b])
-        found.append((a[keep], b[keep]))
-    return tuple(np.concatenate(side) for side in zip(*found))
-
-
-def links(distinct: DataFrame, radius: int, n_words64: int, size_ratio: float = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints, as spanning forests of the units.
-
-    ``distinct``: fp, shingles; materialized. With ``size_ratio`` the blocks are classes of
-    the number of shingles, else bands of the single fingerprint word. With a column node the
-    links are between nodes; with a column root as well they are all pairs of different roots.
-    """
-    node = "node" if "node" in distinct.columns else "fp"
-    carried = [c for c in ("fp", "node", "root") if c in distinct.columns]
+def links(distinct: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp, materialized), as spanning
+    forests of the units."""
     spark = distinct.sparkSession
     n = distinct.count()
     tile = int(min(MAX_TILE, max(MIN_TILE, n // 64)))
-    ones = F.expr(" + ".join(
-        f"bit_count(cast(conv(hex(substring(fp, {8 * k + 1}, 8)), 16, -10) AS bigint))"
-        for k in range(n_words64))).cast("int")
-    rows = distinct.withColumn("ones", ones)
-    if size_ratio:
-        size = F.floor(F.log(F.greatest("shingles", F.lit(1))) / F.log(F.lit(1 / size_ratio)))
-        # A row is in the block of its class and, as a guest, in that of the class below;
-        # links of two guests are found again at home.
-        blocked = rows.withColumn("block", F.explode(F.array(
-            size.cast("bigint"), size.cast("bigint") - 1)))
-        copies = 2
-    else:
-        width, spare = divmod(64 * n_words64, radius + 1)
-        word = F.conv(F.hex(F.col("fp")), 16, -10).cast("bigint")
-        keys, at = [], 0
-        for band in range(radius + 1):
-            bits = width + (band < spare)
-            value = F.shiftrightunsigned(word, at).bitwiseAND(F.lit((1 << bits) - 1))
-            keys.append(value * F.lit(64) + F.lit(band))
-            at += bits
-        blocked = rows.withColumn("block", F.explode(F.array(*keys)))
-        copies = radius + 1
-    blocked = materialize(blocked.select("block", *carried, "ones"), "simhash-blocks")
+    word = F.conv(F.hex(F.col("fp")), 16, -10).cast("bigint")
+    width, spare = divmod(64, radius + 1)
+    keys, at = [], 0
+    for band in range(radius + 1):
+        bits = width + (band < spare)
+        value = F.shiftrightunsigned(word, at).bitwiseAND(F.lit((1 << bits) - 1))
+        keys.append(value * F.lit(64) + F.lit(band))
+        at += bits
+    blocked = distinct.select(
+        "fp", F.bit_count(word).alias("ones"), F.explode(F.array(*keys)).alias("block"))
+    blocked = materialize(blocked.select("block", "fp", "ones"), "simhash-blocks")
 
     # Blocks above one tile: cut along the population count.
     hist = blocked.groupBy("block", "ones").count()
@@ -226,37 +131,32 @@ def links(distinct: DataFrame, radius: int, n_words64: int, size_ratio: float =
         .groupBy("block").agg(F.collect_list(F.struct("tile", "least", "most")).alias("tiles"))
     tiles = materialize(tiles, "simhash-tiles")
     placed = blocked.join(cut, ["block", "ones"], "left").withColumn(
-        "tile", F.col("low") + F.pmod(F.xxhash64(node), F.col("high") - F.col("low") + 1))
-    placed = placed.select("block", *carried, "tile").join(tiles, "block", "left")
+        "tile", F.col("low") + F.pmod(F.xxhash64("fp"), F.col("high") - F.col("low") + 1))
+    placed = placed.select("block", "fp", "tile").join(tiles, "block", "left")
     mine = F.expr("filter(tiles, x -> x.tile = tile)[0]")
     placed = placed.withColumn("mine", mine).withColumn("partner", F.explode(F.expr(
         f"CASE WHEN tile IS NULL THEN array(0L) ELSE transform(filter(tiles, x -> "
         f"(size(tiles) = 1 OR x.tile <> tile) AND x.least <= mine.most + {radius} AND mine.least <= x.most + {radius}), "
         f"x -> x.tile) END")))
     own = F.coalesce("tile", F.lit(0))
-    units = placed.select(*carried, F.concat_ws(
+    units = placed.select("fp", F.concat_ws(
         "/", "block", F.least(own, "partner"), F.greatest(own, "partner")).alias("unit"))
-    groups = spread(n * copies, UNIT_ROWS_PER_TASK, spark)
+    groups = spread(n * (radius + 1), UNIT_ROWS_PER_TASK, spark)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = _as_words(pdf["fp"], n_words64)
-        counts = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+        words = np.frombuffer(b"".join(pdf["fp"]), ">u8").astype(_U)
         codes = pd.factorize(pdf["unit"])[0]
-        order = np.lexsort((counts, codes))
+        order = np.lexsort((np.bitwise_count(words), codes))
         words, codes = words[order], codes[order]
-        names = pdf[node].to_numpy()[order]
-        apart = pd.factorize(pdf["root"])[0][order] if "root" in carried else None
+        names = pdf["fp"].to_numpy()[order]
         edges = np.flatnonzero(np.diff(codes, prepend=-1, append=-2))
         a, b = [], []
         for start, end in zip(edges[:-1], edges[1:]):
             if end - start > 1:
-                pairs = unit_links(words[start:end], radius) if apart is None else zip(
-                    *unit_pairs(words[start:end], radius, apart[start:end]))
-                for i, j in pairs:
-                    x, y = names[start + i], names[start + j]
-                    if x != y:
-                        a.append(x)
-                        b.append(y)
+                for i, j in unit_links(words[start:end], radius):
+                    if names[start + i] != names[start + j]:
+                        a.append(names[start + i])
+                        b.append(names[start + j])
         return pd.DataFrame({"a": a, "b": b})
 
     return units.withColumn("bin", F.pmod(F.xxhash64("unit"), F.lit(groups))) \
@@ -294,103 +194,40 @@ def components(edges: DataFrame, node: str = "binary") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words=4, radius=4, n_words64=1, size_ratio=None,
-                    id_column="doc_id", text="text") -> DataFrame:
-    """Per row: id, fp (binary), component_id (smallest id reachable over links of
-    ``radius`` or fewer differing bits, itself included).
+def near_duplicates(docs: DataFrame, words=4, radius=4, id_column="doc_id", text="text") -> DataFrame:
+    """Per row: id, text_hash, fp (binary), root (one fingerprint of the component),
+    component_id (smallest id reachable over links of ``radius`` or fewer differing bits,
+    itself included).
 
     Rows of one fingerprint are one component before any comparison. A component whose
     ids are all null has a null component_id; null ids are else passed over. Repeated
     rows stay as rows. An empty table gives no rows.
     """
-    rows = materialize(fingerprints(docs, words, n_words64, id_column, text), "simhash")
-    distinct = materialize(rows.groupBy("fp").agg(
-        F.min(id_column).alias("least"), F.min("shingles").alias("shingles")), "simhash-distinct")
-    found = components(links(distinct.select("fp", "shingles"), radius, n_words64, size_ratio))
+    rows = materialize(fingerprints(docs, words, id_column, text), "simhash")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(id_column).alias("least")), "simhash-distinct")
+    found = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
     smallest = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")),
                            "simhash-smallest")
-    of = materialize(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-of")
-    return rows.join(of, "fp").select(id_column, "text_hash", "fp", "component_id")
-
-
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float,
-              id_column: str, text: str) -> DataFrame:
-    """The links (a, b) whose shingle sets have at least that Jaccard similarity.
-
-    ``nodes``: node and one row that has it (id, text_hash). Only sets of nodes in a pair
-    are worked out again.
-    """
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                        .distinct(), "simhash-candidates")
-    ends = pairs.selectExpr("inline(array(struct(a AS node), struct(b AS node)))").distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select(
-        F.col(id_column).alias("_id"), F.col("text_hash").alias("_hash"))
-    rows = docs.select(id_column, text, text_hash(text))
-    rows = rows.join(wanted, rows[id_column].eqNullSafe(wanted["_id"])
-                     & (rows["text_hash"] == wanted["_hash"]), "left_semi")
-
-    def each(texts):
-        sets = [np.unique(shingle_hashes(t or "", words)) for t in texts]
-        return [_digest(s) for s in sets], [s.view(np.int64) for s in sets]
-    sets = materialize(map_batches(rows.select(text), lambda: each, "node binary, hashes array<bigint>")
-                       .dropDuplicates(["node"]), "simhash-sets")
-    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").withColumn(
-        "common", F.size(F.array_intersect("of_a", "of_b")))
-    return materialize(both.where(F.col("common") / (F.size("of_a") + F.size("of_b") - F.col("common"))
-                                  >= similarity).select("a", "b"), "simhash-confirmed")
-
-
-def similar_texts(docs: DataFrame, radius: int, words: int, n_words64: int, similarity: float,
-                  id_column="doc_id", text="text") -> DataFrame:
-    """Per row: id, text_hash, node, root (one node of the component), component_id (smallest id reachable over pairs of texts
-    whose shingle sets have at least that Jaccard similarity, itself included).
-
-    Of texts whose fingerprints differ by more than ``radius`` bits no link is found. Texts
-    of one set of shingles are one component; ids as in ``near_duplicates``.
-    """
-    rows = materialize(set_fingerprints(docs, words, n_words64, id_column, text), "simhash")
-    order = F.struct(F.col(id_column).isNull().alias("missing"), id_column, "text_hash")
-    distinct = materialize(rows.groupBy("node").agg(
-        F.min("fp").alias("fp"), F.min("shingles").alias("shingles"), F.min(order).alias("least")
-    ).select("node", "fp", "shingles", f"least.`{id_column}`", "least.text_hash"), "simhash-distinct")
-
-    def confirm(pairs):
-        return confirmed(pairs, distinct, docs, words, similarity, id_column, text)
-
-    def with_root(edges, name):
-        found = components(edges).toDF("_node", "_root")
-        return materialize(distinct.join(found, F.col("node") == F.col("_node"), "left").withColumn(
-            "root", F.coalesce("_root", "node")).drop("_node", "_root"), name)
-    near = confirm(links(distinct.select("node", "fp", "shingles"), radius // 2, n_words64, similarity))
-    grouped = with_root(near, "simhash-near")
-    wide = confirm(links(grouped.select("node", "fp", "shingles", "root"), radius, n_words64, similarity))
-    rooted = with_root(near.union(wide), "simhash-roots")
-    smallest = materialize(rooted.groupBy("root").agg(F.min(id_column).alias("component_id")),
-                           "simhash-smallest")
-    of = materialize(rooted.join(smallest, "root").select("node", "root", "component_id"), "simhash-of")
-    return rows.join(of, "node").select(id_column, "text_hash", "node", "root", "component_id")
+    of = materialize(rooted.join(smallest, "root").select("fp", "root", "component_id"), "simhash-of")
+    return rows.join(of, "fp").select(id_column, "text_hash", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int, words: int, n_words64: int, similarity: float,
-                id_column="doc_id", text="text") -> DataFrame:
+def one_of_each(docs: DataFrame, words=4, radius=4, id_column="doc_id", text="text") -> DataFrame:
     """The rows of ``docs`` that stay: the one of the smallest id in each component.
 
-    Of rows repeated under that id one stays (that of the smallest text hash); of a
-    component without any id one row for each set of shingles stays.
+    Of rows repeated under that id one stays (that of the smallest text hash); a component
+    without any id keeps the row of its smallest text hash.
     """
-    found = materialize(similar_texts(docs, radius, words, n_words64, similarity, id_column, text),
-                        "simhash-similar")
     ids = F.col(id_column)
-    kept = materialize(found.where(ids.eqNullSafe(F.col("component_id"))).groupBy(
-        ids.alias("_id"), F.when(ids.isNull(), F.col("node")).alias("_node")
-    ).agg(F.min("text_hash").alias("_hash")).select("_id", "_hash"), "simhash-kept")
-    again = materialize(docs.groupBy(ids.alias("_id")).count().where("count > 1").select("_id"),
+    order = F.struct(ids.isNull().alias("missing"), ids.alias("_id"), F.col("text_hash").alias("_hash"))
+    kept = materialize(near_duplicates(docs, words, radius, id_column, text).groupBy("root").agg(
+        F.min(order).alias("row")).select("row._id", "row._hash"), "simhash-kept")
+    again = materialize(docs.groupBy(ids.alias("_again")).count().where("count > 1").select("_again"),
                         "simhash-repeated")
-    stay = docs.join(kept, ids.eqNullSafe(kept["_id"]) & (text_hash(text) == kept["_hash"]),
-                     "left_semi")
-    repeated = stay.join(again, ids.eqNullSafe(again["_id"]), "left_semi").withColumn(
-        "_hash", text_hash(text)).dropDuplicates([id_column, "_hash"]).drop("_hash")
-    return stay.join(again, ids.eqNullSafe(again["_id"]), "left_anti").unionByName(repeated)
+    stay = docs.join(kept, ids.eqNullSafe(kept["_id"]) & (text_hash(text) == kept["_hash"]), "left_semi")
+    repeated = stay.join(again, ids.eqNullSafe(again["_again"]), "left_semi").withColumn(
+        "_text_hash", text_hash(text)).dropDuplicates([id_column, "_text_hash"]).drop("_text_hash")
+    return stay.join(again, ids.eqNullSafe(again["_again"]), "left_anti").unionByName(repeated)
