@@ -7,10 +7,8 @@ from pagewarden.llm import bpe_automaton, line_spread, quality_qda, simhash_tile
 from pagewarden.llm.common import materialize, read
 from pagewarden.llm.queries import VOCABULARY, held_out
 
-# Near duplicates: Jaccard similarity 0.8 of the sets of five-word shingles. Over 256 fingerprint
-# bits that similarity means about 39 differing bits (sets of 4 and 5 shingles: 48), with a standard
-# deviation of 6; fingerprints only search, so the radius is four of them wider.
-WORDS, FINGERPRINT_WORDS, RADIUS, SIMILARITY = 5, 4, 72, 0.8
+# Near duplicates: the contract of the operator, words of a shingle and differing bits of 64.
+WORDS, RADIUS = 4, 4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +25,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Near duplicates that are mostly such lines stay whole: the next stage leaves one of them.
     """
-    clean = line_spread.without_repeated_lines(docs, alike=lambda mostly: simhash_tiles.similar_texts(
-        mostly, RADIUS, WORDS, FINGERPRINT_WORDS, SIMILARITY))
+    clean = line_spread.without_repeated_lines(
+        docs, alike=lambda mostly: simhash_tiles.near_duplicates(mostly, WORDS, RADIUS))
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("bigint")}
     return clean.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates."""
-    return simhash_tiles.one_of_each(docs, RADIUS, WORDS, FINGERPRINT_WORDS, SIMILARITY)
+    return simhash_tiles.one_of_each(docs, WORDS, RADIUS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
