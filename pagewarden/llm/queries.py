@@ -4,13 +4,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewarden.llm import (
-    bpe_automaton, disclosure_pii, line_spread, phrase_fingerprint, quality_qda, simhash_tiles,
-    site_template, template_leaks, url_language, warc,
+    bpe_automaton, disclosure_pii, line_spread, phrase_fingerprint, quality_qda, segment_language,
+    simhash_tiles, site_template, template_leaks, url_language, warc,
 )
 from pagewarden.llm.common import materialize, read
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def held_out(doc_id="doc_id"):
@@ -104,6 +105,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_fingerprint.edit_likeness(read(spark, sf_dir, "documents"))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = segment_language.fit(docs.where(~apart), segment_language.pieces(public_tokenizers.path(PIECES)))
+    return segment_language.languages(docs, model).select(
+        "doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
 # Operators that SQL cannot express have none; tests/llm holds them against brute force.
 Q = {
     "op1_main_text": (op1, None),
@@ -116,4 +125,5 @@ Q = {
     "op8_line_spread": (op8, OP8_SQL),
     "op9_personal_data": (op9, None),
     "op10_phrase_fingerprints": (op10, None),
+    "op12_language": (op12, None),
 }
