@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewarden.llm import (
-    bpe_automaton, disclosure_pii, line_spread, phrase_fingerprint, quality_qda, segment_language,
-    simhash_tiles, site_template, template_leaks, url_language, warc,
+    bpe_automaton, disclosure_pii, line_spread, phrase_fingerprint, prefix_trie, quality_qda,
+    segment_language, simhash_tiles, site_template, template_leaks, url_language, warc,
 )
 from pagewarden.llm.common import materialize, read
 
@@ -113,6 +113,56 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", apart.alias("held_out"), "lang_pred", "score")
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+# The CRC of a conv_id's digits is worked out bit by bit (3988292384 is the reversed polynomial).
+OP13_SQL = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         (xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT),
+              lambda crc, byte: list_reduce(range(8)::UBIGINT[], lambda c, i:
+                CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, xor(crc, byte)),
+              4294967295::UBIGINT), 4294967295::UBIGINT) % 9)::BIGINT AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND pos <= h
+  UNION ALL
+  SELECT c.conv_id, 1, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos > h),
+ordered AS (
+  SELECT conv_id, row_number() OVER w AS depth, octet_length(encode(text)) AS bytes,
+         md5(octet_length(encode(role)) || ':' || role || text) AS name
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+lists AS (
+  SELECT c.conv_id, coalesce(names, []) AS names, coalesce(sizes, []) AS sizes
+  FROM convs c LEFT JOIN (SELECT conv_id, list(name ORDER BY depth) AS names, list(bytes ORDER BY depth) AS sizes
+                          FROM ordered GROUP BY 1) l USING (conv_id)),
+paths AS (
+  SELECT conv_id, depth, md5(array_to_string(names[1:depth], ',')) AS node,
+         md5(array_to_string(names[1:depth - 1], ',')) AS up,
+         CASE WHEN depth = 0 THEN 0 ELSE sizes[depth] END AS bytes, depth = len(names) AS is_end
+  FROM (SELECT *, unnest(range(len(names) + 1)) AS depth FROM lists)),
+nodes AS (
+  SELECT depth, node, min(conv_id) AS conv_id, min(up) AS up, min(bytes) AS bytes, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM paths GROUP BY depth, node),
+children AS (SELECT depth - 1 AS depth, up AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+counted AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (depth, node)),
+sums AS (
+  SELECT p.depth, p.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * c.bytes) AS saved
+  FROM counted c JOIN paths p ON p.conv_id = c.conv_id AND p.depth <= c.depth GROUP BY 1, 2)
+SELECT c.conv_id, c.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves,
+       saved::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN sums USING (depth, node)
+LEFT JOIN nodes above ON above.depth = c.depth - 1 AND above.node = c.up AND c.depth > 0
+"""
+
+
 # Operators that SQL cannot express have none; tests/llm holds them against brute force.
 Q = {
     "op1_main_text": (op1, None),
@@ -126,4 +176,5 @@ Q = {
     "op9_personal_data": (op9, None),
     "op10_phrase_fingerprints": (op10, None),
     "op12_language": (op12, None),
+    "op13_prefix_trie": (op13, OP13_SQL),
 }
