@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewarden.llm import (
-    bpe_automaton, disclosure_pii, line_spread, phrase_fingerprint, prefix_trie, quality_qda,
+    bpe_automaton, disclosure_pii, hilbert_negatives, line_spread, phrase_fingerprint, prefix_trie, quality_qda,
     segment_language, simhash_tiles, site_template, template_leaks, url_language, warc,
 )
 from pagewarden.llm.common import materialize, read
@@ -105,6 +105,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_fingerprint.edit_likeness(read(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, list_inner_product(a.q, c.q)::BIGINT AS score
+  FROM vectors a JOIN vectors c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scores s USING (anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+WHERE rank <= 3
+"""
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     apart = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -175,6 +201,7 @@ Q = {
     "op8_line_spread": (op8, OP8_SQL),
     "op9_personal_data": (op9, None),
     "op10_phrase_fingerprints": (op10, None),
+    "op11_hard_negatives": (op11, OP11_SQL),
     "op12_language": (op12, None),
     "op13_prefix_trie": (op13, OP13_SQL),
 }
