@@ -4,7 +4,7 @@ The pieces are those of a fixed public vocabulary. Each language has a probabili
 piece; a word's probability is the sum over all ways to cut it into pieces (forward
 algorithm), a text's the product over its words, and the language is the most probable one.
 
-Words are runs of letters, lower-cased, with a mark for the start of a word in front. A
+Words are runs of letters of the lower-cased text, cut with a mark for their start in front. A
 character that is no piece is one with a fixed small probability, so each word has a segmentation.
 
 Probabilities are learned by expectation maximisation: words are counted for each language over all
@@ -51,7 +51,7 @@ def pieces(path: str) -> list:
 
 
 def words(text: str) -> list:
-    return [START + w.lower() for w in _LETTERS.findall(text or "")]
+    return _LETTERS.findall((text or "").lower())
 
 
 class Lattice:
@@ -123,7 +123,7 @@ class Model:
                 logs[:] = [logs[0][:0]]
             new = list(set().union(*counts).difference(seen))
             if new and self.languages:
-                logs[:] = [np.concatenate([logs[0], self.words(new, lattice)])]
+                logs[:] = [np.concatenate([logs[0], self.words([START + w for w in new], lattice)])]
                 seen.update(zip(new, range(len(seen), len(seen) + len(new))))
             return tuple(zip(*(self._best(c, seen, logs[0]) for c in counts)))
         return each
@@ -224,8 +224,8 @@ def _expectations(counted: DataFrame, model: Model) -> DataFrame:
         sums = np.zeros(model.table.shape)
         for langs, found, n in batches:
             # Overlapping stretches of a long word are taken one after the other.
-            parts = [(w[at: at + SHORT], of[own], times) for own, w, times in zip(langs, found, n)
-                     for at in range(0, len(w), SHORT)]
+            parts = [((START + w)[at: at + SHORT], of[own], times) for own, w, times in zip(langs, found, n)
+                     for at in range(0, len(w) + 1, SHORT)]
             stretches, language, times = zip(*parts)
             sums += model.expected(list(stretches), np.array(language), np.array(times, float), lattice)
         piece, k = np.nonzero(sums)
