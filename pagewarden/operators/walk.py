@@ -78,40 +78,56 @@ def _fold(max_pages: int) -> str:
     )
 
 
-def walk_level(state: DataFrame, pool: DataFrame, hot, max_pages: int) -> DataFrame:
-    queued = state.select(
-        "start", "visited", "pages", F.posexplode_outer("queue").alias("pos", "url")
+def begun(starts: DataFrame, *keys: str) -> DataFrame:
+    """Walks that have read nothing yet, one for each start (and keys)."""
+    return starts.select(
+        "start", *keys,
+        F.array().cast("array<string>").alias("visited"),
+        F.array().cast(PAGES).alias("pages"),
+        F.array("start").alias("queue"),
+    )
+
+
+def queued(state: DataFrame, *keys: str) -> DataFrame:
+    """The queued URLs of all walks, one row each; the first carries the walk's state."""
+    return state.select(
+        "start", *keys, "visited", "pages", F.posexplode_outer("queue").alias("pos", "url")
     ).select(
         # A finished walk looks its first page up again: spread over all tasks,
         # and without effect because that page is visited.
-        "start", "pos", F.coalesce("url", "start").alias("url"),
+        "start", *keys, "pos", F.coalesce("url", "start").alias("url"),
         F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct("visited", "pages")).alias("carry"),
     )
-    looked_up = salted_join(queued, pool, "url", hot, spread_by="start")
-    return looked_up.groupBy("start").agg(
+
+
+def folded(looked_up: DataFrame, max_pages: int, *keys: str, newest=()) -> DataFrame:
+    """Walks after a level. Of several loads of a page the one with the largest ``newest`` counts:
+    it comes first, and a URL that has been visited is passed over."""
+    def latest_first(column):
+        number = F.unix_micros(column) if column == "fetched_at" else F.col(column)
+        return [F.col(column).isNull().alias(f"no_{column}"), (-number).alias(f"less_{column}")]
+    order = [c for column in newest for c in latest_first(column)]
+    if newest:
+        order.append((-F.hash("flags", "legal_links").cast("bigint")).alias("less_hash"))
+    return looked_up.groupBy("start", *keys).agg(
         F.first("carry", ignorenulls=True).alias("carry"),
         F.collect_list(
-            F.struct("pos", "url", "ok", "flags", "legal_links")
+            F.struct("pos", "url", *order, "ok", "flags", "legal_links")
         ).alias("entries"),
-    ).select("start", F.expr(_fold(max_pages)).alias("s")).select("start", "s.*")
+    ).select("start", *keys, F.expr(_fold(max_pages)).alias("s")).select("start", *keys, "s.*")
 
 
 def policy_walks(starts: DataFrame, pool: DataFrame,
                  max_pages: int = lexicon.MAX_POLICY_PAGES,
                  hot: list = ()) -> DataFrame:
     """Walk from every start URL: merged flags, evidence URLs, pages read."""
-    state = starts.select(
-        "start",
-        F.array().cast("array<string>").alias("visited"),
-        F.array().cast(PAGES).alias("pages"),
-        F.array("start").alias("queue"),
-    )
+    state = begun(starts)
     for _ in range(max_pages):
-        state = walk_level(state, pool, hot, max_pages)
+        state = folded(salted_join(queued(state), pool, "url", hot, spread_by="start"), max_pages)
     return walk_results(state)
 
 
-def walk_results(state: DataFrame) -> DataFrame:
+def walk_results(state: DataFrame, *keys: str) -> DataFrame:
     p = tx.fresh("p")
     first = lambda key: f"get(filter(pages, {p} -> {p}.flags.{key}), 0).url"
     flags = ", ".join(
@@ -119,7 +135,7 @@ def walk_results(state: DataFrame) -> DataFrame:
     evidence = ", ".join(
         f"named_struct('key', '{k}', 'value', {first(k)})" for k in lexicon.POLICY_ELEMENTS)
     return state.selectExpr(
-        "start",
+        "start", *keys,
         f"CASE WHEN size(pages) > 0 THEN named_struct({flags}) END AS policy_flags",
         f"map_from_entries(filter(array({evidence}), {p} -> {p}.value IS NOT NULL)) "
         "AS evidence_urls",
@@ -143,10 +159,15 @@ def analyze_policies(sites: DataFrame, facts: DataFrame,
     hot_pages = hot_keys(pool.select(F.explode("legal_links").alias("url")), "url", floor)
     hot_starts = hot_keys(links, "start", floor)
     results = policy_walks(starts, pool, max_pages, hot_pages)
-    return salted_join(
+    return with_outcome(salted_join(
         sites.withColumn("start", F.col("privacy_policy_url")), results, "start",
         hot_starts, spread_by="page_id",
-    ).drop("start").withColumns({
+    ).drop("start"))
+
+
+def with_outcome(met: DataFrame) -> DataFrame:
+    """Sites with the results of their walks (null where there was none), completed."""
+    return met.withColumns({
         "policy_unreachable": F.expr(
             "privacy_policy_url IS NOT NULL AND coalesce(pages_read, 0) = 0"),
         "pages_analyzed": F.expr("coalesce(pages_analyzed, CAST(array() AS array<string>))"),

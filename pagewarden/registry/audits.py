@@ -354,13 +354,16 @@ def s9(spark, sf):
 SELECT page_id, rule_id, count(*) AS findings FROM findings_d GROUP BY ALL""")
 def t1(spark, sf):
     from pagewarden import schemas
-    from pagewarden.streaming import audit_stream
-    source, out, checkpoint = (_scratch(spark, n) for n in ("crawl", "stream", "progress"))
+    from pagewarden.streaming import audit_stream as stream
+    folder = _scratch(spark, "audit-stream")
     columns = [part.split()[0] for part in schemas.CRAWL.split(", ")]
-    pages = corpus.site_pages(spark, sf)
-    pages.select(*columns).write.parquet(source)
-    audit_stream.start_audit(
-        audit_stream.crawl_stream(spark, source, max_files=4), out, checkpoint,
-        legal=corpus.legal_pages(spark, sf)).awaitTermination()
-    return spark.read.parquet(out).groupBy("page_id", "rule_id").agg(
-        F.count("*").alias("findings"))
+    for kind, pages in (("site", corpus.site_pages(spark, sf)), ("legal", corpus.legal_pages(spark, sf))):
+        # in no order of time, over several files
+        pages.select(*columns).repartition(3, F.hash("url")).write.parquet(f"{folder}/in/{kind}")
+        stream.start_facts(stream.crawl_stream(spark, f"{folder}/in/{kind}", max_files=2), f"{folder}/facts/{kind}",
+                           f"{folder}/progress/{kind}", kind == "site").awaitTermination()
+    stream.write_heartbeat(spark, f"{folder}/facts/beat", "2100-01-01")
+    stream.start_audit(stream.facts_stream(spark, f"{folder}/facts/*", max_files=4), f"{folder}/out",
+                       f"{folder}/progress/audit", delay="1000 days", period="30 days", reach="1000 days"
+                       ).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("page_id", "rule_id").agg(F.count("*").alias("findings"))

@@ -10,7 +10,7 @@ from pagewarden.registry import oracle as o
 from pagewarden.registry.pages import _scratch
 from pagewarden.sources import catalogue, corpus
 from pagewarden.sources.tables import read_table
-from pagewarden.streaming import lifecycle
+from pagewarden.streaming import lifecycle, spans
 
 Q = {}
 
@@ -496,8 +496,8 @@ def t2(spark, sf):
 @query("t2_scan_lifecycle_stream", _STATES)
 def t2_stream(spark, sf):
     source, progress, table = (_scratch(spark, n) for n in ("events", "progress", "states"))
-    _lifecycle_events(spark, sf).write.parquet(source)
-    events = spark.readStream.schema(lifecycle.EVENTS).parquet(source)
+    _lifecycle_events(spark, sf).repartition(3).write.parquet(source)
+    events = spark.readStream.schema(lifecycle.EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
     lifecycle.start_lifecycle(events, table, progress).awaitTermination()
     return lifecycle.stored_states(spark, table)
 
@@ -511,10 +511,44 @@ def t2_stuck(spark, sf):
     return lifecycle.stuck_runs(states, now, "6 HOURS").select("scan_run_id", "started_at")
 
 
-@query("t3_finding_spans", """
+@query("t2_stuck_runs_stream", f"""
+SELECT scan_run_id, started_at FROM ({_STATES}) WHERE status = 'Running'
+AND started_at + INTERVAL 6 HOUR < (SELECT max(event_at) FROM run_events)""")
+def t2_stuck_stream(spark, sf):
+    source, progress, out = (_scratch(spark, n) for n in ("events", "progress", "stuck"))
+    events = _lifecycle_events(spark, sf)
+    events.repartition(3).write.parquet(source)
+    # An event of no run moves the watermark to the newest event, where the batch query stands.
+    events.agg(F.max("at").alias("at")).select(
+        F.lit(-1).cast("bigint").alias("scan_run_id"), F.lit(-1).cast("bigint").alias("website_id"),
+        F.lit("Completed").alias("status"), F.expr("at + INTERVAL 60 DAY").alias("at")
+    ).write.mode("append").parquet(source)
+    lifecycle.start_stuck_report(
+        spark.readStream.schema(lifecycle.EVENTS).option("maxFilesPerTrigger", 2).parquet(source),
+        out, progress, "6 hours", "60 days").awaitTermination()
+    return spark.read.schema(lifecycle.STUCK).parquet(out)
+
+
+_SPANS = """
 SELECT website_id, rule_id, min(started_at) AS first_seen, max(started_at) AS last_seen, count(*) AS times_seen,
   bool_or(is_last) AS is_open FROM stored s JOIN (
   SELECT *, row_number() OVER (PARTITION BY website_id ORDER BY started_at DESC, scan_run_id DESC) = 1 AS is_last
-  FROM runs WHERE status = 'Completed') r USING (scan_run_id) GROUP BY ALL""")
+  FROM runs WHERE status = 'Completed') r USING (scan_run_id) GROUP BY ALL"""
+
+
+@query("t3_finding_spans", _SPANS)
 def t3(spark, sf):
     return sq.finding_spans(corpus.findings(spark, sf), corpus.scan_runs(spark, sf))
+
+
+@query("t3_finding_spans_stream", _SPANS)
+def t3_stream(spark, sf):
+    source, progress, out = (_scratch(spark, n) for n in ("scans", "progress", "spans"))
+    scans = spans.published_scans(corpus.findings(spark, sf), corpus.scan_runs(spark, sf))
+    scans.repartition(3).write.parquet(source)
+    scans.limit(0).unionByName(spark.sql(  # a scan of no website, to close the last period
+        "SELECT -1L AS scan_run_id, CAST(NULL AS bigint) AS website_id, timestamp'2100-01-01' AS started_at, "
+        "CAST(array() AS array<string>) AS rule_ids")).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(spans.SCANS).option("maxFilesPerTrigger", 2).parquet(source)
+    spans.start_spans(stream, out, progress, "7 days", "60 days").awaitTermination()
+    return spans.spans(spark.read.parquet(out))

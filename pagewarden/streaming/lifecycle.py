@@ -1,5 +1,6 @@
 """Scan lifecycle from an event stream."""
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewarden.sources.sinks import SnapshotTable
@@ -52,7 +53,7 @@ def _as_states(events: DataFrame) -> DataFrame:
 
 def stored_states(spark: SparkSession, path: str) -> DataFrame:
     """The states that ``start_lifecycle`` has stored, as ``run_states`` gives them."""
-    return SnapshotTable(path, STATE).read(spark).select(
+    return _merged(SnapshotTable(path, STATE).read(spark)).select(
         "scan_run_id", "website_id", "started_at", F.col("latest.status").alias("status"),
         "finished_at")
 
@@ -60,14 +61,58 @@ def stored_states(spark: SparkSession, path: str) -> DataFrame:
 def start_lifecycle(events: DataFrame, path: str, checkpoint: str):
     """Folds new events into a stored table of run states, until the input is used up.
 
-    The state is the table: the stream itself keeps none, however long it runs, nothing
-    comes to the driver, and a repeated batch changes nothing.
+    A batch adds a part with the runs it names and no more; parts are merged as they add up
+    (``SnapshotTable.add``). The stream itself keeps no state, nothing comes to the driver, and a
+    repeated batch changes nothing.
     """
     table = SnapshotTable(path, STATE)
 
     def fold(batch: DataFrame, number: int) -> None:
-        new = _merged(_as_states(batch))
-        table.replace(_merged(table.read(batch.sparkSession).unionByName(new)))
+        table.add(_merged(_as_states(batch)), _merged)
 
     return events.writeStream.foreachBatch(fold).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+STUCK = "scan_run_id bigint, started_at timestamp"
+_TIMED = "started_at timestamp, latest_at timestamp, status string"
+
+
+def stuck_stream(events: DataFrame, limit: str, delay: str = "1 hour") -> DataFrame:
+    """Runs that are still Running when the watermark reaches their start and ``limit``, as a stream.
+
+    Every run has an event-time timer, set anew while an earlier start may still come in. When it goes off the run
+    is reported or, if it has ended, passed over; either way its state is dropped. An event after that
+    starts the run's clock again.
+    """
+    allowed = pd.Timedelta(limit)
+
+    def follow(key, batches, state):
+        if state.hasTimedOut:
+            started, _, status = state.get
+            state.remove()
+            if status == "Running":
+                yield pd.DataFrame({"scan_run_id": [key[0]], "started_at": [started]})
+            return
+        rows = [(at, status != "Running", status) for batch in batches
+                for at, status in zip(batch["at"], batch["status"])]
+        if state.exists:
+            started, at, status = state.get
+            rows.append((pd.Timestamp(at), status != "Running", status))
+            first = min(pd.Timestamp(started), min(rows)[0])
+        else:
+            first = min(rows)[0]
+        last = max(rows)
+        state.update((first.to_pydatetime(), last[0].to_pydatetime(), last[2]))
+        due = (first + allowed).value // 1_000_000
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    return events.where("scan_run_id IS NOT NULL AND at IS NOT NULL").withWatermark("at", delay).select(
+        "scan_run_id", "at", "status").groupBy("scan_run_id").applyInPandasWithState(
+        follow, STUCK, _TIMED, "append", "EventTimeTimeout")
+
+
+def start_stuck_report(events: DataFrame, out: str, checkpoint: str, limit: str, delay: str = "1 hour"):
+    """Appends stuck runs as they are found, until the input is used up."""
+    return stuck_stream(events, limit, delay).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -72,6 +72,57 @@ def test_snapshot_table(spark, tmp_path):
     assert sorted(r.id for r in table.read(spark).collect()) == [0, 1, 2, 3, 4]
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    tables = [sinks.SnapshotTable(str(tmp_path / "t"), "id bigint") for _ in range(2)]
+    tables[0].replace(spark.range(2))
+    seen = []
+
+    def change(old):  # the other writer publishes between this one's reading and writing
+        seen.append(sorted(r.id for r in old.collect()))
+        if len(seen) == 1:
+            tables[1].update(spark, lambda now: now.union(spark.range(2, 4)))
+        return old.union(spark.range(4, 6))
+    tables[0].update(spark, change)
+    assert seen == [[0, 1], [0, 1, 2, 3]]
+    assert sorted(r.id for r in tables[1].read(spark).collect()) == [0, 1, 2, 3, 4, 5]
+    assert tables[0].version(spark) == 3
+
+    def always(old):
+        tables[1].update(spark, lambda now: now)
+        return old
+    with pytest.raises(sinks.LostRace):
+        tables[0].update(spark, always, tries=2)
+
+
+def test_writer_that_died(spark, tmp_path):
+    table = sinks.SnapshotTable(str(tmp_path / "t"), "id bigint")
+    table.patience = 0.3
+    table.replace(spark.range(1))
+    (tmp_path / "t/published/2").write_text("0 part-of-nobody")  # its last line is missing
+    assert table.version(spark) == 1 and table.read(spark).count() == 1
+    table.replace(spark.range(5))
+    assert (table.version(spark), table.read(spark).count()) == (2, 5)
+
+
+def test_added_parts_are_rewritten_once_a_level(spark, tmp_path):
+    table = sinks.SnapshotTable(str(tmp_path / "t"), "id bigint, n bigint")
+    written, write = [], table._write
+
+    def spy(df, level):
+        part = write(df, level)
+        written.append((level, spark.read.parquet(f"{table.path}/{part[1]}").count()))
+        return part
+    table._write = spy
+
+    def merge(rows):
+        return rows.groupBy("id").agg(F.max("n").alias("n"))
+    for k in range(9):
+        table.add(spark.range(2 * k, 2 * k + 2).select("id", F.lit(k).cast("bigint").alias("n")), merge, fan=3)
+    assert [w for w in written if w[0]] == [(1, 6), (1, 6), (1, 6), (2, 18)]
+    assert len(table._newest(spark)[1]) == 1
+    assert {r.id: r.n for r in merge(table.read(spark)).collect()} == {i: i // 2 for i in range(18)}
+
+
 def test_store_kinds(spark, tmp_path):
     path = str(tmp_path / "none")
     sinks.write_table(spark.range(3), path, "none")

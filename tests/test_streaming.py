@@ -1,32 +1,87 @@
 """Streams give what the batch gives."""
 
+import datetime
+
 from conftest import SMALL
+from pagewarden import schemas
 from pagewarden.operators import rules
 from pagewarden.plans import audit
 from pagewarden.sources import corpus
-from pagewarden.streaming import audit_stream, lifecycle
+from pagewarden.streaming import audit_stream, lifecycle, spans
+
+
+COLUMNS = [part.split()[0] for part in schemas.CRAWL.split(", ")]
+KEY = ("page_id", "rule_id", "evidence")
+
+
+class Stream:
+    """The two queries of the streaming audit over folders of crawl files."""
+
+    def __init__(self, spark, folder, **limits):
+        self.spark, self.limits = spark, limits
+        self.path = lambda *names: "/".join((str(folder), *names))
+
+    def add(self, pages, target, files=1):
+        kind = "site" if target else "legal"
+        pages.select(*COLUMNS).repartition(files).write.mode("append").parquet(self.path("in", kind))
+        audit_stream.start_facts(
+            audit_stream.crawl_stream(self.spark, self.path("in", kind), 1), self.path("facts", kind),
+            self.path("progress", kind), target).awaitTermination()
+
+    def drain(self, until=None, files=100):
+        if until:
+            audit_stream.write_heartbeat(self.spark, self.path("facts", "beat"), until)
+        query = audit_stream.start_audit(
+            audit_stream.facts_stream(self.spark, self.path("facts", "*"), files), self.path("out"),
+            self.path("progress", "audit"), **self.limits)
+        query.awaitTermination()
+        return query.lastProgress
+
+    def found(self):
+        rows = self.spark.read.schema("page_id bigint, rule_id string, evidence string").parquet(self.path("out"))
+        return sorted(map(tuple, rows.select(*KEY).collect()))
 
 
 def test_audit_stream_equals_batch(spark, tmp_path):
-    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "cp"))
-    pages = corpus.site_pages(spark, SMALL)
-    legal = corpus.legal_pages(spark, SMALL)
-    columns = ["page_id", "url", "final_url", "status", "html", "error", "cookies", "fetched_at"]
-    pages.select(*columns).repartition(3).write.parquet(source)
-
-    def drain():
-        audit_stream.start_audit(
-            audit_stream.crawl_stream(spark, source, 1), out, progress,
-            legal=legal).awaitTermination()
-
-    drain()
-    key = ("page_id", "rule_id", "evidence")
-    batch = rules.finding_rows(
-        audit.run_audit(pages, legal).evaluated, "page_id").select(*key)
-    stream = lambda: sorted(map(tuple, spark.read.parquet(out).select(*key).collect()))
-    assert stream() == sorted(map(tuple, batch.collect()))
-    drain()  # nothing new, nothing twice
-    assert len(stream()) == batch.count()
+    pages, legal = corpus.site_pages(spark, SMALL), corpus.legal_pages(spark, SMALL)
+    stream = Stream(spark, tmp_path, delay="30 days", period="7 days", reach="30 days")
+    batch = sorted(map(tuple, rules.finding_rows(
+        audit.run_audit(pages, legal).evaluated, "page_id").select(*KEY).collect()))
+    stream.add(pages, True, 2)
+    stream.drain(files=1)  # all legal pages are late
+    early = stream.found()
+    assert set(early) < set(batch)  # sites without a policy link wait for nothing
+    stream.add(legal, False, 2)
+    stream.drain()
+    assert stream.found() == early
+    stream.drain("2030-01-01")
+    assert stream.found() == batch
+    stream.drain()  # nothing new, nothing twice
+    assert stream.found() == batch
+
+
+def test_audit_stream_forgets(spark, tmp_path):
+    at = lambda day, hour: datetime.datetime(2024, 1, day, hour)
+    link = '<a href="/privacy">Privacy</a>'
+
+    def row(number, path, html, time, status=200):
+        url = f"https://s{number}.example.org{path}"
+        return number, url, url, status, html, None, [], time
+
+    def crawl(rows):
+        return spark.createDataFrame(rows, schemas.CRAWL)
+    stream = Stream(spark, tmp_path, delay="1 hour", period="1 hour", reach="3 hours")
+    kept = []
+    for day in range(1, 5):
+        stream.add(crawl([row(day, "/", link, at(day, 2)), row(day + 10, "/", link, at(day, 2))]), True)
+        stream.add(crawl([row(day, "/privacy", "right of access", at(day, 4)),
+                          row(day + 10, "/privacy", "right of access", at(day, 9))]), False)  # beyond its reach
+        kept.append(sum(o.numRowsTotal for o in stream.drain().stateOperators))
+    assert kept[-1] <= kept[1]
+    stream.drain("2024-02-01")
+    unreachable = {number for number, rule, _ in stream.found() if rule == "R12"}
+    assert unreachable == {day + 10 for day in range(1, 5)}
+    assert {number for number, rule, _ in stream.found() if rule == "R07"} == set(range(1, 5))
 
 
 def test_lifecycle_stream_equals_batch(spark, tmp_path):
@@ -48,16 +103,40 @@ def test_lifecycle_stream_equals_batch(spark, tmp_path):
     assert [r.scan_run_id for r in stuck] == [2]
 
 
-def test_first_seen_stream(spark, tmp_path):
-    rows = spark.sql("""SELECT * FROM VALUES ('u', 'R01', timestamp'2024-01-01'),
-        ('u', 'R01', timestamp'2024-01-03'), ('v', 'R05', timestamp'2024-01-02')
-        AS v(url, rule_id, fetched_at)""")
-    source = str(tmp_path / "findings")
-    rows.repartition(2).write.parquet(source)
-    found = spark.readStream.schema(rows.schema).parquet(source)
-    audit_stream.first_seen_stream(found).writeStream.format("memory").queryName("spans").option(
-        "checkpointLocation", str(tmp_path / "cp")).outputMode("complete").trigger(
-        availableNow=True).start().awaitTermination()
-    got = {(r.url, r.rule_id): (r.first_seen.day, r.last_seen.day, r.times_seen)
-           for r in spark.table("spans").collect()}
-    assert got == {("u", "R01"): (1, 3, 2), ("v", "R05"): (2, 2, 1)}
+def test_stuck_runs_come_out_of_the_stream(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("events", "stuck", "cp"))
+
+    def drain(*rows):
+        spark.createDataFrame(rows, "scan_run_id bigint, website_id bigint, status string, s bigint").selectExpr(
+            "scan_run_id", "website_id", "status", "timestamp_seconds(1704067200 + s * 60) AS at"
+        ).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(lifecycle.EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+        query = lifecycle.start_stuck_report(stream, out, progress, "1 hour", "10 minutes")
+        query.awaitTermination()
+        found = spark.read.schema(lifecycle.STUCK).parquet(out).collect()
+        return sorted((r.scan_run_id, r.started_at.minute) for r in found), query.lastProgress.stateOperators[0].numRowsTotal
+    assert drain((1, 1, "Running", 5), (2, 2, "Running", 0), (3, 3, "Running", 1)) == ([], 3)
+    assert drain((2, 2, "Completed", 20), (3, 3, "Running", 30), (1, 1, "Running", 2)) == ([], 3)
+    # 80 minutes and the delay: all three timers have gone off, run 3 by its first start
+    assert drain((9, 9, "Completed", 80)) == ([(1, 2), (3, 1)], 1)
+    assert drain((9, 9, "Completed", 300)) == ([(1, 2), (3, 1)], 0)
+
+
+def test_spans_leave_the_state(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("scans", "spans", "cp"))
+    kept = []
+    for day in range(1, 6):
+        spark.sql(f"""SELECT * FROM VALUES ({day}L, 1L, timestamp'2024-01-0{day} 05:00:00', array('R01', 'R01')),
+            ({day + 10}L, 2L, timestamp'2024-01-0{day} 06:00:00', array('R0{day}')),
+            ({day + 20}L, 2L, timestamp'2024-01-0{day} 06:00:00', CAST(array() AS array<string>))
+            AS v(scan_run_id, website_id, started_at, rule_ids)""").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(spans.SCANS).parquet(source)
+        query = spans.start_spans(stream, out, progress, "1 day", "1 day")
+        query.awaitTermination()
+        kept.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    assert max(kept) == kept[-1] == kept[2]
+    closed = spans.spans(spark.read.parquet(out)).collect()
+    got = {(r.website_id, r.rule_id): (r.first_seen.day, r.last_seen.day, r.times_seen, r.is_open) for r in closed}
+    assert got == {(1, "R01"): (1, 3, 6, True), **{(2, f"R0{d}"): (d, d, 1, False) for d in (1, 2, 3)}}
+    batch = spans.spans(spans.period_spans(spark.read.parquet(source)))
+    assert {r.times_seen for r in batch.where("website_id = 1").collect()} == {10}
