@@ -363,7 +363,7 @@ def t1(spark, sf):
         stream.start_facts(stream.crawl_stream(spark, f"{folder}/in/{kind}", max_files=2), f"{folder}/facts/{kind}",
                            f"{folder}/progress/{kind}", kind == "site").awaitTermination()
     stream.write_heartbeat(spark, f"{folder}/facts/beat", "2100-01-01")
-    stream.start_audit(stream.facts_stream(spark, f"{folder}/facts/*", max_files=4), f"{folder}/out",
-                       f"{folder}/progress/audit", delay="1000 days", period="30 days", reach="1000 days"
-                       ).awaitTermination()
+    stream.start_audit(stream.facts_stream(spark, f"{folder}/facts/*", max_files=8), f"{folder}/out",
+                       f"{folder}/progress/audit", partitions=spark.sparkContext.defaultParallelism,
+                       delay="1000 days", period="30 days", reach="1000 days").awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("page_id", "rule_id").agg(F.count("*").alias("findings"))

@@ -525,7 +525,7 @@ def t2_stuck_stream(spark, sf):
     ).write.mode("append").parquet(source)
     lifecycle.start_stuck_report(
         spark.readStream.schema(lifecycle.EVENTS).option("maxFilesPerTrigger", 2).parquet(source),
-        out, progress, "6 hours", "60 days").awaitTermination()
+        out, progress, "6 hours", "60 days", spark.sparkContext.defaultParallelism).awaitTermination()
     return spark.read.schema(lifecycle.STUCK).parquet(out)
 
 
@@ -550,5 +550,6 @@ def t3_stream(spark, sf):
         "SELECT -1L AS scan_run_id, CAST(NULL AS bigint) AS website_id, timestamp'2100-01-01' AS started_at, "
         "CAST(array() AS array<string>) AS rule_ids")).write.mode("append").parquet(source)
     stream = spark.readStream.schema(spans.SCANS).option("maxFilesPerTrigger", 2).parquet(source)
-    spans.start_spans(stream, out, progress, "7 days", "60 days").awaitTermination()
+    spans.start_spans(stream, out, progress, "7 days", "60 days",
+                      spark.sparkContext.defaultParallelism).awaitTermination()
     return spans.spans(spark.read.parquet(out))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewarden import lexicon, schemas
 from pagewarden.operators import extraction, rules, walk
+from pagewarden.streaming import append_stream
 
 KEYS = ("page_id", "url", "fetched_at")
 
@@ -33,14 +34,9 @@ def facts_schema(spark: SparkSession):
     return _facts(spark.createDataFrame([], schemas.CRAWL).withColumn("is_target", F.lit(True))).schema
 
 
-def _append(rows: DataFrame, out: str, checkpoint: str):
-    return rows.writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-
-
 def start_facts(pages: DataFrame, out: str, checkpoint: str, target: bool = True):
     """Appends the facts of new pages (``target``: to be audited) until the input is used up."""
-    return _append(_facts(pages.withColumn("is_target", F.lit(target))), out, checkpoint)
+    return append_stream(_facts(pages.withColumn("is_target", F.lit(target))), out, checkpoint)
 
 
 def write_heartbeat(spark: SparkSession, facts: str, at) -> None:
@@ -108,6 +104,7 @@ def audited(facts: DataFrame, rule_list: list = None, delay: str = "1 hour", per
     return rules.evaluate(walk.with_outcome(met.unionByName(rest, allowMissingColumns=True)), rule_list)
 
 
-def start_audit(facts: DataFrame, out: str, checkpoint: str, rule_list: list = None, **limits):
+def start_audit(facts: DataFrame, out: str, checkpoint: str, rule_list: list = None,
+                partitions: int = None, **limits):
     """Appends the findings, by all rules, of what the watermark of the facts has passed."""
-    return _append(rules.finding_rows(audited(facts, rule_list, **limits), *KEYS), out, checkpoint)
+    return append_stream(rules.finding_rows(audited(facts, rule_list, **limits), *KEYS), out, checkpoint, partitions)

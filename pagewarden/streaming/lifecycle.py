@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewarden.sources.sinks import SnapshotTable
+from pagewarden.streaming import append_stream
 
 EVENTS = "scan_run_id bigint, website_id bigint, status string, at timestamp"
 
@@ -112,7 +113,7 @@ def stuck_stream(events: DataFrame, limit: str, delay: str = "1 hour") -> DataFr
         follow, STUCK, _TIMED, "append", "EventTimeTimeout")
 
 
-def start_stuck_report(events: DataFrame, out: str, checkpoint: str, limit: str, delay: str = "1 hour"):
+def start_stuck_report(events: DataFrame, out: str, checkpoint: str, limit: str, delay: str = "1 hour",
+                       partitions: int = None):
     """Appends stuck runs as they are found, until the input is used up."""
-    return stuck_stream(events, limit, delay).writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return append_stream(stuck_stream(events, limit, delay), out, checkpoint, partitions)

@@ -8,6 +8,8 @@ state holds open periods only, however long the history is.
 
 from pyspark.sql import DataFrame, functions as F
 
+from pagewarden.streaming import append_stream
+
 SCANS = "scan_run_id bigint, website_id bigint, started_at timestamp, rule_ids array<string>"
 
 
@@ -51,7 +53,7 @@ def spans(periods: DataFrame) -> DataFrame:
         (F.col("newest") == F.col("last")).alias("is_open"))
 
 
-def start_spans(scans: DataFrame, out: str, checkpoint: str, period: str = "1 day", delay: str = "1 day"):
+def start_spans(scans: DataFrame, out: str, checkpoint: str, period: str = "1 day", delay: str = "1 day",
+                partitions: int = None):
     """Appends the sums of closed periods until the input is used up."""
-    return period_spans(scans, period, delay).writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return append_stream(period_spans(scans, period, delay), out, checkpoint, partitions)
