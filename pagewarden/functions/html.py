@@ -145,67 +145,98 @@ def element_spans(tag_array: str, n_tokens: str) -> str:
     form, the positions of its parent and of its outermost ancestor within
     reach (-1 is the document).
 
-    Arrays are copied when they grow.  So the pass runs in chunks of SPAN_CHUNK tags: what a
-    chunk finds is put aside as one entry, and the work stays linear in the tags.
+    Arrays are copied when they change, so the pass runs in chunks of SPAN_CHUNK tags. Within a chunk
+    the stack below it (``names``, ``open`` of the chunk's state) stays as it is: a tag changes a short
+    stack of its own, the number of elements below that have been closed (``gone``) and the list of
+    those whose span is wanted since (``marks``); ``kinds``, the names below, tells at once that a closing
+    tag has nothing to close there. The two are put together at the end of the chunk, and
+    what a chunk finds is put aside as one entry: the work is linear in the tags, and the depth of
+    nesting counts once a chunk.
     """
     s, e, p, i, c, k = (fresh(n) for n in "sepick")
     levels = lexicon.NOTICE_LEVELS
     span_list = "array<struct<first:int,last:int>>"
     form_list = "array<struct<pos:int,parent:int,outer:int>>"
     none = lambda kind: f"CAST(array() AS {kind})"
+    plain = lambda entry: f"greatest({entry}, -{entry} - 1)"
 
-    def closed(positions, end):
-        return (f"transform(filter({positions}, {p} -> {p} < 0), "
-                f"{p} -> named_struct('first', -{p} - 1, 'last', {end}))")
+    def closed(positions, end, marks=none("array<int>")):
+        return (f"transform(filter({positions}, {p} -> {p} < 0 OR array_contains({marks}, {p})), "
+                f"{p} -> named_struct('first', {plain(p)}, 'last', {end}))")
 
-    def state(names, opened, spans, forms):
-        return (f"named_struct('names', {names}, 'open', {opened}, "
-                f"'spans', {spans}, 'forms', {forms})")
+    def state(names, opened, spans, forms, gone=f"{s}.gone", marks=f"{s}.marks", kinds=f"{s}.kinds"):
+        return (f"named_struct('names', {names}, 'open', {opened}, 'gone', {gone}, 'marks', {marks}, "
+                f"'spans', {spans}, 'forms', {forms}, 'kinds', {kinds})")
 
-    def tail(array, start):
-        return f"slice({array}, {start}, greatest(size({array}), 1))"
+    def rest(array, start):
+        """Entries from an offset on."""
+        return f"slice({array}, {start} + 1, size({array}) + 1)"
 
+    below = lambda n: f"get({c}.open, {s}.gone + {n} - size({s}.open))"
+    ancestor = lambda n: f"CASE WHEN {n} < size({s}.open) THEN get({s}.open, {n}) ELSE {below(n)} END"
+    wanted = (0, levels - 1)
     marked_stack = (
-        f"transform({s}.open, ({p}, {i}) -> CASE WHEN {i} IN (0, {levels - 1}) "
+        f"transform({s}.open, ({p}, {i}) -> CASE WHEN {i} IN {wanted} "
         f"THEN least({p}, -{p} - 1) ELSE {p} END)"
     )
-    stack = f"CASE WHEN {e}.name = 'form' THEN {marked_stack} ELSE {s}.open END"
+    lower = ", ".join(f"CASE WHEN {n} >= size({s}.open) AND {below(n)} >= 0 THEN {below(n)} END" for n in wanted)
+    is_form = f"{e}.name = 'form'"
+    stack = f"CASE WHEN {is_form} THEN {marked_stack} ELSE {s}.open END"
+    marks = (f"CASE WHEN {is_form} THEN array_union({s}.marks, array_compact(array({lower}))) "
+             f"ELSE {s}.marks END")
     entry = f"CASE WHEN {e}.name IN ('a', 'form') THEN -{e}.pos - 1 ELSE {e}.pos END"
-    ancestor = lambda n: (f"coalesce(greatest(get({s}.open, {n}), "
-                          f"-get({s}.open, {n}) - 1), -1)")
-    forms = (f"CASE WHEN {e}.name = 'form' THEN concat({s}.forms, array(named_struct("
-             f"'pos', {e}.pos, 'parent', {ancestor(0)}, 'outer', {ancestor(levels - 1)}))) "
+    position = lambda n: f"coalesce({let(ancestor(n), plain)}, -1)"
+    forms = (f"CASE WHEN {is_form} THEN concat({s}.forms, array(named_struct("
+             f"'pos', {e}.pos, 'parent', {position(0)}, 'outer', {position(levels - 1)}))) "
              f"ELSE {s}.forms END")
     opened = state(f"concat(array({e}.name), {s}.names)",
-                   f"concat(array({entry}), {stack})", f"{s}.spans", forms)
+                   f"concat(array({entry}), {stack})", f"{s}.spans", forms, marks=marks)
     self_closed = state(
         f"{s}.names", stack,
         f"concat({s}.spans, array(named_struct('first', {e}.pos, 'last', {e}.pos)))",
-        forms)
+        forms, marks=marks)
     popped = lambda depth: state(
-        tail(f"{s}.names", f"{depth} + 1"), tail(f"{s}.open", f"{depth} + 1"),
+        rest(f"{s}.names", depth), rest(f"{s}.open", depth),
         f"concat({s}.spans, {closed(f'slice({s}.open, 1, {depth})', f'{e}.pos')})",
         f"{s}.forms")
+    popped_below = lambda depth: state(
+        none("array<string>"), none("array<int>"),
+        f"concat({s}.spans, {closed(f'{s}.open', f'{e}.pos')}, "
+        f"{closed(f'slice({c}.open, {s}.gone + 1, {depth})', f'{e}.pos', f'{s}.marks')})",
+        f"{s}.forms", gone=f"{s}.gone + {depth}")
+    place_below = (f"CASE WHEN get({c}.names, {s}.gone) = {e}.name THEN 1 "
+                   f"ELSE CAST(array_position({rest(f'{c}.names', f'{s}.gone')}, {e}.name) AS INT) END")
+    closing_below = let(
+        f"CASE WHEN array_contains({s}.kinds, {e}.name) THEN {place_below} ELSE 0 END",
+        lambda depth: f"CASE WHEN {depth} > 0 THEN {popped_below(depth)} ELSE {s} END")
     closing = let(
         f"CAST(array_position({s}.names, {e}.name) AS INT)",
-        lambda depth: f"CASE WHEN {depth} > 0 THEN {popped(depth)} ELSE {s} END",
+        lambda depth: f"CASE WHEN {depth} > 0 THEN {popped(depth)} ELSE {closing_below} END",
     )
 
     def chunk(events):
+        empty = state(none("array<string>"), none("array<int>"), none(span_list), none(form_list),
+                      gone="0", marks=none("array<int>"), kinds=f"array_distinct({c}.names)")
         return (
-            f"aggregate(slice({events}, {k} + 1, {SPAN_CHUNK}), "
-            f"{state(f'{c}.names', f'{c}.open', none(span_list), none(form_list))}, ({s}, {e}) -> "
+            f"aggregate(slice({events}, {k} + 1, {SPAN_CHUNK}), {empty}, ({s}, {e}) -> "
             f"CASE {e}.step WHEN 1 THEN {opened} WHEN 0 THEN {self_closed} ELSE {closing} END)")
 
+    def together(r):
+        """The whole stack after a chunk, and what all chunks have found."""
+        left = rest(f"{c}.open", f"{r}.gone")
+        marked = (f"CASE WHEN size({r}.marks) = 0 THEN {left} ELSE transform({left}, {p} -> "
+                  f"CASE WHEN array_contains({r}.marks, {p}) THEN -{p} - 1 ELSE {p} END) END")
+        below_names = rest(f"{c}.names", f"{r}.gone")
+        return (f"named_struct('names', concat({r}.names, {below_names}), "
+                f"'open', concat({r}.open, {marked}), "
+                f"'spans', concat({c}.spans, array({r}.spans)), 'forms', concat({c}.forms, array({r}.forms)))")
+
     def folded(events):
-        empty = state(none("array<string>"), none("array<int>"),
-                      none(f"array<{span_list}>"), none(f"array<{form_list}>"))
-        step = let(chunk(events), lambda r: state(
-            f"{r}.names", f"{r}.open", f"concat({c}.spans, array({r}.spans))",
-            f"concat({c}.forms, array({r}.forms))"))
+        empty = (f"named_struct('names', {none('array<string>')}, 'open', {none('array<int>')}, "
+                 f"'spans', {none(f'array<{span_list}>')}, 'forms', {none(f'array<{form_list}>')})")
         return (
             f"aggregate(sequence(0, greatest(size({events}) - 1, 0), {SPAN_CHUNK}), {empty}, "
-            f"({c}, {k}) -> {step}, {c} -> named_struct('spans', array_sort(concat("
+            f"({c}, {k}) -> {let(chunk(events), together)}, {c} -> named_struct('spans', array_sort(concat("
             f"flatten({c}.spans), {closed(f'{c}.open', n_tokens)})), 'forms', flatten({c}.forms)))")
 
     events = f"filter({tag_array}, {e} -> {e}.step <> 0 OR {e}.name IN ('a', 'form'))"

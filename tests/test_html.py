@@ -1,6 +1,9 @@
 """Page extraction against a slow reader on random, badly nested pages."""
 
 import random
+import time
+
+import pytest
 
 from brute_html import read
 from pagewarden.functions import html as ht
@@ -26,8 +29,10 @@ def _pages(n, seed):
             for _ in range(n)]
 
 
-def test_random_pages_match_slow_reader(spark):
-    pages = _pages(400, 3)
+@pytest.mark.parametrize("chunk", [1, 3, ht.SPAN_CHUNK])
+def test_random_pages_match_slow_reader(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ht, "SPAN_CHUNK", chunk)
+    pages = _pages(400, chunk)
     df = spark.createDataFrame(
         [(i, "https://e.com/p", 200, h) for i, h in enumerate(pages)],
         "page_id bigint, url string, status int, html string")
@@ -47,6 +52,25 @@ def test_random_pages_match_slow_reader(spark):
         assert row.banner == banner, where
 
 
+def test_deep_nesting_costs_little_more_than_none(spark):
+    link = '<a href="/privacy">Privacy</a>'
+
+    def seconds(html):
+        df = spark.createDataFrame([(1, "https://e.com/p", 200, html)],
+                                   "page_id bigint, url string, status int, html string").selectExpr(
+            "*", "CAST(NULL AS string) AS error")
+        best = None
+        for _ in range(2):
+            start = time.monotonic()
+            assert len(ex.with_elements(df).select("links").first().links) == 16_000
+            best = min(best or 1e9, time.monotonic() - start)
+        return best
+    flat = seconds("<form></form>" + f"<li>{link}</li>" * 16_000)
+    for html in (f"<li>{link}" * 16_000 + "<form></form>", f"<div>{link}" * 16_000 + "<form></form>" + "</div>" * 16_000,
+                 f"<li>{link}</p>" * 16_000 + "<form></form>"):
+        assert seconds(html) < 3 * flat + 1
+
+
 def test_tokens_lose_nothing(spark):
     pages = _pages(200, 5) + ["<div class=a", "<!-- open", "<script>x", "a<", "</ x>", "<a b='c>d"]
     df = spark.createDataFrame([(h,) for h in pages], "html string")
