@@ -24,6 +24,19 @@ def element_flags(lower_text: str, language: str) -> str:
     return _struct((key, flag(key)) for key in lexicon.POLICY_ELEMENTS)
 
 
+def dictionary_hits(lower_text: str) -> str:
+    """Which elements each dictionary finds: one reading of the text for any number of languages."""
+    return _struct((f"{lang}_{key}", tx.contains_any(lower_text, phrases[key]))
+                   for lang, phrases in lexicon.POLICY_PHRASES.items() for key in lexicon.POLICY_ELEMENTS)
+
+
+def chosen_flags(hits: str, language: str) -> str:
+    """``element_flags`` from the hits of both dictionaries."""
+    return _struct((key, f"(NOT startswith({language}, 'en') AND {hits}.pt_{key}) "
+                         f"OR (NOT startswith({language}, 'pt') AND {hits}.en_{key})")
+                   for key in lexicon.POLICY_ELEMENTS)
+
+
 def check_flags(lower_text: str) -> str:
     """Five flags of the independent profile: one list, no language choice."""
     return _struct(

@@ -5,9 +5,12 @@ URL.  One row per walk carries the pages read so far and the queue; its size is
 bounded by the page budget (at most ``max_pages`` pages with ``max_pages``
 links each).  A level explodes the queue, looks every URL up in the page
 facts and folds the answers in queue order, which is exactly the order of a
-first-in first-out queue.
+first-in first-out queue.  Walks that have ended are put aside, so each level
+shuffles only those still under way, and the levels end with the last of them.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from pagewarden import lexicon, schemas
@@ -121,10 +124,17 @@ def policy_walks(starts: DataFrame, pool: DataFrame,
                  max_pages: int = lexicon.MAX_POLICY_PAGES,
                  hot: list = ()) -> DataFrame:
     """Walk from every start URL: merged flags, evidence URLs, pages read."""
-    state = begun(starts)
+    state, ended = begun(starts), []
+    more = f"size(queue) > 0 AND size(pages) < {max_pages}"
     for _ in range(max_pages):
-        state = folded(salted_join(queued(state), pool, "url", hot, spread_by="start"), max_pages)
-    return walk_results(state)
+        # A level reads only what the walks still under way have queued.
+        state = materialize(folded(salted_join(
+            queued(state), pool, "url", hot, spread_by="start"), max_pages), "walk-level")
+        ended.append(state.where(f"NOT ({more})"))
+        state = state.where(more)
+        if state.isEmpty():
+            break
+    return walk_results(reduce(DataFrame.unionByName, ended, state))
 
 
 def walk_results(state: DataFrame, *keys: str) -> DataFrame:

@@ -70,9 +70,11 @@ LEFT JOIN dict d ON contains(lower(t.text), d.phrase) AND (v.language LIKE d.lan
 def p3(spark, sf):
     flags = ", ".join(f"CASE WHEN f.{k} THEN 1 ELSE 0 END" for k in FLAGS)
     return _policy_texts(spark, sf).selectExpr(
-        "url", "lower_text", "explode(array('pt-PT', 'en', 'fr', 'unknown')) AS lang"
+        "url", f"{policy.dictionary_hits('lower_text')} AS hits"
     ).selectExpr(
-        "url", "lang AS language", f"{policy.element_flags('lower_text', 'lang')} AS f"
+        "url", "hits", "explode(array('pt-PT', 'en', 'fr', 'unknown')) AS language"
+    ).selectExpr(
+        "url", "language", f"{policy.chosen_flags('hits', 'language')} AS f"
     ).selectExpr(
         "url", "language", f"CAST({flags.replace(', ', ' + ')} AS BIGINT) AS flags_found")
 
@@ -96,6 +98,28 @@ def p6(spark, sf):
         "pages_read")
 
 
+# Page k of a site offers its first five links; queued pages are those in breadth-first order below readable ones.
+@query("p6_walk_limits", f"""
+SELECT * FROM (WITH RECURSIVE queued AS (
+  SELECT c_custkey AS site, 0 AS k, 0 AS level, [0] AS way FROM customer
+  UNION ALL
+  SELECT site, {corpus.WALK_FAN} * k + i, level + 1, way || [i] FROM queued CROSS JOIN range(1, {lx.MAX_POLICY_PAGES + 1}) r(i)
+  WHERE (site * 7 + k * 5) % 6 > 1 AND k < {corpus.WALK_PAGES} AND level < {lx.MAX_POLICY_PAGES}),
+reads AS (
+  SELECT *, row_number() OVER (PARTITION BY site ORDER BY level, way) AS n FROM queued
+  WHERE (site * 7 + k * 5) % 6 > 1 AND k < {corpus.WALK_PAGES})
+SELECT site, count(k) AS pages_read, coalesce(string_agg(k::VARCHAR, '|' ORDER BY n), '') AS pages
+FROM customer LEFT JOIN reads ON site = c_custkey AND n <= {lx.MAX_POLICY_PAGES}
+GROUP BY c_custkey, site HAVING site IS NOT NULL)""")
+def p6_limits(spark, sf):
+    facts = corpus.linked_sites(spark, sf)
+    starts = facts.where("page_id % 100 = 0 AND ok").select(F.col("url").alias("start"))
+    pool = materialize(walk.legal_pool(facts, starts), "walk-pool")
+    return walk.policy_walks(starts, pool).selectExpr(
+        "CAST(regexp_extract(start, '//s([0-9]+)', 1) AS bigint) AS site", "CAST(pages_read AS bigint) AS pages_read",
+        "array_join(transform(pages_analyzed, u -> substring_index(u, '/', -1)), '|') AS pages")
+
+
 @query("p7_policy_unreachable", """
 SELECT page_id, policy_url IS NOT NULL AND pages_read = 0 AS policy_unreachable FROM reads""")
 def p7(spark, sf):

@@ -124,6 +124,24 @@ def legal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Sites of WALK_PAGES pages, one for each customer: page k links to pages WALK_FAN * k + 1 and on, more than a
+# walk follows, and some pages cannot be read.
+WALK_PAGES, WALK_FAN = 60, 8
+
+
+def linked_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the pages of those sites, as the walk reads them."""
+    host = "concat('https://s', CAST(c_custkey AS string), '.example.org/')"
+    flags = ", ".join(f"'{name}', k % {n + 2} = 0" for n, name in enumerate(lexicon.POLICY_ELEMENTS))
+    return read_table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", f"explode(sequence(0, {WALK_PAGES - 1})) AS k").selectExpr(
+        f"concat({host}, CAST(k AS string)) AS url", "(c_custkey * 7 + k * 5) % 6 > 1 AS ok",
+        f"named_struct({flags}) AS flags",
+        f"transform(sequence({WALK_FAN} * k + 1, {WALK_FAN} * k + {WALK_FAN}), i -> "
+        f"concat({host}, CAST(i AS string))) AS legal_links",
+        "timestamp'2024-01-01' AS fetched_at", "c_custkey * 100L + k AS page_id")
+
+
 # Every phrase of the policy dictionaries, three to a document, in turn.
 _PHRASES = [p for keys in lexicon.POLICY_PHRASES.values() for of in keys.values() for p in of]
 DOCUMENT_PHRASES = [". ".join(_PHRASES[k:k + 3]) for k in range(0, len(_PHRASES), 3)]
