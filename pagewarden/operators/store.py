@@ -4,11 +4,13 @@ Each function takes the current tables and a batch and gives the new rows or
 the new table.  Times come from the batch, never from the clock.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from pagewarden import lexicon
 from pagewarden.functions import urls
-from pagewarden.operators.scale import dense_ids, hot_keys, salted_join
+from pagewarden.operators.scale import dense_ids, materialize
 
 
 def _last_id(table: DataFrame, column: str) -> int:
@@ -132,47 +134,62 @@ REQUIRED = {
 }
 
 
+# What a table's rows are to others. (role, name, key column): a ``parent`` offers its key,
+# a ``child`` needs it (constraint name, parent table), a ``unique`` key stands once.
+_KEYS = {
+    "website": [("parent", "website", "website_id"), ("unique", "unique_website_url", "url")],
+    "run": [("parent", "run", "scan_run_id"), ("child", ("run_website", "website"), "website_id")],
+    "finding": [("child", ("finding_run", "run"), "scan_run_id")],
+    "company": [("child", ("company_website", "website"), "website_id"),
+                ("unique", "unique_company_website", "website_id")],
+}
+_ENTRY = "array<struct<name:string,space:string,role:string,key:string,own:string>>"
+KNOWN_KEYS = 1 << 20  # up to so many keys without a parent are broadcast
+
+
+def _entries(df: DataFrame, table: str) -> DataFrame:
+    """All that the constraints ask of a table, from one reading of it: broken row constraints as they
+    are, and an entry for every key it offers, needs or must not repeat."""
+    own = f"CAST({dict(run='scan_run_id').get(table, f'{table}_id')} AS string)"
+
+    def entry(condition, name, role, space="NULL", key="NULL"):
+        return (f"CASE WHEN {condition} THEN named_struct('name', '{name}', 'space', {space}, 'role', '{role}', "
+                f"'key', CAST({key} AS string), 'own', {own}) END")
+    parts = [entry(" OR ".join(f"{c} IS NULL" for c in REQUIRED[table]), f"{table}_not_null", "broken")]
+    if table == "run":
+        known = ", ".join(f"'{status}'" for status in lexicon.SCAN_STATUSES)
+        parts.append(entry(f"status NOT IN ({known})", "scan_status", "broken"))
+    for role, name, column in _KEYS[table]:
+        if role == "child":  # a missing key refers to nothing
+            name, space = name
+            parts.append(entry(f"{column} IS NULL", name, "broken"))
+        else:
+            space = name
+        parts.append(entry(f"{column} IS NOT NULL", name, role, f"'{space}'", column))
+    return df.select(F.inline(F.expr(f"filter(CAST(array({', '.join(parts)}) AS {_ENTRY}), x -> x IS NOT NULL)")))
+
+
 def violations(websites: DataFrame, runs: DataFrame, findings: DataFrame,
                companies: DataFrame) -> DataFrame:
     """Rows breaking a constraint, as (constraint_name, key).
 
-    A missing key is a missing value and refers to nothing; it repeats nothing.
+    A missing key is a missing value and refers to nothing; it repeats nothing. Every table is read
+    once; references and repetitions are one aggregate over the keys of all tables, and only the rows
+    whose key has no parent are looked up again, in the written entries.
     """
-    def named(df, name, key):
-        return df.select(F.lit(name).alias("constraint_name"),
-                         F.col(key).cast("string").alias("key"))
-
-    def repeated(df, key, name):
-        return named(df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1"), name, key)
-
-    def orphan(df, parent, key, own, name):
-        rows = df.select(key, own)  # one parent may have a third of the rows
-        parents = parent.select(key).distinct().withColumn("_parent", F.lit(True))
-        kept = salted_join(rows, parents, key, hot_keys(rows, key), spread_by=own)
-        return named(kept.where("_parent IS NULL"), name, own)
-
-    def required(df, table):
-        missing = " OR ".join(f"{c} IS NULL" for c in REQUIRED[table])
-        key = {"run": "scan_run_id"}.get(table, f"{table}_id")
-        return named(df.where(missing), f"{table}_not_null", key)
-
-    parts = [
-        repeated(websites, "url", "unique_website_url"),
-        repeated(companies, "website_id", "unique_company_website"),
-        named(runs.where(~F.col("status").isin(*lexicon.SCAN_STATUSES)),
-              "scan_status", "scan_run_id"),
-        orphan(runs, websites, "website_id", "scan_run_id", "run_website"),
-        orphan(findings, runs, "scan_run_id", "finding_id", "finding_run"),
-        orphan(companies, websites, "website_id", "company_id", "company_website"),
-        required(websites, "website"),
-        required(runs, "run"),
-        required(findings, "finding"),
-        required(companies, "company"),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    tables = {"website": websites, "run": runs, "finding": findings, "company": companies}
+    entries = materialize(reduce(DataFrame.unionByName, (
+        _entries(df, table) for table, df in tables.items())), "constraint-entries")
+    keys = materialize(entries.where("role <> 'broken'").groupBy("space", "key").agg(
+        *[F.count_if(F.col("role") == role).alias(role) for role in ("parent", "child", "unique")]
+    ).where("unique > 1 OR (child > 0 AND parent = 0)"), "constraint-keys")
+    lost = keys.where("child > 0 AND parent = 0").select("space", "key")
+    children = entries.where("role = 'child'")
+    orphans = children.join(F.broadcast(lost) if lost.count() <= KNOWN_KEYS else lost, ["space", "key"], "left_semi")
+    named = lambda df, name, key: df.select(
+        F.col(name).alias("constraint_name"), F.col(key).alias("key"))
+    return named(entries.where("role = 'broken'"), "name", "own").unionByName(
+        named(orphans, "name", "own")).unionByName(named(keys.where("unique > 1"), "space", "key"))
 
 
 def published(findings: DataFrame, runs: DataFrame) -> DataFrame:
