@@ -6,6 +6,7 @@ from pagewarden import lexicon
 from pagewarden.functions import text as tx, urls
 from pagewarden.operators import cookies as ck
 from pagewarden.operators.company import FIELDS as COMPANY_FIELDS
+from pagewarden.operators.scale import newest_rows
 
 
 def _case(value: str, mapping: dict, default) -> str:
@@ -119,11 +120,9 @@ def reports(evaluated: DataFrame, time: str = "fetched_at") -> DataFrame:
 
 
 def latest_reports(all_reports: DataFrame) -> DataFrame:
-    """The newest report of every site (partial aggregation, no window)."""
-    columns = [c for c in all_reports.columns if c != "site_slug"]
-    return all_reports.groupBy("site_slug").agg(
-        F.max_by(F.struct(*columns), F.struct("scanned_at", "report_key", "page_id")).alias("r")
-    ).select("site_slug", "r.*")
+    """The newest report of every site: keys are aggregated, whole reports only looked up."""
+    return newest_rows(all_reports, "site_slug", "scanned_at", "page_id", ["report_key"]).select(
+        "site_slug", *[c for c in all_reports.columns if c != "site_slug"])
 
 
 def batch_overview(evaluated: DataFrame, failed: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # A key is hot from 1 / (SPLIT * shuffle partitions) of the rows on, so there are at most
 # SPLIT * shuffle partitions hot keys, whatever the data.
@@ -100,6 +100,29 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot,
         salted_right.drop("_parts"), [key, "_salt"], how).drop("_salt")
 
 
+def moment(time: str, tie: str) -> Column:
+    """A time and an integer tie-break as one fixed-width number that orders like the pair.
+
+    So the newest of many rows is a hash aggregate on one narrow column, without a sort.
+    """
+    wide = "CAST({} AS decimal(38, 0))"
+    return F.expr(f"CAST({wide.format(f'unix_micros({time})')} * {wide.format(2 ** 64)} "
+                  f"+ {wide.format(f'coalesce({tie}, -9223372036854775808L)')} AS decimal(38, 0))")
+
+
+def newest_rows(df: DataFrame, key: str, time: str, tie: str, rest) -> DataFrame:
+    """Of every key the row that is last by (time, tie, ``rest``), whole.
+
+    Only (key, moment) is aggregated; the rows of the newest moments are then looked up, and ties
+    among those few are settled by the columns ``rest``. A null time is older than any other.
+    """
+    timed = df.withColumn("_moment", F.coalesce(moment(time, tie), F.expr(f"CAST({-(10 ** 37)} AS decimal(38, 0))")))
+    last = timed.groupBy(key).agg(F.max("_moment").alias("_last")).withColumnRenamed(key, "_key")
+    found = timed.join(last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_moment") == F.col("_last")), "left_semi")
+    order = Window.partitionBy(key).orderBy(*[F.desc(c) for c in rest])
+    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_moment")
+
+
 def dense_ids(df: DataFrame, key_columns, id_column: str, base=0) -> DataFrame:
     """Consecutive ids from ``base + 1`` in md5 order of a unique key.
 

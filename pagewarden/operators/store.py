@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagewarden import lexicon
 from pagewarden.functions import urls
-from pagewarden.operators.scale import dense_ids, materialize
+from pagewarden.operators.scale import dense_ids, materialize, moment
 
 
 def _last_id(table: DataFrame, column: str) -> int:
@@ -54,18 +54,28 @@ def start_runs(existing: DataFrame, starts: DataFrame) -> DataFrame:
 
 def run_outcomes(events: DataFrame) -> DataFrame:
     """Last state per run from its events (scan_run_id, status, at, report_ref,
-    error_message).  A later event wins; completing never clears an error text
-    and failing never clears a report reference."""
-    of = lambda status, column: F.max_by(
-        F.when(F.col("status") == status, F.col(column)),
-        F.when(F.col("status") == status, F.struct("at", column)))
-    order = F.struct("at", F.col("status") != "Running", "status")
-    return events.groupBy("scan_run_id").agg(
-        F.max_by("status", order).alias("status"),
-        F.max(F.when(F.col("status") != "Running", F.col("at"))).alias("finished_at"),
-        of("Completed", "report_ref").alias("report_ref"),
-        of("Failed", "error_message").alias("error_message"),
-    )
+    error_message).  A later event wins; at equal times an end beats Running, Failed beats Completed, and
+    any other text (a broken constraint) beats these; completing never clears an error text and failing never clears a report reference.
+
+    Times and the rank of the status are one number, so all sums are hash aggregates; the texts are
+    looked up in the events of the newest moments.
+    """
+    known = sorted(lexicon.SCAN_STATUSES, key=lambda s: (s != "Running", s))
+    rank = "CASE status " + " ".join(f"WHEN '{s}' THEN {n}L" for n, s in enumerate(known)) + " ELSE 99L END"
+    ended = F.col("status") != "Running"
+    when = lambda status: F.max(F.when(F.col("status") == status, F.col("at")))
+    sums = events.groupBy("scan_run_id").agg(
+        F.max(moment("at", rank)).alias("last"), F.max(F.when(ended, F.col("at"))).alias("finished_at"),
+        when("Completed").alias("completed_at"), when("Failed").alias("failed_at"))
+    last = lambda status, column, at: F.array_max(F.collect_set(F.when(
+        (F.col("status") == status) & (F.col("at") == F.col(at)), F.col(column)))).alias(column)
+    newest = events.withColumn("moment", moment("at", rank)).join(
+        sums.withColumnRenamed("scan_run_id", "run"), F.col("scan_run_id").eqNullSafe(F.col("run")))
+    texts = newest.where("at = completed_at OR at = failed_at OR moment = last")
+    return texts.groupBy("scan_run_id").agg(
+        F.array_max(F.collect_set(F.when(F.col("moment") == F.col("last"), F.col("status")))).alias("status"),
+        F.max("finished_at").alias("finished_at"), last("Completed", "report_ref", "completed_at"),
+        last("Failed", "error_message", "failed_at"))
 
 
 def apply_outcomes(runs: DataFrame, events: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Helpers for skewed keys and numbering."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -87,7 +88,6 @@ def test_materialize_keeps_schema_and_rows(spark):
 
 def test_close_removes_the_run_folder(spark):
     import os
-    from pagewarden.operators import scale
 
     other = spark.newSession()
     kept = scale.materialize(other.range(3).toDF("n"), "kept")
@@ -97,6 +97,44 @@ def test_close_removes_the_run_folder(spark):
     assert scale.materialize(other.range(2).toDF("n"), "again").count() == 2
 
 
+def test_newest_rows(spark):
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a", "b", "c"]), rng.choice([None, 1, 2, 3]), rng.choice([None, -1, 5]),
+             rng.choice(["x", "y"])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "k string, s bigint, n bigint, t string").selectExpr(
+        "k", "timestamp_seconds(s) AS at", "n", "t", "s")
+    order = lambda r: tuple((x is not None, x) for x in r[1:])
+    want = {k: max((r for r in rows if r[0] == k), key=order) for k in {r[0] for r in rows}}
+    newest = scale.newest_rows(df, "k", "at", "n", ["t"])
+    got = newest.collect()
+    assert len(got) == len(want) and all((r.k, r.s, r.n, r.t) == want[r.k] for r in got)
+    assert newest.columns == df.columns
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_run_outcomes_sort_nothing(spark):
+    from pagewarden.operators import store
+
+    rng = random.Random(6)
+    rows = [(rng.randint(1, 20), rng.choice(["Running", "Completed", "Failed"]), rng.randint(0, 4),
+             rng.choice([None, "r1", "r2"]), rng.choice([None, "e1", "e2"])) for _ in range(300)]
+    events = spark.createDataFrame(rows, "scan_run_id bigint, status string, s bigint, report_ref string, "
+                                   "error_message string").withColumn("at", F.timestamp_seconds("s")).drop("s")
+    outcomes = store.run_outcomes(events)
+    assert "SortAggregate" not in outcomes._jdf.queryExecution().executedPlan().toString()
+
+    def last(run, status, place):
+        at = [r for r in rows if r[0] == run and r[1] == status]
+        texts = [r[place] for r in at if r[2] == max(x[2] for x in at) and r[place]]
+        return max(texts, default=None)
+    for r in outcomes.collect():
+        own = [x for x in rows if x[0] == r.scan_run_id]
+        assert r.status == max(own, key=lambda x: (x[2], x[1] != "Running", x[1]))[1]
+        assert (r.report_ref, r.error_message) == (last(r.scan_run_id, "Completed", 3), last(r.scan_run_id, "Failed", 4))
+
+
 def test_orphans_of_a_hot_parent(spark):
     from pagewarden.operators import store
 
