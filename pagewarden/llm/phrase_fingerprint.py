@@ -8,26 +8,27 @@ hash of its symbols. The names are the symbols of the next level. Where a phrase
 begins depends on a few symbols around it and never on its offset, so equal substrings
 get equal phrases but for a bounded margin at either end.
 
-The fingerprint is a min-hash sketch over the set of names of two levels: names are
-dealt to SLOTS slots by their hash, and each slot keeps 16 bits of its smallest. The
-likeness of two fingerprints is the share of equal slots among those that either uses,
-an estimate of the Jaccard likeness of the name sets.
+The fingerprint is a min-hash sketch over the sets of names of the lower levels: the names of a level
+are dealt to the slots of that level by their hash, and each slot keeps 16 bits of its smallest. The
+likeness of two fingerprints is the share of equal slots among those that either uses, an
+estimate of the Jaccard likeness of the name sets, each level weighing by its slots. All texts
+are sketched alike, whatever their length: short ones merely leave slots of the higher levels unused.
 """
 
 import hashlib
+from math import isqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pagewarden.llm.common import map_batches, spread
 
-LEVELS = (2, 3)  # names of these levels are kept; of short texts those of level 1 too
-SHORT_CHARS = 200
-SLOTS = 64
+LEVEL_SLOTS = (12, 26, 26)  # slots of the names of levels 1, 2, 3
+SLOTS = sum(LEVEL_SLOTS)
 TOSSES = 4  # 64 bit -> 128 -> 14 -> 8 -> 6 labels
 ROWS_PER_TASK = 2000
-MAX_RANGES = 1024
 CHUNK_CHARS = 1 << 17
 
 _U = np.uint64
@@ -104,19 +105,15 @@ def _sketch_group(texts: list, places: list, out: list) -> None:
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(t) for t in texts])
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-    short = lengths < SHORT_CHARS
     names = points.astype(_U)
     minima = np.full(len(texts) * SLOTS, ~_U(0))
-    for depth in range(1, max(LEVELS) + 1):
+    before = 0
+    for depth, width in enumerate(LEVEL_SLOTS, 1):
         names, owner = level(names, owner)
-        if depth in LEVELS:
-            keep_names, keep_owner = names, owner
-        else:  # short texts have few phrases above the lowest level
-            keep = short[owner]
-            keep_names, keep_owner = names[keep], owner[keep]
-        salted = mix(keep_names + _U(depth))
-        slot = (salted & _U(SLOTS - 1)).astype(np.int64) + keep_owner.astype(np.int64) * SLOTS
+        salted = mix(names + _U(depth))
+        slot = (salted % _U(width)).astype(np.int64) + before + owner.astype(np.int64) * SLOTS
         np.minimum.at(minima, slot, salted)
+        before += width
     kept = np.where(minima == ~_U(0), _U(_NONE), (minima >> _U(40)) % _U(_NONE))
     kept = kept.astype(">u2").tobytes().hex()
     for k, place in enumerate(places):
@@ -152,24 +149,31 @@ def with_following(docs: DataFrame, id_column="doc_id", text="text") -> DataFram
     """Rows (range, own, key, h, body) in partitions sorted so that every row stands right
     before the one that follows it in the whole table by (id, text hash).
 
-    The id axis is cut at quantiles into at most MAX_RANGES ranges, each of which is
+    The id axis is cut at quantiles into ranges, each of which is
     sorted with spilling and streamed, never held. The first row of a range is also
     sent, marked as not its own, to the end of the range before it (the very first row
     to the last range). So the texts are shuffled once and there is no window over the
-    whole table. Null ids come first.
+    whole table. Null ids come first. From ROWS_PER_TASK squared rows on, ranges and rows of a
+    range grow alike, with the square root of the table; the driver holds one id for each range.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("bigint").alias("key"),
                        F.coalesce(F.col(text), F.lit("")).alias("body"))
-    ranges = min(MAX_RANGES, spread(docs.count(), ROWS_PER_TASK, spark))
-    cuts = rows.stat.approxQuantile(
-        "key", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
-    rows = rows.withColumn("range", F.expr(
-        _count_below("key", sorted({int(c) for c in cuts})))).withColumn("h", F.xxhash64("body"))
+    n = docs.count()
+    ranges = spread(n, max(ROWS_PER_TASK, isqrt(n)), spark)
+    cuts = np.array(sorted({int(c) for c in rows.stat.approxQuantile(
+        "key", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))}), np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(keys: pd.Series) -> pd.Series:
+        """Number of cuts at or below a key."""
+        return pd.Series(np.searchsorted(cuts, keys.to_numpy(), "right").astype(np.int32))
+    lowest = F.coalesce("key", F.expr("-9223372036854775808L"))  # nulls would make the keys floats
+    rows = rows.withColumn("range", range_of(lowest)).withColumn("h", F.xxhash64("body"))
     order = F.struct(F.col("key").isNotNull().alias("filled"), "key", "h")
     firsts = sorted((r["range"], r["m"]["key"], r["m"]["h"]) for r in
                     rows.groupBy("range").agg(F.min(order).alias("m")).collect())
-    marks = spark.createDataFrame(  # at most MAX_RANGES rows; the first follows the last
+    marks = spark.createDataFrame(  # a row for each range; the first follows the last
         [(*first, firsts[i - 1][0]) for i, first in enumerate(firsts)],
         "at int, first_key bigint, first_h bigint, to int")
     own = F.struct("range", F.lit(True).alias("own"))
@@ -185,16 +189,6 @@ def with_following(docs: DataFrame, id_column="doc_id", text="text") -> DataFram
             "range", F.desc("own"), F.col("key").asc_nulls_first(), "h")
 
 
-def _count_below(column: str, cuts: list, first: int = 0) -> str:
-    """Number of cuts at or below a value, as a balanced tree; null counts as lowest."""
-    if not cuts:
-        return str(first)
-    middle = len(cuts) // 2
-    return (f"CASE WHEN {column} >= {cuts[middle]}L "
-            f"THEN {_count_below(column, cuts[middle + 1:], first + middle + 1)} "
-            f"ELSE {_count_below(column, cuts[:middle], first)} END")
-
-
 def edit_likeness(docs: DataFrame, id_column="doc_id", text="text") -> DataFrame:
     """Per row: its fingerprint, that of its edited text (see ``edited``; the following
     row is the next by id, after the last the first), and how alike its fingerprint is
