@@ -230,6 +230,21 @@ def test_leaks(spark):
         template_leaks.BROADCAST_WINDOWS = shuffled
 
 
+def test_names_at_the_start_of_sentences(spark):
+    items = spark.createDataFrame([
+        (1, "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have?"),
+        (2, "the quick river runs below nine old bridges and then it meets the cold grey sea again")],
+        "item_id bigint, text string")
+    rows = [(1, "Ann has 7 apples. Ann buys 4 more apples. How many apples does Ann have?"),
+            (2, "It said:\n\"Joe has 12 apples. Joe buys 30 more apples. How many apples does Joe have?\" And so on."),
+            (3, "Ann has 7 apples. Bob buys 4 more apples. Why many apples does Eve have?"),  # not one question
+            (4, "He has 5 apples."),
+            (5, "So the quick river runs below ten old bridges and then it meets the cold grey sea again."),  # a word
+            (6, "a quick river ran below nine bridges and it met the cold sea again, the grey sea")]
+    got = {(r.doc_id, r.item_id) for r in template_leaks.leaks(documents(spark, rows), items).collect()}
+    assert got == {(1, 1), (2, 1), (5, 2)}
+
+
 # --- personal data
 
 PLAIN = {
