@@ -1,19 +1,21 @@
 """Personal data: fixed patterns, and terms that give a protected entity away.
 
-An entity is a value that a pattern found (an address, a phone number, ...). The words within
-REACH words of its mentions are its co-occurring terms. Over the whole corpus
+An entity is a value that a pattern found (an address, a phone number, ...). The REACH words on either
+side of its mentions are its co-occurring terms. Over the whole corpus
 the information that a term t reveals about an entity e is their pointwise mutual
 information against the information content of e:
 
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 + ln p(e | t) / IC(e)
 
-with p(e | t) the share of t's occurrences that stand near e. Terms of MIN_CONTEXTS or
-more different contexts (mentions between the same two words, as in exact and near
-copies, count once) and a disclosure
-of DISCLOSURE or more are marked near the mentions of e, and generalised or removed.
+with p(e | t) the share of the texts with t in which it stands near e, and IC(e) = -ln of the share of texts that
+mention e. The share is not taken at face value but by its lower confidence bound, and the evidence counts
+different texts only: a term that is seen once, or in any number of copies of one text, proves
+nothing, at any size of the corpus. Terms with a disclosure of DISCLOSURE or more, and a bound of
+CERTAINTY or more, are marked near the mentions of e, and generalised or removed.
 """
 
 import hashlib
+from bisect import bisect_left
 
 import regex
 import xxhash
@@ -22,9 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from pagewarden.llm.common import map_batches, materialize
 
 REACH = 5
-REACH_CHARS = 400
-MIN_CONTEXTS = 3
-DISCLOSURE = 0.9
+DISCLOSURE = 0.8
+CERTAINTY = 1 / 3  # two texts out of two reach it, one of one does not
+Z = 1.96  # standard errors of the confidence bound
 KINDS = ("email", "ip", "card", "phone")
 
 # The patterns of the base kinds. A run of digits is only entered at its
@@ -84,20 +86,23 @@ def _hash(s: str) -> int:
 
 
 def contexts(text: str, spans: dict) -> list:
-    """(entity, context, term, start, end) for the words near every mention."""
+    """(entity, term, start, end) for the words near every mention."""
     mentions = sorted((s, e, k) for k in KINDS for s, e in spans[k])
-    rows = []
+    if not mentions:
+        return []
+    words, rows, reach = [m.span() for m in WORD.finditer(text)], [], 0
+    free = []  # words outside all mentions
+    for low, high in words:
+        while reach < len(mentions) and mentions[reach][1] <= low:
+            reach += 1
+        if not any(s < high and low < e for s, e, _ in mentions[reach: bisect_left(mentions, (high,))]):
+            free.append((low, high))
     for s, e, kind in mentions:
         value = text[s:e].lower()
         entity = _hash(f"{kind}:{value if kind == 'email' else _digits(value)}")
-        low, high = max(0, s - REACH_CHARS), min(len(text), e + REACH_CHARS)
-        before = [m for m in WORD.finditer(text, low, s) if m.start() > low or low == 0][-REACH:]
-        after = [m for m in WORD.finditer(text, e, high) if m.end() < high or high == len(text)][:REACH]
-        words = [m for m in before + after
-                 if not any(a < m.end() and m.start() < b for a, b, _ in mentions)]
-        beside = [m[-1].group() if m else "" for m in (before, after[:1])]
-        context = _hash(" ".join(beside).lower())
-        rows += [(entity, context, m.group().lower(), *m.span()) for m in words]
+        at = bisect_left(free, (s,))
+        rows += [(entity, text[low:high].lower(), low, high)
+                 for low, high in (*free[max(0, at - REACH): at], *free[at: at + REACH])]
     return rows
 
 
@@ -108,14 +113,13 @@ def _joined(spans: dict) -> str:
 def scan(docs: DataFrame, id_column="doc_id", text="text") -> DataFrame:
     """One pass over the texts: base spans, their counts and digest, the contexts."""
     def each(keys, texts, hashes):
-        out = [keys, hashes, *[[] for _ in range(8)]]
+        out = [keys, hashes, *[[] for _ in range(7)]]
         for t in texts:
             t = t or ""
             spans = base_spans(t)
             base = _joined(spans)
             row = [*[len(spans[k]) for k in KINDS], hashlib.sha256(base.encode()).hexdigest(), base,
-                   [dict(zip(("entity", "context", "term", "start", "end"), r))
-                    for r in contexts(t, spans)] if base else [], t.count(" ") + t.count("\n") + 1]
+                   [dict(zip(("entity", "term", "start", "end"), r)) for r in contexts(t, spans)]]
             for column, value in zip(out[2:], row):
                 column.append(value)
         return out
@@ -124,29 +128,42 @@ def scan(docs: DataFrame, id_column="doc_id", text="text") -> DataFrame:
     return map_batches(
         docs.select(id_column, text, F.xxhash64(F.coalesce(F.col(text), F.lit("")))), lambda: each,
         f"`{id_column}` {kind}, text_hash bigint, {counts}, base_sha256 string, base string, "
-        "near array<struct<entity: bigint, context: bigint, term: string, start: int, end: int>>, "
-        "n_words bigint")
+        "near array<struct<entity: bigint, term: string, start: int, end: int>>")
 
 
-def disclosing_terms(scanned: DataFrame, docs: DataFrame, text="text", min_contexts=MIN_CONTEXTS,
-                     least=DISCLOSURE) -> DataFrame:
-    """(entity, term, disclosure) of all terms that give an entity away."""
-    near = scanned.select(F.explode("near").alias("n")).select("n.entity", "n.context", "n.term")
-    pairs = materialize(near.groupBy("entity", "term").agg(
-        F.count_distinct("context").alias("n_contexts"), F.count("*").alias("n_near")
-    ).where(F.col("n_contexts") >= min_contexts), "pii-pairs")
+def lower_bound(share, n):
+    """Lower end of the score interval of a share seen in ``n`` trials (columns or numbers)."""
+    root = ((share * (1 - share) + Z * Z / (4 * n)) / n) ** 0.5
+    return (share + Z * Z / (2 * n) - Z * root) / (1 + Z * Z / n)
+
+
+def disclosing_terms(scanned: DataFrame, docs: DataFrame, text="text", least=DISCLOSURE,
+                     certainty=CERTAINTY) -> DataFrame:
+    """(entity, term, disclosure) of all terms that give an entity away.
+
+    Shares are of rows, the number of trials is of different texts.
+    """
+    near = scanned.select("text_hash", F.explode("near").alias("n")).select("n.entity", "n.term", "text_hash")
+    seen = materialize(scanned.select("text_hash", F.explode(F.array_distinct(F.transform(
+        "near", lambda n: F.struct(n["entity"].alias("entity"), n["term"].alias("term"))))).alias("n"))
+        .groupBy("n.entity", "n.term", "text_hash").agg(F.count("*").alias("rows")), "pii-near")
+    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_texts"), F.sum("rows").alias("n_near"))
+    # Pairs that could not be certain even if every text with the term were near the entity.
+    pairs = materialize(pairs.where(lower_bound(F.lit(1.0), F.col("n_texts")) >= certainty), "pii-pairs")
     terms = materialize(pairs.select("term").distinct(), "pii-terms")
-    words = docs.select(F.explode(F.regexp_extract_all(
-        F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("term"))
-    # Counted before the join: a common word then meets its term once, not at each occurrence.
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
+        F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
+    # Counted before the join: a common word then meets its term once, not in each text.
     counts = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
-    mentions = near.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
-    total = scanned.agg(F.sum("n_words")).first()[0] or 1
+    mentions = near.groupBy("entity").agg(F.count_distinct("text_hash").alias("n_entity"))
+    total = max(2, scanned.select("text_hash").distinct().count())
     share = F.least(F.lit(1.0), F.col("n_near") / F.coalesce("n_term", "n_near"))
-    content = -F.ln(F.col("n_entity") / F.lit(float(max(total, 2))))
+    bound = lower_bound(F.col("share"), F.col("n_texts") / F.col("share"))
+    content = -F.ln(F.least(F.col("n_entity") / F.lit(float(total)), F.lit(0.5)))
     return materialize(
-        pairs.join(mentions, "entity").join(counts, "term", "left")
-        .select("entity", "term", (1 + F.ln(share) / content).alias("disclosure"))
+        pairs.join(mentions, "entity").join(counts, "term", "left").withColumn("share", share)
+        .withColumn("bound", bound).where(F.col("bound") >= certainty)
+        .select("entity", "term", (1 + F.ln("bound") / content).alias("disclosure"))
         .where(F.col("disclosure") >= least), "pii-disclosing")
 
 

@@ -302,6 +302,45 @@ def test_disclosing_terms(spark):
     assert len(found.collect()) == len(rows)
 
 
+def test_disclosure_by_hand(spark):
+    rng = random.Random(12)
+    people = ["Ulla", "Odo", "Ines", "Wim"]
+    rows = []
+    for i in range(120):
+        who, other = rng.randrange(4), rng.randrange(4)
+        text = f"{sentence(rng, 8)} ask {people[who if rng.random() < 0.8 else other]} or a{who}@mail.example.com, {sentence(rng, 8)}"
+        rows += [(i, text)] * rng.choice([1, 1, 3])
+    rows += [(500 + i, sentence(rng, 12)) for i in range(80)]
+    rows.append((900, "Far " + "é" * 900 + " nobody@mail.example.com"))
+    near, having, entities = {}, {}, {}
+    for key, text in rows:
+        spans = disclosure_pii.base_spans(text)
+        for term in set(re.findall(r"\w+", text.lower())):
+            having[term] = having.get(term, 0) + 1
+        for s, e in spans["email"]:
+            entities.setdefault(text[s:e], set()).add(text)
+            words = [(m.start(), m.group().lower()) for m in re.finditer(r"\w+", text) if m.end() <= s or m.start() >= e]
+            before = [w for at, w in words if at < s][-5:]
+            after = [w for at, w in words if at >= e][:5]
+            for term in {*before, *after}:
+                near.setdefault((text[s:e], term), []).append(text)
+    total, want = len({t for _, t in rows}), set()
+    for (entity, term), texts in near.items():
+        p = len(texts) / having[term]
+        n = len(set(texts)) / p
+        z = 1.96
+        low = (p + z * z / 2 / n - z * (p * (1 - p) / n + z * z / 4 / n / n) ** 0.5) / (1 + z * z / n)
+        if low >= 1 / 3 and 1 + np.log(low) / -np.log(min(0.5, len(entities[entity]) / total)) >= 0.4:
+            want.add((disclosure_pii._hash(f"email:{entity}"), term))
+    docs = documents(spark, rows)
+    got = disclosure_pii.disclosing_terms(disclosure_pii.scan(docs), docs, least=0.4).collect()
+    assert {(r.entity, r.term) for r in got} == want
+    assert {t for _, t in want} >= {"ulla", "wim"}
+    assert "far" not in {w for _, w, *_ in disclosure_pii.contexts(rows[0][1], disclosure_pii.base_spans(rows[0][1]))}
+    words = [w for _, w, *_ in disclosure_pii.contexts(rows[-1][1], disclosure_pii.base_spans(rows[-1][1]))]
+    assert words == ["far", "é" * 900]  # however long the words are
+
+
 # --- fingerprints
 
 def brute_edit(rows):
