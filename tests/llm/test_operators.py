@@ -542,6 +542,11 @@ def test_queries_cover_their_tables(spark, name):
         flat = lambda t: t.replace("\n", " ")
         whole = {(d.doc_id, b.item_id) for d in texts for b in items if flat(b.text) in flat(d.text)}
         assert whole <= {(r.doc_id, r.item_id) for r in rows}
+    elif name.startswith("op11"):
+        assert {r.anchor_id for r in rows} == set(range(0, spark.read.parquet(f"{SMALL}/embeddings.parquet").count(), 50))
+    elif name.startswith("op13"):
+        turns = spark.read.parquet(f"{SMALL}/conversations.parquet")
+        assert [r.n_convs for r in rows if r.depth == 0] == [turns.select("conv_id").distinct().count()]
     else:
         assert len(rows) == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
 
