@@ -29,14 +29,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive(read(spark, sf_dir, "pages"))
-    back = spark.read.format("warc").load(folder)
-    response = F.col("warc_type") == "response"
-    return back.select(
-        "page_id",
-        F.when(response, F.octet_length("payload").cast("bigint"))
-        .otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(response, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+    responses = warc.pushed(spark, folder, "warc_type = 'response'").select(
+        "page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to")
+    revisits = warc.pushed(spark, folder, "warc_type = 'revisit'", payload=False).select(
+        "page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest",
         F.col("warc_type").alias("record_type"), "refers_to")
+    return responses.unionByName(revisits)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 import public_tokenizers
 
+from pagewarden.operators.scale import run_dir
 from pagewarden.llm import (
     bpe_automaton, disclosure_pii, line_spread, phrase_fingerprint, quality_qda, queries,
     simhash_tiles, site_template, template_leaks, url_language, warc,
@@ -432,7 +433,7 @@ def test_log_model_is_a_distribution():
 
 # --- archives
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, capsys):
     big, small = "<p>" + "é" * 200, "<p>tiny"
     rows = [(5, "http://a/ä b", big), (2, None, big), (9, "u\r\nX: y", big), (3, "u", small), (4, "u", small),
             (6, "u", None), (7, "u", ""), (None, "u", big), (8, "u", "x" * 300_000), (2, "again", big)]
@@ -454,8 +455,27 @@ def test_warc_round_trip(spark, tmp_path):
             assert bytes(r.payload) == html[r.page_id]
     assert df.where("warc_type = 'revisit'").count() == 2
     assert df.where("target_uri LIKE 'aga%'").count() == 1
+    assert df.count() == len(rows)  # predicates of earlier queries leave no trace
+    assert df.where("warc_type = 'revisit'").union(df.where("warc_type = 'response'")).count() == len(rows)
+    assert warc.pushed(spark, folder, "warc_type = 'revisit'").count() == 2
+    assert warc.pushed(spark, folder, "warc_type IN ('revisit', 'response') AND page_id = 8").count() == 1
+    some = warc.pushed(spark, folder, "target_uri LIKE 'aga%'", payload=False)
+    assert [(r.page_id, r.payload) for r in some.collect()] == [(2, None)]
+    some.explain("formatted")
+    assert "StringStartsWith(target_uri,aga)" in capsys.readouterr().out
     bare = spark.read.format("warc").option("payload", "false").load(folder)
     assert bare.where("payload IS NOT NULL").count() == 0 and bare.count() == len(rows)
+    warc.archive(pages(spark, [(50, "more", big), (51, "more", None)]), folder)  # appended: nothing is hidden
+
+    def now():
+        return spark.read.format("warc").load(folder)
+    assert df.count() == len(rows) and now().count() == len(rows) + 2
+    assert now().where("page_id >= 50 AND warc_type = 'response'").count() == 2
+    warc.records_of(pages(spark, [(60, "new", small)])).write.format("warc").mode("overwrite").save(folder)
+    assert [r.page_id for r in now().collect()] == [60]
+    warc.archive(pages(spark, [(61, "new", small)]), folder)
+    assert sorted(r.page_id for r in now().collect()) == [60, 61]
+    assert warc.archive(pages(spark, [])).startswith(run_dir(spark))
     empty = warc.archive(pages(spark, []), str(tmp_path / "e"))
     assert spark.read.format("warc").load(empty).count() == 0
 
@@ -463,9 +483,64 @@ def test_warc_round_trip(spark, tmp_path):
 def test_warc_of_other_writers():
     import gzip
     raw = [warc.record(i, "u", "response", "d", 3, None, b"abc") for i in range(3)]
-    for data in (b"".join(raw), b"".join(map(gzip.compress, raw)), b"".join(map(warc.member, raw))):
+    forms = (b"".join(raw), b"".join(map(gzip.compress, raw)), b"".join(map(warc.member, raw)),
+             gzip.compress(b"".join(raw)), warc.member(raw[0]) + gzip.compress(raw[1] + raw[2]),
+             gzip.compress(raw[0] + raw[1][:9]) + gzip.compress(b"") + gzip.compress(raw[1][9:] + raw[2]))
+    for data in forms:
         found = list(warc.records(data, lambda h: h["x-page-id"] != "1", True))
         assert [(h["x-page-id"], p) for h, p in found] == [("0", b"abc"), ("2", b"abc")]
+    assert list(warc.records(b"", lambda h: True, True)) == []
+
+
+def test_warc_records_of_any_size_in_small_chunks(monkeypatch):
+    import gzip
+    monkeypatch.setattr(warc, "CHUNK_BYTES", 97)
+    monkeypatch.setattr(warc, "PIECE_BYTES", 13)
+    monkeypatch.setattr(warc, "HEAD_BYTES", 64)
+    rng = random.Random(3)
+    payloads = [rng.randbytes(rng.choice([0, 1, 50, 96, 97, 98, 5000])) for _ in range(60)]
+    raw = [warc.record(i, "u" * rng.randrange(300), "response", "d", len(p), None, p) for i, p in enumerate(payloads)]
+    for data in (b"".join(raw), b"".join(map(gzip.compress, raw)), b"".join(map(warc.member, raw)),
+                 gzip.compress(b"".join(raw))):
+        for with_payload in (True, False):
+            found = list(warc.records(data, lambda h: int(h["x-page-id"]) % 3 != 0, with_payload))
+            assert [(int(h["x-page-id"]), p) for h, p in found] == [
+                (i, p if with_payload else None) for i, p in enumerate(payloads) if i % 3 != 0]
+
+
+def test_broken_archives_are_errors(spark, tmp_path):
+    import gzip
+    raw = [warc.record(i, "u", "response", "d", 3, None, b"abc") for i in range(3)]
+    bad_length = raw[0].replace(b"Content-Length: %d\r\n\r\nHTTP" % (len(warc.HTTP % 3) + 3),
+                                b"Content-Length: x\r\n\r\nHTTP")
+    assert bad_length != raw[0]
+    broken = [raw[0] + b"nonsense" + raw[1], raw[0] + raw[1][:-20], raw[0] + b"WARC/1.1\r\nno: end", bad_length]
+    packed = [gzip.compress(b) for b in broken]
+    cut = [gzip.compress(raw[0])[:-30], warc.member(raw[0])[:-30], warc.member(raw[0]) + b"\x1f\x8b\x08\x04"]
+    for data in broken + packed + cut:
+        for with_payload in (True, False):
+            with pytest.raises((ValueError, warc.zlib.error)):
+                list(warc.records(data, lambda h: True, with_payload))
+    warc.register(spark)
+    (tmp_path / "broken.warc").write_bytes(broken[0])
+    with pytest.raises(Exception, match="broken.warc"):
+        spark.read.format("warc").load(str(tmp_path)).count()
+
+
+def test_foreign_archive_time_is_linear():
+    import gzip
+    import time
+    rng = random.Random(5)
+
+    def seconds(n):
+        data = b"".join(gzip.compress(warc.record(i, "u", "response", "d", 4000, None, rng.randbytes(4000)), 1)
+                        for i in range(n))
+        start = time.process_time()
+        assert sum(1 for _ in warc.records(data, lambda h: True, True)) == n
+        return time.process_time() - start
+    seconds(500)
+    small, large = seconds(2000), seconds(8000)
+    assert large < 8 * small + 0.5 and large < 10
 
 
 def test_warc_skips_unwanted_payloads(monkeypatch):
