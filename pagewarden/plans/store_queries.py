@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagewarden import lexicon
 from pagewarden.operators import notify
-from pagewarden.operators.scale import hot_keys, rank_newest_first, salted_join
+from pagewarden.operators.scale import hot_keys, materialize, rank_newest_first, salted_join
 from pagewarden.sources.catalogue import rules_frame
+from pagewarden.sources.keyed import KeyedTable
 
 
 def sites_of_runs(websites: DataFrame, runs: DataFrame, companies: DataFrame = None,
@@ -78,8 +79,14 @@ def all_histories(runs: DataFrame) -> DataFrame:
     return rank_newest_first(runs, "website_id", "started_at", "scan_run_id", "position")
 
 
-def findings_of_scans(findings: DataFrame, scans: DataFrame) -> DataFrame:
-    return findings.join(scans.select("scan_run_id"), "scan_run_id", "left_semi")
+def histories_of(runs: KeyedTable, sites: DataFrame) -> DataFrame:
+    """Runs of the given websites (website_id) with their position, from a table keyed by website."""
+    return all_histories(runs.find_by(sites, "website_id"))
+
+
+def findings_of_scans(findings: KeyedTable, scans: DataFrame) -> DataFrame:
+    """Findings of the given runs (scan_run_id), from a table keyed by run."""
+    return findings.find_by(scans, "scan_run_id")
 
 
 def open_sites_per_rule(findings: DataFrame, runs: DataFrame) -> DataFrame:
@@ -112,6 +119,13 @@ def sites_by_nif(companies: DataFrame, websites: DataFrame, nif: str = None) ->
         websites.select("website_id", "url"), "website_id").select("nif", "url")
 
 
+def sites_of_nifs(companies: KeyedTable, websites: KeyedTable, nifs: DataFrame) -> DataFrame:
+    """Websites of the given tax numbers (nif), from tables keyed by website; companies have filters for nif."""
+    known = materialize(companies.find_by(nifs, "nif").select("nif", "website_id"), "known-companies")
+    return known.join(websites.find_by(known, "website_id").select("website_id", "url"), "website_id").select(
+        "nif", "url")
+
+
 def notification_listing(feed: DataFrame) -> DataFrame:
     return feed.select(
         "notification_id", "client_id", "device_name", "category", "level", "description",

@@ -9,6 +9,7 @@ from pagewarden.plans import store_queries as sq
 from pagewarden.registry import oracle as o
 from pagewarden.registry.pages import _scratch
 from pagewarden.sources import catalogue, corpus
+from pagewarden.sources.keyed import KeyedTable
 from pagewarden.sources.tables import read_table
 from pagewarden.streaming import lifecycle, spans
 
@@ -292,14 +293,32 @@ def q3(spark, sf):
         "scan_run_id", "website_id", "started_at", "status", "position")
 
 
+def _keyed(spark, rows, key, order=(), blooms=()):
+    table = KeyedTable(_scratch(spark, "keyed"), rows.schema, key, order, blooms)
+    table.replace(rows)
+    return table
+
+
+# The largest website of every hundred, as one looks up a few of many.
+@query("q3_history_lookup", """
+SELECT scan_run_id, website_id, started_at, status,
+  row_number() OVER (PARTITION BY website_id ORDER BY started_at DESC, scan_run_id DESC) AS position FROM runs
+WHERE website_id IN (SELECT max(website_id) FROM websites GROUP BY website_id // 100)""")
+def q3_lookup(spark, sf):
+    wanted = corpus.websites(spark, sf).groupBy(F.expr("website_id DIV 100")).agg(
+        F.max("website_id").alias("website_id"))
+    runs = _keyed(spark, corpus.scan_runs(spark, sf), "website_id", ("started_at", "scan_run_id"))
+    return sq.histories_of(runs, wanted).select("scan_run_id", "website_id", "started_at", "status", "position")
+
+
 @query("q4_findings_of_scan", """
 SELECT scan_run_id, rule_id, description FROM described
 WHERE scan_run_id IN (SELECT max(scan_run_id) FROM stored GROUP BY scan_run_id // 100)""")
 def q4(spark, sf):
     newest = corpus.findings(spark, sf).groupBy(F.expr("scan_run_id DIV 100")).agg(
         F.max("scan_run_id").alias("scan_run_id"))
-    return sq.findings_of_scans(_described(spark, sf), newest).select(
-        "scan_run_id", "rule_id", "description")
+    stored = _keyed(spark, _described(spark, sf), "scan_run_id", ("rule_id",))
+    return sq.findings_of_scans(stored, newest).select("scan_run_id", "rule_id", "description")
 
 
 @query("q5_sites_with_rule_open", """
@@ -348,6 +367,16 @@ def q7(spark, sf):
     return sq.sites_by_nif(_store_companies(spark, sf), corpus.websites(spark, sf))
 
 
+@query("q7_site_lookup", """
+SELECT c.nif, w.url FROM site_companies c JOIN websites w USING (website_id)
+WHERE c.nif IN (SELECT max(nif) FROM site_companies GROUP BY substr(nif, 1, 2))""")
+def q7_lookup(spark, sf):
+    rows = _store_companies(spark, sf)
+    wanted = rows.groupBy(F.substring("nif", 1, 2)).agg(F.max("nif").alias("nif"))
+    companies = _keyed(spark, rows, "website_id", blooms=("nif",))
+    return sq.sites_of_nifs(companies, _keyed(spark, corpus.websites(spark, sf), "website_id"), wanted)
+
+
 @query("q8_notification_listing", "SELECT notification_id, client_id, device_name, category, level, description, type, created_at FROM feed")
 def q8(spark, sf):
     return sq.notification_listing(_feed(spark, sf))
