@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pagewarden import lexicon as lx
 from pagewarden.functions import html as ht, language, text as tx, urls
-from pagewarden.operators import cookies as ck, extraction as ex, reporting, rules
+from pagewarden.operators import cookies as ck, extraction as ex, ngram_language, reporting, rules
 from pagewarden.plans import audit
 from pagewarden.registry import oracle as o
 from pagewarden.sources import catalogue, corpus, sinks
@@ -368,6 +368,31 @@ def x13(spark, sf):
         "doc_id", f"{language.detect('text')} AS language")
 
 
+# Learnt from three quarters of the documents, judged are all.
+@query("x13_language_by_trigrams", r"""
+WITH tri_words AS (SELECT doc_id, lang, word, count(*) AS n FROM (
+  SELECT doc_id, lang, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM documents)
+  WHERE word <> '' GROUP BY ALL),
+tri_found AS (SELECT doc_id, lang, gram, sum(n) AS n FROM (
+  SELECT doc_id, lang, n, substr(' ' || word || ' ', unnest(range(1, length(word) + 1)), 3) AS gram FROM tri_words)
+  GROUP BY ALL),
+tri_counts AS (SELECT lang, gram, sum(n) AS n FROM tri_found WHERE doc_id % 4 <> 0 AND lang IS NOT NULL GROUP BY ALL),
+tri_sizes AS (SELECT lang, CAST(sum(n) + (SELECT count(DISTINCT gram) FROM tri_counts) AS DOUBLE) AS size FROM tri_counts GROUP BY lang),
+tri_gains AS (SELECT lang, gram, CAST(floor(1000 * ln(CAST(n + 1 AS DOUBLE) / size)) AS BIGINT)
+  - CAST(floor(1000 * ln(1 / size)) AS BIGINT) AS gain FROM tri_counts JOIN tri_sizes USING (lang)),
+tri_lengths AS (SELECT doc_id, sum(n) AS n FROM tri_found GROUP BY doc_id),
+tri_seen AS (SELECT f.doc_id, g.lang, sum(f.n * g.gain) AS gain FROM tri_found f JOIN tri_gains g USING (gram) GROUP BY ALL),
+tri_best AS (SELECT doc_id, s.lang FROM tri_lengths l CROSS JOIN tri_sizes s LEFT JOIN tri_seen USING (doc_id, lang)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY
+    coalesce(gain, 0) + l.n * CAST(floor(1000 * ln(1 / size)) AS BIGINT) DESC, s.lang) = 1)
+SELECT doc_id, CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 50 THEN coalesce(lang, 'unknown') ELSE 'unknown' END AS language
+FROM (SELECT doc_id, text FROM documents) LEFT JOIN tri_best USING (doc_id)
+""")
+def x13_trigrams(spark, sf):
+    documents = read_texts(spark, sf, "documents").select("doc_id", "text", "lang")
+    return ngram_language.judge(documents, ngram_language.train(documents.where("doc_id % 4 <> 0")), "doc_id")
+
+
 @query("x14_site_record", """
 SELECT g.page_id, g.url, g.url AS final_url, l.language,
   (SELECT count(*) FROM cookies c WHERE c.page_id = g.page_id) AS cookies,
