@@ -36,7 +36,10 @@ def plain_judge(labelled, text):
     return min(cost, key=lambda lang: (cost[lang], lang))
 
 
-def test_equals_a_plain_count(spark):
+@pytest.mark.parametrize("frequent,broadcast", [(ng.FREQUENT, ng.MAX_BROADCAST_GRAMS), (20, 0), (1, 10 ** 6)])
+def test_equals_a_plain_count(spark, monkeypatch, frequent, broadcast):
+    monkeypatch.setattr(ng, "FREQUENT", frequent)
+    monkeypatch.setattr(ng, "MAX_BROADCAST_GRAMS", broadcast)
     labelled = [*TEXTS.items(), ("en", "The controller keeps the data for one year."), ("pt", "Prazo de conservação")]
     model = ng.train(spark.createDataFrame([*labelled, (None, "nobody knows"), ("en", None)], "lang string, text string"))
     texts = {1: "O responsável trata os dados e informa o titular sobre o prazo de conservação dos dados.",
