@@ -1,5 +1,6 @@
 """Scan lifecycle from an event stream."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -76,41 +77,58 @@ def start_lifecycle(events: DataFrame, path: str, checkpoint: str):
 
 
 STUCK = "scan_run_id bigint, started_at timestamp"
-_TIMED = "started_at timestamp, latest_at timestamp, status string"
+_TIMED = "runs binary, first binary, latest binary, due binary"  # 64-bit integers, one for each run
+RUN_GROUPS = 2048
 
 
-def stuck_stream(events: DataFrame, limit: str, delay: str = "1 hour") -> DataFrame:
+def _per_run(runs, first, latest, due, fresh):
+    """One entry per run: its least start, its greatest latest event, its timer and whether it came just now."""
+    order = np.argsort(runs, kind="stable")
+    runs = runs[order]
+    cut = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+    return (runs[cut], np.minimum.reduceat(first[order], cut), np.maximum.reduceat(latest[order], cut),
+            np.maximum.reduceat(due[order], cut), np.logical_or.reduceat(fresh[order], cut))
+
+
+def stuck_stream(events: DataFrame, limit: str, delay: str = "1 hour", groups: int = RUN_GROUPS) -> DataFrame:
     """Runs that are still Running when the watermark reaches their start and ``limit``, as a stream.
 
     Every run has an event-time timer, set anew while an earlier start may still come in. When it goes off the run
     is reported or, if it has ended, passed over; either way its state is dropped. An event after that
-    starts the run's clock again.
+    starts the run's clock again. Runs are followed in ``groups`` hash groups, each by whole columns (32 bytes for a
+    run), with one Spark timer for the next of its runs; the number stays as long as the checkpoint lives.
     """
-    allowed = pd.Timedelta(limit)
+    allowed = pd.Timedelta(limit).value // 1000
 
     def follow(key, batches, state):
-        if state.hasTimedOut:
-            started, _, status = state.get
-            state.remove()
-            if status == "Running":
-                yield pd.DataFrame({"scan_run_id": [key[0]], "started_at": [started]})
-            return
-        rows = [(at, status != "Running", status) for batch in batches
-                for at, status in zip(batch["at"], batch["status"])]
-        if state.exists:
-            started, at, status = state.get
-            rows.append((pd.Timestamp(at), status != "Running", status))
-            first = min(pd.Timestamp(started), min(rows)[0])
+        now = state.getCurrentWatermarkMs()
+        kept = [np.frombuffer(c, dtype="i8") for c in state.get] if state.exists else [np.empty(0, "i8")] * 4
+        rows = [] if state.hasTimedOut else [b for b in batches if len(b)]
+        come = [np.concatenate([b[c].to_numpy("i8") for b in rows] or [np.empty(0, "i8")])
+                for c in ("scan_run_id", "first", "latest")]
+        columns = [np.concatenate(pair) for pair in zip(kept, [*come, np.zeros(len(come[0]), "i8")])]
+        fresh = np.arange(len(columns[0])) >= len(kept[0])
+        runs, first, latest, due, fresh = _per_run(*columns, fresh)
+        due = np.where(fresh, np.maximum((first + allowed) // 1000, now + 1), due)
+        off = ~fresh & (due < now)
+        if off.all():
+            if state.exists:
+                state.remove()
         else:
-            first = min(rows)[0]
-        last = max(rows)
-        state.update((first.to_pydatetime(), last[0].to_pydatetime(), last[2]))
-        due = (first + allowed).value // 1_000_000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
+            state.update(tuple(c[~off].tobytes() for c in (runs, first, latest, due)))
+            state.setTimeoutTimestamp(max(int(due[~off].min()), now + 1))
+        stuck = off & (latest % 2 == 0)
+        if stuck.any():
+            yield pd.DataFrame({"scan_run_id": runs[stuck], "first": first[stuck]})
+
+    # The latest event as a number: its time, then whether it ended the run.
+    ended = F.when(F.col("status") == "Running", 0).otherwise(1)
     return events.where("scan_run_id IS NOT NULL AND at IS NOT NULL").withWatermark("at", delay).select(
-        "scan_run_id", "at", "status").groupBy("scan_run_id").applyInPandasWithState(
-        follow, STUCK, _TIMED, "append", "EventTimeTimeout")
+        F.pmod(F.xxhash64("scan_run_id"), F.lit(groups)).alias("of"), "scan_run_id", "at",
+        F.unix_micros("at").alias("first"), (F.unix_micros("at") * 2 + ended).alias("latest")
+    ).groupBy("of").applyInPandasWithState(
+        follow, "scan_run_id bigint, first bigint", _TIMED, "append", "EventTimeTimeout"
+    ).select("scan_run_id", F.timestamp_micros("first").alias("started_at"))
 
 
 def start_stuck_report(events: DataFrame, out: str, checkpoint: str, limit: str, delay: str = "1 hour",

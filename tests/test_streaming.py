@@ -7,7 +7,7 @@ from pagewarden import schemas
 from pagewarden.operators import rules
 from pagewarden.plans import audit
 from pagewarden.sources import corpus
-from pagewarden.streaming import audit_stream, lifecycle, spans
+from pagewarden.streaming import append_stream, audit_stream, lifecycle, spans
 
 
 COLUMNS = [part.split()[0] for part in schemas.CRAWL.split(", ")]
@@ -122,6 +122,31 @@ def test_stuck_runs_come_out_of_the_stream(spark, tmp_path):
     assert drain((9, 9, "Completed", 300)) == ([(1, 2), (3, 1)], 0)
 
 
+def test_stuck_runs_in_shared_groups_equal_batch(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("events", "stuck", "cp"))
+    rows = spark.range(0, 90).selectExpr(
+        "id DIV 3 AS scan_run_id", "1L AS website_id",
+        "CASE WHEN id % 7 = 0 THEN 'Failed' WHEN id % 7 = 1 THEN 'Completed' ELSE 'Running' END AS status",
+        "timestamp_seconds(1704067200 + (id * 37) % 300 * 60) AS at")
+    # repeated rows and rows without a run or a time
+    events = rows.unionByName(rows.where("scan_run_id % 4 = 0")).unionByName(rows.selectExpr(
+        "CASE WHEN scan_run_id > 9 THEN scan_run_id END AS scan_run_id", "website_id", "status",
+        "CASE WHEN scan_run_id <= 9 THEN at END AS at").limit(20))
+    events.repartition(3).write.parquet(source)
+    spark.sql("SELECT -1L AS scan_run_id, 1L AS website_id, 'Completed' AS status, timestamp'2024-02-01' AS at"
+              ).write.mode("append").parquet(source)
+    stream = lifecycle.stuck_stream(
+        spark.readStream.schema(lifecycle.EVENTS).option("maxFilesPerTrigger", 1).parquet(source),
+        "1 hour", "20 days", groups=2)
+    query = append_stream(stream, out, progress)
+    query.awaitTermination()
+    assert all(p.stateOperators[0].numRowsTotal <= 2 for p in query.recentProgress if p.stateOperators)
+    want = lifecycle.stuck_runs(lifecycle.run_states(events.where("scan_run_id IS NOT NULL AND at IS NOT NULL")),
+                                "2024-01-12", "1 HOUR").select("scan_run_id", "started_at")
+    found = spark.read.schema(lifecycle.STUCK).parquet(out)
+    assert sorted(found.collect()) == sorted(want.collect()) != []
+
+
 def test_spans_leave_the_state(spark, tmp_path):
     source, out, progress = (str(tmp_path / n) for n in ("scans", "spans", "cp"))
     kept = []
