@@ -21,8 +21,11 @@ prefix; decoding emits the labels of the arcs.
 
 import hashlib
 import json
+import os
+import re
 import unicodedata
 from array import array
+from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
@@ -33,8 +36,10 @@ WORD_END = "</w>"
 # The pre-split pattern and white space of the word-end vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = r"[\t-\r \x85\xa0  -     　]+"
+UNSPACED = SPACE.replace("[", "[^", 1)
 
 CACHED_WORDS = 200_000
+CACHED_CHUNKS = 400_000
 TABLE_CELLS = 2_000_000
 # Words longer than this are encoded without being kept.
 KEEP_BYTES = 64
@@ -48,6 +53,15 @@ def byte_symbols() -> list:
     return [chars[b] for b in range(256)]
 
 
+def _lengths(tokens: dict) -> dict:
+    """Lengths of the tokens of three bytes and more, longest first, by their last three bytes."""
+    found = {}
+    for raw in tokens:
+        if len(raw) > 2:
+            found.setdefault(raw[-3:], set()).add(len(raw))
+    return {tail: sorted(of, reverse=True) for tail, of in found.items()}
+
+
 class MergeAutomaton:
     """Deterministic automaton over tokens, compiled from a merge list."""
 
@@ -60,14 +74,14 @@ class MergeAutomaton:
             pair = (vocab[a], vocab[b])
             self.parts[vocab[a + b]] = (k, *pair)
             self.rank[pair] = k
-        self.inner, self.final, self.longest = {}, {}, 1
+        self.inner, self.final = {}, {}
         for token, i in vocab.items():
             last = token.endswith(WORD_END) and token != WORD_END
             body = token[: -len(WORD_END)] if last else token
             if all(c in back for c in body):
                 raw = bytes(back[c] for c in body)
                 (self.final if last else self.inner)[raw] = i
-                self.longest = max(self.longest, len(raw))
+        self.inner_lengths, self.final_lengths = _lengths(self.inner), _lengths(self.final)
         self.table = {}
 
     def arc(self, x: int, y: int) -> bool:
@@ -101,21 +115,57 @@ class MergeAutomaton:
     def encode(self, word: bytes) -> list:
         """Ids of one pre-split word: the labels of its path."""
         n = len(word)
-        state, before = [None] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            tokens = self.final if end == n else self.inner
-            for start in range(max(0, end - self.longest), end):
-                token = tokens.get(word[start:end])
-                if token is not None and (start == 0 or state[start] is not None
-                                          and self.arc(state[start], token)):
-                    state[end], before[end] = token, start
-                    break
+        whole = self.final.get(word)
+        if whole is not None:
+            return [whole]
+        state, before = {0: None}, {}
+        # Of a short word only those prefixes that its path may come through.
+        for end in (n,) if n <= KEEP_BYTES else range(1, n + 1):
+            self._reach(word, end, state, before)
         path, at = [], n
         while at:
             path.append(state[at])
-            at = before[at]
+            at = before.get(at, 0)
         return path[::-1]
 
+    def _reach(self, word: bytes, end: int, state: dict, before: dict):
+        """The state of the prefix up to ``end``: its last token, the longest that has an arc."""
+        tokens, lengths = ((self.final, self.final_lengths) if end == len(word)
+                           else (self.inner, self.inner_lengths))
+        for length in (*lengths.get(word[end - 3:end], ()), 2, 1) if end > 2 else (2, 1):
+            start = end - length
+            if start < 0:
+                continue
+            token = tokens.get(word[start:end])
+            if token is None:
+                continue
+            if start:
+                last = state[start] if start in state else self._reach(word, start, state, before)
+                if last is None or not self.arc(last, token):
+                    continue
+            state[end], before[end] = token, start
+            return token
+        state[end] = None
+
+
+class Kept:
+    """Results by text. When ``size`` are kept the older half goes, so frequent ones stay."""
+
+    def __init__(self, size: int):
+        self.half, self.recent, self.older = size // 2, {}, {}
+
+    def find(self, key):
+        found = self.recent.get(key)
+        if found is None and (found := self.older.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, found) -> None:
+        if len(self.recent) >= self.half:
+            self.older = self.recent.copy()
+            self.recent.clear()
+        self.recent[key] = found
+
 
 class Encoder:
     """Encodes and decodes whole texts as a word-end vocabulary file asks."""
@@ -130,43 +180,63 @@ class Encoder:
         self.labels = self.automaton.labels | {i: t for t, i in self.added.items()}
         self.cut = regex.compile("(" + "|".join(
             regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
-        self.space, self.pieces = regex.compile(SPACE), regex.compile(PIECES)
-        self.known = {}
+        self.unspaced, self.pieces = re.compile(UNSPACED), regex.compile(PIECES)
+        self.known, self.chunks = Kept(CACHED_WORDS), Kept(CACHED_CHUNKS)
 
-    def normal(self, text: str) -> str:
-        text = self.space.sub(" ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()  # letter by letter, no final sigma
+    def normal(self, chunk: str) -> str:
+        chunk = unicodedata.normalize("NFC", chunk)
+        return chunk.replace("Σ", "σ").lower()  # letter by letter, no final sigma
 
     def word(self, piece: str) -> tuple:
         raw = piece.encode("utf-8", "surrogatepass")
         ids = self.automaton.encode(raw)
         found = (array("I", ids).tobytes(), " ".join(map(self.labels.__getitem__, ids)))
         if len(raw) <= KEEP_BYTES:
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.known[piece] = found
+            self.known.keep(piece, found)
+        return found
+
+    def chunk(self, chunk: str) -> tuple:
+        """``word`` of all pieces of a text without white space; no piece, normal form or
+        letter case reaches over white space."""
+        found = [self.known.find(piece) or self.word(piece)
+                 for piece in self.pieces.findall(self.normal(chunk))]
+        found = found[0] if len(found) == 1 else (
+            b"".join([f[0] for f in found]), " ".join([f[1] for f in found]))
+        if len(chunk) <= KEEP_BYTES:
+            self.chunks.keep(chunk, found)
         return found
 
     def run(self, text: str) -> tuple:
         """Ids as little-endian 32-bit integers, and the decoded text."""
         ids, labels = [], []
-        for part in self.cut.split(text):
+        recent, chunk = self.chunks.recent, self.chunk
+        for part in self.cut.split(text) if any(t in text for t in self.added) else (text,):
             if part in self.added:
                 ids.append(array("I", [self.added[part]]).tobytes())
                 labels.append(part)
                 continue
-            for piece in self.pieces.findall(self.normal(part)):
-                found = self.known.get(piece) or self.word(piece)
-                ids.append(found[0])
-                labels.append(found[1])
+            found = [recent.get(c) or self.chunks.find(c) or chunk(c) for c in self.unspaced.findall(part)]
+            ids += [f[0] for f in found]
+            labels += [f[1] for f in found if f[0]]
         return b"".join(ids), " ".join(labels)
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str, changed: int, size: int) -> Encoder:
+    return Encoder(path)
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a file, once in each Python worker: later tasks go on with its tables."""
+    of = os.stat(path)
+    return _encoder(path, of.st_mtime_ns, of.st_size)
+
+
 def encode_texts(docs: DataFrame, path: str, id_column="doc_id", text="text") -> DataFrame:
     """Per row: ids (array), the decoded text. Null and empty texts have no ids and an
     empty decoded text; ids may be null or repeat; rows are independent."""
     def make():
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
 
         def each(keys, texts):
             done = [encoder.run(t or "") for t in texts]
@@ -180,7 +250,7 @@ def encode_texts(docs: DataFrame, path: str, id_column="doc_id", text="text") ->
 def token_digests(docs: DataFrame, path: str, id_column="doc_id", text="text") -> DataFrame:
     """Per row the digests of ``encode_texts``, made in the same pass."""
     def make():
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
 
         def each(keys, texts):
             done = [encoder.run(t or "") for t in texts]

@@ -65,6 +65,29 @@ def test_encoding_is_the_librarys(spark):
         assert digests[i].n_tokens == len(ids)
 
 
+def test_encoder_reads_chunks_between_any_spaces_and_is_kept(monkeypatch):
+    rng = random.Random(8)
+    odd = [chr(c) for c in (*range(1, 48), 0x85, 0xa0, 0x1680, *range(0x2000, 0x2011), 0x2028, 0x202f, 0x205f, 0x3000,
+                            0x200b, 0xfeff, 0x301, 0x308, 0x307, 0x130, 0x3a3, 0x1e9e, 0x37e, 0x212b, 0xfb01)]
+    texts = ["".join(rng.choice(odd + list("aeinst'sAO12")) for _ in range(60)) for _ in range(400)]
+    library = Tokenizer.from_file(VOCAB)
+    library.no_truncation()
+    library.no_padding()
+    encoder = bpe_automaton.encoder_of(VOCAB)
+    for limit in (400_000, 8):  # the least keeps next to nothing
+        monkeypatch.setattr(encoder, "known", bpe_automaton.Kept(limit))
+        monkeypatch.setattr(encoder, "chunks", bpe_automaton.Kept(limit))
+        for text in texts:
+            ids = library.encode(text, add_special_tokens=False).ids
+            got = encoder.run(text)
+            assert got == (np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False))
+        assert len(encoder.chunks.recent) <= limit // 2
+    # Read once in a worker; a word of the vocabulary needs no walk over its prefixes.
+    assert bpe_automaton.encoder_of(VOCAB) is encoder
+    monkeypatch.setattr(encoder.automaton, "_reach", None)
+    assert len(encoder.automaton.encode(b"the")) == 1
+
+
 # --- near duplicates
 
 def brute_fingerprint(text, k):
