@@ -20,9 +20,9 @@ from pagewarden.operators.scale import hot_keys, materialize, salted_join
 PAGES = f"array<struct<url:string,flags:{schemas.FLAGS}>>"
 
 
-def latest_by_url(facts: DataFrame) -> DataFrame:
-    """One row per URL: the newest load of the page."""
-    return facts.groupBy("url").agg(
+def latest_by_url(facts: DataFrame, *keys: str) -> DataFrame:
+    """One row per URL: the newest load of the page; ``keys`` are columns that follow from the URL."""
+    return facts.groupBy(*keys, "url").agg(
         F.max_by(F.struct("ok", "flags", "legal_links"),
                  F.struct("fetched_at", "page_id", F.hash("flags", "legal_links"))
                  ).alias("p")
@@ -46,14 +46,19 @@ def _as_read(facts: DataFrame) -> DataFrame:
 
 
 def legal_pool(facts: DataFrame, starts: DataFrame) -> DataFrame:
-    """Facts of the pages a walk can reach: policy URLs and linked legal pages."""
+    """Facts of the pages a walk can reach: policy URLs and linked legal pages.
+
+    URLs are compared by their hash, one number for each link; a page let in by an equal hash is never
+    looked up. Facts are dealt by that hash once, for the comparison and for the newest load.
+    """
     facts = _as_read(facts)
-    linked = facts.where("ok").select(F.explode("legal_links").alias("url"))
-    candidates = starts.select(F.col("start").alias("url")).union(linked).distinct()
+    linked = facts.where("ok").select(F.explode("legal_links").alias("start"))
+    candidates = starts.select("start").union(linked).where("start IS NOT NULL").select(
+        F.xxhash64("start").alias("url_hash")).distinct()
     return latest_by_url(
-        facts.select("url", "ok", "flags", "legal_links", "fetched_at", "page_id")
-        .join(candidates, "url", "left_semi")
-    )
+        facts.where("url IS NOT NULL").select(
+            "url", "ok", "flags", "legal_links", "fetched_at", "page_id", F.xxhash64("url").alias("url_hash"))
+        .join(candidates, "url_hash", "left_semi"), "url_hash")
 
 
 def _fold(max_pages: int) -> str:

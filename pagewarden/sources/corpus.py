@@ -133,7 +133,9 @@ def linked_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of the pages of those sites, as the walk reads them."""
     host = "concat('https://s', CAST(c_custkey AS string), '.example.org/')"
     flags = ", ".join(f"'{name}', k % {n + 2} = 0" for n, name in enumerate(lexicon.POLICY_ELEMENTS))
-    return read_table(spark, sf_dir, "customer").selectExpr(
+    # Customers are few and short next to their pages: spread them before the pages are made.
+    return read_table(spark, sf_dir, "customer").select("c_custkey").repartition(
+        spark.sparkContext.defaultParallelism).selectExpr(
         "c_custkey", f"explode(sequence(0, {WALK_PAGES - 1})) AS k").selectExpr(
         f"concat({host}, CAST(k AS string)) AS url", "(c_custkey * 7 + k * 5) % 6 > 1 AS ok",
         f"named_struct({flags}) AS flags",

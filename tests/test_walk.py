@@ -3,10 +3,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from conftest import SMALL
 from pagewarden import lexicon as lx, schemas
 from pagewarden.operators import walk
 from pagewarden.plans import audit
+from pagewarden.sources import corpus
 
 FACTS = (f"url string, ok boolean, flags {schemas.FLAGS}, legal_links array<string>, "
          "fetched_at timestamp, page_id bigint")
@@ -123,3 +126,22 @@ def test_newest_load_of_a_page_counts(spark):
         CAST(NULL AS struct<a:boolean>) AS flags, CAST(array() AS array<string>) AS legal_links
         FROM VALUES (false, timestamp'2024-01-01'), (true, timestamp'2024-01-02') AS v(ok, at)""")
     assert [r.ok for r in walk.latest_by_url(df).collect()] == [True]
+
+
+def test_pool_compares_urls_by_number_and_pages_are_made_in_all_tasks(spark):
+    sites = corpus.linked_sites(spark, SMALL)
+    tasks = sites.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks >= min(4, spark.sparkContext.defaultParallelism)  # of one small file
+    facts = sites.where("page_id < 400").unionByName(sites.where("page_id = 101").withColumn("url", F.lit(None)))
+    facts = facts.unionByName(facts.where("page_id % 3 = 0").withColumn(  # a newer load that cannot be read
+        "fetched_at", F.expr("fetched_at + INTERVAL 1 DAY")).withColumn("ok", F.lit(False)))
+    starts = sites.where("page_id IN (100, 300)").select(F.col("url").alias("start")).unionByName(
+        spark.sql("SELECT CAST(NULL AS string) AS start"))
+    pool = walk.legal_pool(facts, starts)
+    rows = facts.collect()
+    linked = {u for r in rows if r.ok for u in r.legal_links} | {r.start for r in starts.collect()}
+    newest = {}
+    for r in sorted((r for r in rows if r.url is not None), key=lambda r: r.fetched_at):
+        newest[r.url] = r.ok
+    want = {(u, ok) for u, ok in newest.items() if u in linked}
+    assert want and sorted((r.url, r.ok) for r in pool.collect()) == sorted(want)
