@@ -8,9 +8,11 @@ gathered: two are equal if their sums of hashed (page, count) pairs and their
 support are, so classes come from two aggregations with map-side sums, whatever the
 number of pages of a host. A repeated row counts as often as it stands there.
 
-Valid classes nest along the element paths; what lies between template elements are
-slots. The main slot is the article: an article or main element, else the section that holds
-most unlinked text over the host's pages. A slot is a whole subtree: nested sections, quotes and tables
+Valid classes nest along the element paths and are ordered: a second pass over the pages keeps of a class the tokens
+that follow the same token of their class wherever they stand. What lies between template elements are slots.
+The main slot is the article: an article or main element, else the innermost section of the template around
+most unlinked text that is not of the template, over the host's pages (without a template, the section that
+holds most unlinked text). A slot is a whole subtree: nested sections, quotes and tables
 belong to it, and it widens to the section around it while that has own text which is neither linked nor of the template
 (a heading above the body). From it go regions that are no article by
 element or class name, and texts of the template (constant over the host).
@@ -237,6 +239,89 @@ def page_tokens(source: str) -> tuple:
     return found, mass
 
 
+def page_template(source: str, classes: dict) -> tuple:
+    """Order and slots of one page; ``classes``: {(kind, token): class} of its host.
+
+    ({(kind, token): [is first of its class, least, greatest token before it in its class]},
+    {section: unlinked characters outside the template, by the innermost template section; 0: none but the body}).
+    """
+    order, last, within, mass = {}, {}, {}, {}
+
+    def met(key, of):
+        cell = order.setdefault(key, [0, None, None])
+        if of in last:
+            cell[1] = last[of] if cell[1] is None else min(cell[1], last[of])
+            cell[2] = last[of] if cell[2] is None else max(cell[2], last[of])
+        else:
+            cell[0] = 1
+        last[of] = key[1]
+
+    if (0, 0) in classes:  # the page itself
+        met((0, 0), classes[0, 0])
+    for kind, here, _, value in texts(source):
+        if kind == "open":
+            key = (0, here[1])
+            of = classes.get(key)
+            if of is not None:
+                met(key, of)
+            if here[0] in ("html", "body"):
+                within[here[2]] = 0
+            elif here[0] in SECTIONS:
+                within[here[2]] = here[2] if of is not None else within.get(value, 0)
+            continue
+        if kind == "title" or here[0] in HEADINGS:
+            of = None
+        else:
+            key = (1, _hash(f"{here[1]}#{_shown(value)}", _SEED_TEXT))
+            of = classes.get(key)
+        if of is not None:
+            met(key, of)
+        elif kind == "text" and not here[3] and not here[4] and (shown := _shown(value)):
+            slot = within.get(here[2], 0)
+            mass[slot] = mass.get(slot, 0) + len(shown)
+    return order, mass
+
+
+def _nested(pages: DataFrame, members: DataFrame) -> tuple:
+    """Members that are in order on all pages, and (host, slot): where most text outside the template stands.
+
+    ``members``: host, support, class, kind, token, of all classes. Sums and extremes are formed on the map side.
+    """
+    known = members.groupBy("host").agg(F.collect_list(F.struct("kind", "token", "class")).alias("classes"))
+
+    def make():
+        cached = {}
+
+        def each(hosts, sources, classes):
+            sums = {}
+            for host, source, of in zip(hosts, sources, classes):
+                if host not in cached:
+                    if len(cached) > 1000:
+                        cached.clear()
+                    cached[host] = {(m["kind"], m["token"]): m["class"] for m in of}
+                order, mass = page_template(source or "", cached[host])
+                for (kind, token), (first, least, most) in order.items():
+                    cell = sums.setdefault((host, kind, token), [0, None, None, 0])
+                    cell[0] += first
+                    if least is not None:
+                        cell[1] = least if cell[1] is None else min(cell[1], least)
+                        cell[2] = most if cell[2] is None else max(cell[2], most)
+                for section, n in mass.items():
+                    sums.setdefault((host, 3, section), [0, None, None, 0])[3] += n
+            return (*([k[i] for k in sums] for i in range(3)), *([v[i] for v in sums.values()] for i in range(4)))
+        return each
+    rows = map_batches(pages.select("host", "html").join(known, "host").select("host", "html", "classes"), make,
+                       "host string, kind int, token bigint, firsts bigint, least bigint, most bigint, mass bigint")
+    seen = materialize(rows.groupBy("host", "kind", "token").agg(
+        F.sum("firsts").alias("firsts"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.sum("mass").alias("mass")), "site-order")
+    ordered = members.join(seen.where("kind < 3 AND (least IS NULL OR least = most)").drop("mass"),
+                           ["host", "kind", "token"]).where("firsts IN (0, support)")
+    slots = seen.where("kind = 3").groupBy("host").agg(
+        F.max_by("token", F.struct("mass", "token")).alias("inner_slot"))
+    return ordered.drop("firsts", "least", "most"), slots
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, constants, elements, slot) of each host; ``pages``: host, key, html.
 
@@ -278,12 +363,17 @@ def templates(pages: DataFrame) -> DataFrame:
     # A text on no more pages than twice the commonest title comes with copies of one page.
     constant = (F.col("support") >= CONSTANT_SUPPORT * F.col("n_pages")) & (
         F.col("support") > 2 * F.col("title_support"))
-    members = classes.select("host", constant.alias("constant"), F.explode("members").alias("m"))
-    built = members.groupBy("host").agg(
-        F.collect_list(F.when((F.col("m.kind") == 1) & F.col("constant"), F.col("m.token"))).alias("constants"),
-        F.collect_list(F.when(F.col("m.kind") == 0, F.col("m.token"))).alias("elements"))
-    return materialize(hosts.join(built, "host", "left").select(
-        "host", "constants", "elements", "slot"), "site-templates")
+    members = materialize(classes.select(
+        "host", "support", F.xxhash64("support", "vector").alias("class"), constant.alias("constant"),
+        F.inline("members")), "site-classes")
+    ordered, slots = _nested(pages, members)
+    built = ordered.groupBy("host").agg(
+        F.collect_list(F.when((F.col("kind") == 1) & F.col("constant"), F.col("token"))).alias("constants"),
+        F.collect_list(F.when(F.col("kind") == 0, F.col("token"))).alias("elements"))
+    # Where most text stands in no section of the template but the body, pages say themselves which is theirs.
+    return materialize(hosts.join(built, "host", "left").join(slots, "host", "left").select(
+        "host", "constants", "elements", F.expr("coalesce(nullif(inner_slot, 0), slot)").alias("slot")),
+        "site-templates")
 
 
 def _constant(here, value: str, constants) -> bool:
@@ -294,7 +384,7 @@ def _constant(here, value: str, constants) -> bool:
 def main_slot(walked: list, constants=frozenset(), slot=None):
     """The section that is the article of a walked page without article or main element; None if it has one.
 
-    ``slot`` (the host's) if the page has text in it, else the section with most unlinked text; then the section around it while
+    ``slot`` (the host's) if the page has text in it or below, else the section with most unlinked text; then the section around it while
     that has own unlinked text outside the template. The body is no such section.
     """
     mass, own, around, pages = {}, set(), {}, set()
@@ -310,7 +400,12 @@ def main_slot(walked: list, constants=frozenset(), slot=None):
                 mass[here[2]] = mass.get(here[2], 0) + len(value)
                 if not _constant(here, value, constants):
                     own.add(here[2])
-    if slot not in mass:
+    held = set()
+    for section in mass:
+        while section and section not in held:
+            held.add(section)
+            section = around.get(section, 0)
+    if slot not in held:
         slot = max(mass, key=mass.get, default=0)
     while (wider := around.get(slot, 0)) in own and wider not in pages and wider != slot and wider:
         slot = wider

@@ -71,3 +71,35 @@ def test_classes_equal_brute_force(spark, repeats):
         "'h' AS host", "xxhash64(cast(page_id AS string), url) AS key", "html")).collect()
     elements, constants = brute_classes([r[2] for r in rows])
     assert set(got.elements) == elements and set(got.constants) == constants and elements and constants
+
+
+def extracted(spark, bodies):
+    given = spark.createDataFrame([(i, f"http://h/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)],
+                                  "page_id bigint, url string, html string")
+    return {r.page_id: r.text for r in st.extract(given).collect()}
+
+
+def test_the_slot_lies_between_elements_of_the_template(spark):
+    """Every page has its own sections inside the content; the template's section around them is the slot."""
+    rng, want, bodies = random.Random(4), {}, []
+    for i in range(8):
+        parts = [sentence(rng, 12 + i), sentence(rng, 6), sentence(rng, 40)]
+        inner = "".join(f"<div class=part-{i}-{k}><p>{p}</p></div>" for k, p in enumerate(parts))
+        bodies.append(f"<div class=top><p>Of {sentence(rng, 1)}</p></div><div class=content>{inner}</div>"
+                      f"<div class=end><b>All rights</b><i>kept</i></div>")
+        want[i] = "\n\n".join(parts)
+    assert extracted(spark, bodies) == want
+
+
+def test_tokens_out_of_order_leave_their_class(spark):
+    fixed = ["<p>first notice</p>", "<h6></h6>", "<p>second notice</p>", "<i>third notice</i>", "<u>last notice</u>"]
+    swapped = [fixed[2], fixed[1], fixed[0], *fixed[3:]]
+    rng, bodies, words = random.Random(5), [], {}
+    for i in range(9):
+        words[i] = sentence(rng, 30)
+        bodies.append("<article>" + "".join(swapped if i == 4 else fixed) + f"<section>{words[i]}</section></article>")
+    got = extracted(spark, bodies)
+    # Both notices stand elsewhere on page 4, and so does what follows them there.
+    assert all("first notice" in t and "second notice" in t and "last notice" not in t for t in got.values())
+    order, mass = st.page_template(f"<html><body>{bodies[0]}</body></html>", {})
+    assert not order and sum(mass.values()) > len(words[0])
