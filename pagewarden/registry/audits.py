@@ -379,15 +379,15 @@ SELECT page_id, rule_id, count(*) AS findings FROM findings_d GROUP BY ALL""")
 def t1(spark, sf):
     from pagewarden import schemas
     from pagewarden.streaming import audit_stream as stream
-    folder = _scratch(spark, "audit-stream")
+    folder, cores = _scratch(spark, "audit-stream"), spark.sparkContext.defaultParallelism
     columns = [part.split()[0] for part in schemas.CRAWL.split(", ")]
     for kind, pages in (("site", corpus.site_pages(spark, sf)), ("legal", corpus.legal_pages(spark, sf))):
-        # in no order of time, over several files
-        pages.select(*columns).repartition(3, F.hash("url")).write.parquet(f"{folder}/in/{kind}")
-        stream.start_facts(stream.crawl_stream(spark, f"{folder}/in/{kind}", max_files=2), f"{folder}/facts/{kind}",
-                           f"{folder}/progress/{kind}", kind == "site").awaitTermination()
+        # in no order of time, over several files: two batches, each with work for all cores
+        pages.select(*columns).repartition(3 * cores, F.hash("url", "page_id")).write.parquet(f"{folder}/in/{kind}")
+        stream.start_facts(stream.crawl_stream(spark, f"{folder}/in/{kind}", max_files=2 * cores),
+                           f"{folder}/facts/{kind}", f"{folder}/progress/{kind}", kind == "site").awaitTermination()
     stream.write_heartbeat(spark, f"{folder}/facts/beat", "2100-01-01")
-    stream.start_audit(stream.facts_stream(spark, f"{folder}/facts/*", max_files=8), f"{folder}/out",
-                       f"{folder}/progress/audit", partitions=spark.sparkContext.defaultParallelism,
+    stream.start_audit(stream.facts_stream(spark, f"{folder}/facts/*", max_files=8 * cores), f"{folder}/out",
+                       f"{folder}/progress/audit", partitions=cores,
                        delay="1000 days", period="30 days", reach="1000 days").awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("page_id", "rule_id").agg(F.count("*").alias("findings"))

@@ -6,6 +6,7 @@ from conftest import SMALL
 from pagewarden import schemas
 from pagewarden.operators import rules
 from pagewarden.plans import audit
+from pagewarden.registry import audits
 from pagewarden.sources import corpus
 from pagewarden.streaming import append_stream, audit_stream, lifecycle, spans
 
@@ -84,6 +85,16 @@ def test_audit_stream_forgets(spark, tmp_path):
     assert {number for number, rule, _ in stream.found() if rule == "R07"} == set(range(1, 5))
 
 
+def test_streaming_audit_parses_in_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(audits, "_scratch", lambda spark, name: str(tmp_path / name))
+    found = audits.t1(spark, SMALL)
+    assert found.count()
+    cores = spark.sparkContext.defaultParallelism
+    for part in ("in", "facts"):  # a batch has files for all cores
+        files = spark.read.parquet(str(tmp_path / "audit-stream" / part / "site")).inputFiles()
+        assert len(files) >= cores and len(files) > 3
+
+
 def test_lifecycle_stream_equals_batch(spark, tmp_path):
     rows = [(1, 1, "Running", 0), (2, 2, "Running", 5), (1, 1, "Completed", 9), (3, 3, "Running", 2),
             (3, 3, "Failed", 2)]
