@@ -81,15 +81,6 @@ _TIMED = "runs binary, first binary, latest binary, due binary"  # 64-bit intege
 RUN_GROUPS = 2048
 
 
-def _per_run(runs, first, latest, due, fresh):
-    """One entry per run: its least start, its greatest latest event, its timer and whether it came just now."""
-    order = np.argsort(runs, kind="stable")
-    runs = runs[order]
-    cut = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
-    return (runs[cut], np.minimum.reduceat(first[order], cut), np.maximum.reduceat(latest[order], cut),
-            np.maximum.reduceat(due[order], cut), np.logical_or.reduceat(fresh[order], cut))
-
-
 def stuck_stream(events: DataFrame, limit: str, delay: str = "1 hour", groups: int = RUN_GROUPS) -> DataFrame:
     """Runs that are still Running when the watermark reaches their start and ``limit``, as a stream.
 
@@ -100,6 +91,14 @@ def stuck_stream(events: DataFrame, limit: str, delay: str = "1 hour", groups: i
     """
     allowed = pd.Timedelta(limit).value // 1000
 
+    def per_run(runs, first, latest, due, fresh):
+        """One entry per run: its least start, its greatest latest event, its timer and whether it came just now."""
+        order = np.argsort(runs, kind="stable")
+        runs = runs[order]
+        cut = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+        return (runs[cut], np.minimum.reduceat(first[order], cut), np.maximum.reduceat(latest[order], cut),
+                np.maximum.reduceat(due[order], cut), np.logical_or.reduceat(fresh[order], cut))
+
     def follow(key, batches, state):
         now = state.getCurrentWatermarkMs()
         kept = [np.frombuffer(c, dtype="i8") for c in state.get] if state.exists else [np.empty(0, "i8")] * 4
@@ -108,7 +107,7 @@ def stuck_stream(events: DataFrame, limit: str, delay: str = "1 hour", groups: i
                 for c in ("scan_run_id", "first", "latest")]
         columns = [np.concatenate(pair) for pair in zip(kept, [*come, np.zeros(len(come[0]), "i8")])]
         fresh = np.arange(len(columns[0])) >= len(kept[0])
-        runs, first, latest, due, fresh = _per_run(*columns, fresh)
+        runs, first, latest, due, fresh = per_run(*columns, fresh)
         due = np.where(fresh, np.maximum((first + allowed) // 1000, now + 1), due)
         off = ~fresh & (due < now)
         if off.all():
