@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 SPLIT = 2
 ID_BUCKET_DIGITS = 3  # 16 ** 3 = 4096 numbering buckets
 RANK_CHUNKS = 256
+SIEVE_WORDS, SIEVE_CHUNK = 2 ** 21, 2 ** 10  # words of 64 bits: 16 MB at most in a task
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -40,15 +42,24 @@ def close(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write an intermediate table once and go on from the written files.
 
     The lineage ends here, later readers prune columns, and a lost executor
-    costs a re-read instead of a recomputation.
+    costs a re-read instead of a recomputation. With ``free`` the shuffle files of the
+    write, which nothing reads again, go when it ends and not at some later collection.
     """
-    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(FREED, None)
+    if free:
+        spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -68,6 +79,39 @@ def hot_keys(df: DataFrame, key: str, floor: int = None) -> dict:
     return {r[key]: -(-r["count"] // floor) for r in rows}
 
 
+def sieve(keys: DataFrame, key: str):
+    """A test for columns of the same type: true for the values of ``key``, false for nearly all others.
+
+    A Bloom filter whose value sets a bit in each half of one word. There are two to four keys
+    to a word, more from 4 * SIEVE_WORDS of them on: then more other values pass, which only costs
+    time. The words are one array, a constant in the plan: as an expression and no join, the test moves
+    below aggregates and to both sides of a join on its column.
+    """
+    spark = keys.sparkSession
+    hashed = keys.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"))
+    n = min(SIEVE_WORDS, max(SIEVE_CHUNK, 1 << (hashed.count() // 4).bit_length()))
+
+    def bits(h):
+        low, high = F.shiftright(h, 40).bitwiseAND(31), F.shiftright(h, 46).bitwiseAND(31) + 32
+        one = F.lit(1).cast("bigint")
+        return F.call_function("shiftleft", one, low.cast("int")).bitwiseOR(
+            F.call_function("shiftleft", one, high.cast("int")))
+
+    def in_order(by, value):
+        return F.transform(F.array_sort(F.collect_list(F.struct(by, value))), lambda r: r[value]).alias("words")
+
+    words = hashed.select(F.col("h").bitwiseAND(n - 1).alias("word"), bits(F.col("h")).alias("bits")).unionAll(
+        spark.range(n).selectExpr("id AS word", "0L AS bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    chunks = words.groupBy(F.expr(f"word DIV {SIEVE_CHUNK}").alias("chunk")).agg(in_order("word", "bits"))
+    whole = materialize(chunks.agg(F.flatten(in_order("chunk", "words")).alias("words")), "sieve", free=True)
+
+    def passes(column) -> Column:
+        h = F.xxhash64(column)
+        word = F.get(whole.scalar(), h.bitwiseAND(n - 1).cast("int"))
+        return F.bit_count(word.bitwiseAND(bits(h))) == 2
+    return passes
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, hot,
                 spread_by: str, how: str = "left", salts: int = None) -> DataFrame:
     """Equi join whose hot left keys are split over as many tasks as they need.

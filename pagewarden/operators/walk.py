@@ -7,6 +7,7 @@ links each).  A level explodes the queue, looks every URL up in the page
 facts and folds the answers in queue order, which is exactly the order of a
 first-in first-out queue.  Walks that have ended are put aside, so each level
 shuffles only those still under way, and the levels end with the last of them.
+A pool need not be stored: then each level makes the part of it that it looks up.
 """
 
 from functools import reduce
@@ -15,9 +16,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagewarden import lexicon, schemas
 from pagewarden.functions import text as tx
-from pagewarden.operators.scale import hot_keys, materialize, salted_join
+from pagewarden.operators.scale import hot_keys, materialize, salted_join, sieve
 
 PAGES = f"array<struct<url:string,flags:{schemas.FLAGS}>>"
+LOOK_AHEAD = 3
+NONE_WAIT = "CAST(array() AS array<string>)"
 
 
 def latest_by_url(facts: DataFrame, *keys: str) -> DataFrame:
@@ -61,8 +64,8 @@ def legal_pool(facts: DataFrame, starts: DataFrame) -> DataFrame:
         .join(candidates, "url_hash", "left_semi"), "url_hash")
 
 
-def _fold(max_pages: int) -> str:
-    """Process the looked-up queue entries of one level in order."""
+def _fold(max_pages: int, rest: str) -> str:
+    """Process the looked-up queue entries of one level in order; ``rest`` still waits before their links."""
     s, e, link = tx.fresh("s"), tx.fresh("e"), tx.fresh("l")
 
     def state(visited, pages, queue):
@@ -76,7 +79,7 @@ def _fold(max_pages: int) -> str:
     read = f"concat({s}.pages, array(named_struct('url', {e}.url, 'flags', {e}.flags)))"
     return (
         f"aggregate(array_sort(entries), "
-        f"{state('carry.visited', 'carry.pages', 'CAST(array() AS array<string>)')}, "
+        f"{state('carry.visited', 'carry.pages', rest)}, "
         f"({s}, {e}) -> CASE "
         f"WHEN size({s}.pages) >= {max_pages} "
         f"OR array_contains({s}.visited, {e}.url) THEN {s} "
@@ -96,21 +99,27 @@ def begun(starts: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def queued(state: DataFrame, *keys: str) -> DataFrame:
-    """The queued URLs of all walks, one row each; the first carries the walk's state."""
+def queued(state: DataFrame, *keys: str, ahead: str = None) -> DataFrame:
+    """The queued URLs of all walks, one row each; the first carries the walk's state.
+
+    With ``ahead`` only so many of a walk, the others wait in its state.
+    """
+    waiting = [F.expr(f"slice(queue, {ahead} + 1, size(queue))").alias("rest")] if ahead else []
+    carried = ["visited", "pages"] + (["rest"] if ahead else [])
     return state.select(
-        "start", *keys, "visited", "pages", F.posexplode_outer("queue").alias("pos", "url")
+        "start", *keys, "visited", "pages", *waiting,
+        F.posexplode_outer(F.expr(f"slice(queue, 1, {ahead})") if ahead else "queue").alias("pos", "url")
     ).select(
         # A finished walk looks its first page up again: spread over all tasks,
         # and without effect because that page is visited.
         "start", *keys, "pos", F.coalesce("url", "start").alias("url"),
-        F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct("visited", "pages")).alias("carry"),
+        F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct(*carried)).alias("carry"),
     )
 
 
-def folded(looked_up: DataFrame, max_pages: int, *keys: str, newest=()) -> DataFrame:
+def folded(looked_up: DataFrame, max_pages: int, *keys: str, newest=(), rest: str = NONE_WAIT) -> DataFrame:
     """Walks after a level. Of several loads of a page the one with the largest ``newest`` counts:
-    it comes first, and a URL that has been visited is passed over."""
+    it comes first, and a URL that has been visited is passed over. ``rest`` are queued URLs not looked up."""
     def latest_first(column):
         number = F.unix_micros(column) if column == "fetched_at" else F.col(column)
         return [F.col(column).isNull().alias(f"no_{column}"), (-number).alias(f"less_{column}")]
@@ -122,13 +131,19 @@ def folded(looked_up: DataFrame, max_pages: int, *keys: str, newest=()) -> DataF
         F.collect_list(
             F.struct("pos", "url", *order, "ok", "flags", "legal_links")
         ).alias("entries"),
-    ).select("start", *keys, F.expr(_fold(max_pages)).alias("s")).select("start", *keys, "s.*")
+    ).select("start", *keys, F.expr(_fold(max_pages, rest)).alias("s")).select("start", *keys, "s.*")
 
 
 def policy_walks(starts: DataFrame, pool: DataFrame,
                  max_pages: int = lexicon.MAX_POLICY_PAGES,
-                 hot: list = ()) -> DataFrame:
-    """Walk from every start URL: merged flags, evidence URLs, pages read."""
+                 hot: list = (), stored: bool = True) -> DataFrame:
+    """Walk from every start URL: merged flags, evidence URLs, pages read.
+
+    A pool that is not ``stored`` is made anew for each level and only as far as the level looks
+    it up: the sieve of the queued URLs reaches the facts under it before they are shuffled.
+    """
+    if not stored:
+        return _walks_over_facts(starts, pool, max_pages, hot)
     state, ended = begun(starts), []
     more = f"size(queue) > 0 AND size(pages) < {max_pages}"
     for _ in range(max_pages):
@@ -142,6 +157,28 @@ def policy_walks(starts: DataFrame, pool: DataFrame,
     return walk_results(reduce(DataFrame.unionByName, ended, state))
 
 
+def _walks_over_facts(starts: DataFrame, pool: DataFrame, max_pages: int, hot: list) -> DataFrame:
+    """The same walks, few look-ups before few reads of the facts.
+
+    A level looks up LOOK_AHEAD times the pages that a walk may still read, in the order of its queue; the
+    others wait in front of the links found. From level ``max_pages`` on it looks up all, so that
+    each level ends a walk or reads a page of it, and twice as many levels are enough.
+    """
+    state, ended = materialize(begun(starts), "walk-level", free=True), []
+    more = f"size(queue) > 0 AND size(pages) < {max_pages}"
+    for level in range(2 * max_pages):
+        ahead = f"({LOOK_AHEAD} * ({max_pages} - size(pages)))" if level < max_pages else "size(queue)"
+        entries = queued(state, ahead=ahead)
+        near = pool.where(sieve(entries, "url")(F.col("url")))
+        state = materialize(folded(salted_join(
+            entries, near, "url", hot, spread_by="start"), max_pages, rest="carry.rest"), "walk-level", free=True)
+        ended.append(state.where(f"NOT ({more})"))
+        state = state.where(more)
+        if state.isEmpty():
+            break
+    return walk_results(reduce(DataFrame.unionByName, ended, state))
+
+
 def walk_results(state: DataFrame, *keys: str) -> DataFrame:
     p = tx.fresh("p")
     first = lambda key: f"get(filter(pages, {p} -> {p}.flags.{key}), 0).url"

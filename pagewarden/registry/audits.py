@@ -114,8 +114,8 @@ GROUP BY c_custkey, site HAVING site IS NOT NULL)""")
 def p6_limits(spark, sf):
     facts = corpus.linked_sites(spark, sf)
     starts = facts.where("page_id % 100 = 0 AND ok").select(F.col("url").alias("start"))
-    pool = materialize(walk.legal_pool(facts, starts), "walk-pool")
-    return walk.policy_walks(starts, pool).selectExpr(
+    pool = walk.legal_pool(facts, starts)
+    return walk.policy_walks(starts, pool, stored=False).selectExpr(
         "CAST(regexp_extract(start, '//s([0-9]+)', 1) AS bigint) AS site", "CAST(pages_read AS bigint) AS pages_read",
         "array_join(transform(pages_analyzed, u -> substring_index(u, '/', -1)), '|') AS pages")
 

@@ -131,16 +131,15 @@ WALK_PAGES, WALK_FAN = 60, 8
 
 def linked_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of the pages of those sites, as the walk reads them."""
-    host = "concat('https://s', CAST(c_custkey AS string), '.example.org/')"
+    links = ", ".join(f"concat(host, CAST({WALK_FAN} * k + {i} AS string))" for i in range(1, WALK_FAN + 1))
     flags = ", ".join(f"'{name}', k % {n + 2} = 0" for n, name in enumerate(lexicon.POLICY_ELEMENTS))
     # Customers are few and short next to their pages: spread them before the pages are made.
     return read_table(spark, sf_dir, "customer").select("c_custkey").repartition(
         spark.sparkContext.defaultParallelism).selectExpr(
-        "c_custkey", f"explode(sequence(0, {WALK_PAGES - 1})) AS k").selectExpr(
-        f"concat({host}, CAST(k AS string)) AS url", "(c_custkey * 7 + k * 5) % 6 > 1 AS ok",
-        f"named_struct({flags}) AS flags",
-        f"transform(sequence({WALK_FAN} * k + 1, {WALK_FAN} * k + {WALK_FAN}), i -> "
-        f"concat({host}, CAST(i AS string))) AS legal_links",
+        "c_custkey", "concat('https://s', CAST(c_custkey AS string), '.example.org/') AS host").selectExpr(
+        "c_custkey", "host", f"explode(sequence(0, {WALK_PAGES - 1})) AS k").selectExpr(
+        "concat(host, CAST(k AS string)) AS url", "(c_custkey * 7 + k * 5) % 6 > 1 AS ok",
+        f"named_struct({flags}) AS flags", f"array({links}) AS legal_links",
         "timestamp'2024-01-01' AS fetched_at", "c_custkey * 100L + k AS page_id")
 
 

@@ -161,3 +161,23 @@ def test_every_policy_phrase_is_met(spark):
         for phrases in keys.values():
             for phrase in phrases:
                 assert any(phrase in t for t in texts), phrase
+
+
+def test_sieve(spark):
+    keys = spark.createDataFrame([(f"https://h{i}/",) for i in range(5000)] * 2 + [(None,)], "url string")
+    others = spark.range(100000).selectExpr("concat('https://other', id, '/') AS url")
+    passes = scale.sieve(keys, "url")
+    known = keys.where("url IS NOT NULL").distinct()
+    assert known.where(passes(F.col("url"))).count() == 5000
+    assert others.where(passes(F.col("url"))).count() < 10000
+    # through an aggregate, and on both sides of a join: before they are shuffled
+    counted = others.groupBy("url").count().join(others.withColumn("n", F.lit(1)), "url")
+    plan = counted.where(passes(F.col("url")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bit_count") == 2 and plan.index("Aggregate") < plan.index("bit_count")
+    assert others.where(scale.sieve(keys.limit(0), "url")(F.col("url"))).count() == 0
+
+
+def test_sieve_of_more_keys_than_its_words_hold(spark, monkeypatch):
+    monkeypatch.setattr(scale, "SIEVE_WORDS", 1024)
+    keys = spark.range(20000).selectExpr("CAST(id AS string) AS k")
+    assert keys.where(scale.sieve(keys, "k")(F.col("k"))).count() == 20000

@@ -1,5 +1,6 @@
 """The legal-page walk against a plain breadth-first search."""
 
+import os
 import random
 
 import pytest
@@ -145,3 +146,45 @@ def test_pool_compares_urls_by_number_and_pages_are_made_in_all_tasks(spark):
         newest[r.url] = r.ok
     want = {(u, ok) for u, ok in newest.items() if u in linked}
     assert want and sorted((r.url, r.ok) for r in pool.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("max_pages, ahead", [(5, 3), (5, 1), (3, 2), (1, 1)])
+def test_walks_over_a_pool_that_is_not_stored(spark, monkeypatch, max_pages, ahead):
+    """Queued URLs that wait, pages that cannot be read, loads that come twice and hosts linked to each other."""
+    monkeypatch.setattr(walk, "LOOK_AHEAD", ahead)
+    rng = random.Random(max_pages * 10 + ahead)
+    pages, hosts = {}, [f"h{h}.com" for h in range(6)]
+    for host in hosts:
+        pages |= random_site(rng, host, rng.randint(2, 14))
+    pages = {u: (rng.random() < 0.5, fl, (li + [f"https://{rng.choice(hosts)}/{rng.randint(0, 20)}"]) * rng.randint(1, 2))
+             for u, (_, fl, li) in pages.items()}
+    pages |= {f"https://chain/{i}": (True, [i == 4] * len(lx.POLICY_ELEMENTS),
+                                     [f"https://dead/{i}{j}" for j in range(4)] + [f"https://chain/{i + 1}"]) for i in range(8)}
+    starts = [u for u in pages if rng.random() < 0.4] + ["https://nowhere.com/", "https://chain/0", "https://chain/0"]
+    rows = [(u, ok, tuple(fl), list(li), None, 2) for u, (ok, fl, li) in pages.items()]
+    older = [(u, not ok, tuple(fl), [], None, 1) for u, (ok, fl, _) in pages.items() if rng.random() < 0.3]
+    facts = spark.createDataFrame(rows + rows[::3] + older + [(None, True, rows[0][2], [None, "x"], None, 3)], FACTS)
+    begin = spark.createDataFrame([(s,) for s in starts], "start string")
+    done = walk.policy_walks(begin, walk.legal_pool(facts, begin), max_pages, stored=False).collect()
+    assert len(done) == len(set(starts))
+    for row in done:
+        read, first = search(row.start, pages, max_pages)
+        assert row.pages_analyzed == read and row.evidence_urls == first
+
+
+def test_a_level_reads_what_it_looks_up(spark, tmp_path):
+    """Neither the pool nor the shuffles of ended levels stay on disk: some hundred bytes for a site of 60 pages."""
+    from pagewarden.operators import scale
+    from pagewarden.registry import audits
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def on_disk():
+        shuffles = files.getAllFiles()
+        kept = [os.path.join(d, f) for d, _, fs in os.walk(scale.run_dir(spark)) for f in fs]
+        return (sum(shuffles.apply(i).length() for i in range(shuffles.size())) + sum(map(os.path.getsize, kept)))
+
+    spark.range(1, 4001).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    before = on_disk()
+    rows = audits.p6_limits(spark, str(tmp_path))
+    assert (on_disk() - before) / 4000 < 1000
+    assert rows.count() == spark.range(1, 4001).where("(id * 7) % 6 > 1").count()
