@@ -52,7 +52,8 @@ def legal_pool(facts: DataFrame, starts: DataFrame) -> DataFrame:
     """Facts of the pages a walk can reach: policy URLs and linked legal pages.
 
     URLs are compared by their hash, one number for each link; a page let in by an equal hash is never
-    looked up. Facts are dealt by that hash once, for the comparison and for the newest load.
+    looked up. Facts are dealt by that hash once, for the comparison and for the newest load. How many
+    links a page has is not in the planner's estimates, so it is told not to broadcast them.
     """
     facts = _as_read(facts)
     linked = facts.where("ok").select(F.explode("legal_links").alias("start"))
@@ -61,7 +62,7 @@ def legal_pool(facts: DataFrame, starts: DataFrame) -> DataFrame:
     return latest_by_url(
         facts.where("url IS NOT NULL").select(
             "url", "ok", "flags", "legal_links", "fetched_at", "page_id", F.xxhash64("url").alias("url_hash"))
-        .join(candidates, "url_hash", "left_semi"), "url_hash")
+        .join(candidates.hint("merge"), "url_hash", "left_semi"), "url_hash")
 
 
 def _fold(max_pages: int, rest: str) -> str:
@@ -169,7 +170,7 @@ def _walks_over_facts(starts: DataFrame, pool: DataFrame, max_pages: int, hot: l
     for level in range(2 * max_pages):
         ahead = f"({LOOK_AHEAD} * ({max_pages} - size(pages)))" if level < max_pages else "size(queue)"
         entries = queued(state, ahead=ahead)
-        near = pool.where(sieve(entries, "url")(F.col("url")))
+        near = pool.where(sieve(entries, "url")(F.col("url"))).hint("merge")  # larger than estimated
         state = materialize(folded(salted_join(
             entries, near, "url", hot, spread_by="start"), max_pages, rest="carry.rest"), "walk-level", free=True)
         ended.append(state.where(f"NOT ({more})"))

@@ -188,3 +188,11 @@ def test_a_level_reads_what_it_looks_up(spark, tmp_path):
     rows = audits.p6_limits(spark, str(tmp_path))
     assert (on_disk() - before) / 4000 < 1000
     assert rows.count() == spark.range(1, 4001).where("(id * 7) % 6 > 1").count()
+
+
+def test_pages_and_links_are_not_broadcast(spark):
+    """A small table of few columns can stand for many pages and links: its estimate says nothing of them."""
+    facts = corpus.linked_sites(spark, SMALL)
+    starts = facts.where("page_id % 100 = 0 AND ok").select(F.col("url").alias("start"))
+    pool = walk.legal_pool(facts, starts)
+    assert "Broadcast" not in pool._jdf.queryExecution().executedPlan().toString()
