@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 SPLIT = 2
 ID_BUCKET_DIGITS = 3  # 16 ** 3 = 4096 numbering buckets
 RANK_CHUNKS = 256
-SIEVE_WORDS, SIEVE_CHUNK = 2 ** 21, 2 ** 10  # words of 64 bits: 16 MB at most in a task
+SIEVE_WORDS, SIEVE_CHUNK = 2 ** 22, 2 ** 10  # words of 64 bits: 32 MB at most in a plan
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
